@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import encode, leaks, neighbours, pieces
+from canopy.llm import encode, leaks, neighbours, pieces, residue
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -38,7 +38,11 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p6_found, p8_ids, p8_round_trip, p9_found)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p6_found, p8_ids, p8_round_trip, p9_found, p10_found)}
 
 SQL = {
     "p3_found": "select snippet_id from code_snippet where length(source_code) > 6000",
