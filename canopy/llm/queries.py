@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import encode, leaks, neighbours, pieces, residue
+from canopy.llm import encode, leaks, neighbours, pieces, provenance, residue
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -20,6 +20,14 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.pieces(table(spark, d, "code_snippet"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.not_handwritten(table(spark, d, "code_snippet"))
+
+
+def p5_labels(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.beliefs(table(spark, d, "code_snippet")).select("project", "file_path", "label")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest_pairs(table(spark, d, "embedding_cache"))
 
@@ -42,7 +50,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p6_found, p8_ids, p8_round_trip, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_labels, p6_found, p8_ids, p8_round_trip, p9_found, p10_found)}
 
 SQL = {
     "p3_found": "select snippet_id from code_snippet where length(source_code) > 6000",
