@@ -23,9 +23,9 @@ from canopy.llm.arrow import map_rows
 from canopy.session import cut
 
 LABELS = ["handwritten", "generated", "minified", "vendored", "blob"]
-PRIOR = [0.985, 0.004, 0.003, 0.006, 0.002]
+PRIOR = [0.998, 0.0005, 0.0005, 0.0005, 0.0005]
 #: Probability of a child's label (column) under its directory's (row), for directories and for files.
-TO_DIRECTORY = [[0.985, 0.004, 0.003, 0.006, 0.002], [0.02, 0.95, 0.01, 0.01, 0.01], [0.3, 0.03, 0.65, 0.01, 0.01], [0.01, 0.01, 0.01, 0.96, 0.01], [0.3, 0.02, 0.01, 0.01, 0.66]]
+TO_DIRECTORY = [[0.996, 0.001, 0.001, 0.001, 0.001], [0.02, 0.95, 0.01, 0.01, 0.01], [0.3, 0.03, 0.65, 0.01, 0.01], [0.01, 0.01, 0.01, 0.96, 0.01], [0.3, 0.02, 0.01, 0.01, 0.66]]
 TO_FILE = [[0.93, 0.025, 0.015, 0.02, 0.01], [0.04, 0.93, 0.01, 0.01, 0.01], [0.45, 0.04, 0.48, 0.02, 0.01], [0.02, 0.01, 0.02, 0.94, 0.01], [0.45, 0.02, 0.01, 0.01, 0.51]]
 
 # Directory names with the log evidence they give for (generated, minified, vendored).
@@ -53,6 +53,7 @@ _QUOTED = re.compile(r"'[^'\n]*'|\"[^\"\n]*\"|`[^`\n]*`|“[^”\n]*”")
 _HEAD = re.compile(r"(?:\s+|#![^\n]*\n|//[^\n\r]*|#(?!\[)[^\n\r]*|--\[\[.*?\]\]|--[^\n\r]*|/\*.*?\*/|\"\"\".*?\"\"\"|'''.*?'''|<!--.*?-->)*", re.S)
 _LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|\[\[.*?\]\]|(?<![\w.])-?(?:0[xX][0-9a-fA-F_]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)(?!\w)", re.S)
 _WORD = re.compile(r"[A-Za-z_$][\w$]*")
+_REMARKS = re.compile(r"^[ \t]*(?://|#(?!\[)|--)[^\n\r]*", re.M)
 _STATEMENT = re.compile(r"\b(?:def|return|if|for|while|function|class|func|end|switch|try|throw|import|public|private)\b")
 
 
@@ -73,6 +74,7 @@ def evidence(path: str, text: str | None) -> list[float]:
     if any(_VENDORED.search(x) for x in lines):
         out[3] += 9
     body = text[len(head) :] if not head.startswith('"""') or len(head) < len(text) else text
+    body = _REMARKS.sub("", body)
     solid = len(body) - body.count(" ") - body.count("\n") - body.count("\t") - body.count("\r")
     if solid < 80:
         return out
