@@ -30,9 +30,9 @@ TO_FILE = [[0.93, 0.025, 0.015, 0.02, 0.01], [0.04, 0.93, 0.01, 0.01, 0.01], [0.
 
 # Directory names with the log evidence they give for (generated, minified, vendored).
 DIRECTORIES = {
-    **dict.fromkeys(["node_modules", "bower_components", "jspm_packages", "third_party", "third-party", "thirdparty", "_vendored", "_vendor", "vendored", "vendor", "vendors", "site-packages", "dist-packages", "godeps"], (0.0, 0.0, 9.0)),
-    **dict.fromkeys(["external", "externals", "deps", "extern", "3rdparty", "contrib"], (0.0, 0.0, 6.5)),
-    **dict.fromkeys(["__generated__", "generated", "_generated", "autogen", "generated-src", "generated_sources", "codegen", "gen", "gensrc", "pb", "proto_gen"], (8.0, 0.0, 0.0)),
+    **dict.fromkeys(["node_modules", "bower_components", "jspm_packages", "third_party", "third-party", "thirdparty", "_vendored", "_vendor", "vendored", "vendor", "vendors", "site-packages", "dist-packages", "godeps"], (0.0, 0.0, 16.0)),
+    **dict.fromkeys(["external", "externals", "deps", "extern", "3rdparty", "contrib"], (0.0, 0.0, 13.0)),
+    **dict.fromkeys(["__generated__", "generated", "_generated", "autogen", "generated-src", "generated_sources", "codegen", "gen", "gensrc", "pb", "proto_gen"], (14.0, 0.0, 0.0)),
     **dict.fromkeys(["dist", "bundles", "min", "public", "static", "assets"], (0.0, 3.0, 0.0)),
     "build": (1.0, 2.0, 0.0),
 }
