@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import encode, leaks, neighbours, pieces, provenance, residue
+from canopy.llm import encode, leaks, neighbours, pieces, provenance, residue, unparsed
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return unparsed.unparsed(table(spark, d, "code_snippet"))
+
+
+def p2_files(spark: SparkSession, d: str) -> DataFrame:
+    return unparsed.files(table(spark, d, "code_snippet")).where("flagged").drop("flagged")
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return unparsed.rates(table(spark, d, "code_snippet"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.pieces(table(spark, d, "code_snippet"), with_text=False).where("piece = 0").select("snippet_id")
 
@@ -50,7 +62,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_labels, p6_found, p8_ids, p8_round_trip, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_files, p2_rates, p3_found, p3_pieces, p5_found, p5_labels, p6_found, p8_ids, p8_round_trip, p9_found, p10_found)}
 
 SQL = {
     "p3_found": "select snippet_id from code_snippet where length(source_code) > 6000",
