@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import encode, leaks, neighbours, pieces, provenance, residue, unparsed
+from canopy.llm import encode, functions, leaks, neighbours, pieces, provenance, residue, unparsed
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -44,6 +44,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest_pairs(table(spark, d, "embedding_cache"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return functions.documented_names(table(spark, d, "code_snippet"))
+
+
+def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return functions.pairs(table(spark, d, "code_snippet"), repeats=200)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents"))
 
@@ -62,7 +70,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_files, p2_rates, p3_found, p3_pieces, p5_found, p5_labels, p6_found, p8_ids, p8_round_trip, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_files, p2_rates, p3_found, p3_pieces, p5_found, p5_labels, p6_found, p7_found, p7_pairs, p8_ids, p8_round_trip, p9_found, p10_found)}
 
 SQL = {
     "p3_found": "select snippet_id from code_snippet where length(source_code) > 6000",

@@ -110,9 +110,14 @@ def _python_block(m: re.Match) -> str:
     return c
 
 
-def _python_valid(text: str) -> bool:
+def tokens_of(text: str, language: str) -> list[str]:
+    """The tokens of a plain text; Python's begin with a line end, which carries the first indent."""
+    return kinds_of(language).find("\n" + text if language == "py" else text)
+
+
+def _python_valid(tokens: list[str]) -> bool:
     g, kinds = grammar_of("py"), kinds_of("py")
-    shape = g.reduced(kinds.shape("\n" + text))
+    shape = g.reduced("".join(map(kinds.__getitem__, tokens)))
     if UNBALANCED.search(shape) or BAD in shape:
         return False
     s, _ = _python_skeleton(shape[1:], g)
@@ -210,9 +215,9 @@ def _lua_clean() -> re.Pattern:
     return re.compile(f"([{opens}])([^{opens}{closes}()\\[\\]{{}}]*)([{closes}])")
 
 
-def _brace_valid(text: str, language: str) -> bool:
+def _brace_valid(tokens: list[str], language: str) -> bool:
     g, kinds = grammar_of(language), kinds_of(language)
-    s = kinds.shape(text)
+    s = "".join(map(kinds.__getitem__, tokens))
     if BAD in s:
         return False
     s = _lua_reduced(s, g) if language == "lua" else g.reduced(s)
@@ -222,7 +227,12 @@ def _brace_valid(text: str, language: str) -> bool:
 def valid(text: str, language: str) -> bool:
     """Whether all of `text` is a file of `language`; an empty or blank one is."""
     text = plain(text)
-    return not text.strip() or (_python_valid(text) if language == "py" else _brace_valid(text, language))
+    return not text.strip() or valid_tokens(tokens_of(text, language), language)
+
+
+def valid_tokens(tokens: list[str], language: str) -> bool:
+    """`valid` for the tokens of a plain text that is not blank."""
+    return _python_valid(tokens) if language == "py" else _brace_valid(tokens, language)
 
 
 # Where and why: only for texts that are not valid, token by token.
