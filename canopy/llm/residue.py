@@ -80,8 +80,8 @@ _COMPILED = [re.compile("(?:" + "".join(line.strip() for line in p.strip().split
 _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 _SPAN = re.compile(r"`[^`\n]+`|“[^”\n]*”|«[^»\n]*»|„[^“\n]*“|\"[^\"\n]{3,}\"")
 _TAG = re.compile(r"</?(?:html|head|title|body|center|h[1-6]|p|div|span|br|hr|pre|b|i|em|strong|a|ul|ol|li|address|main|header|footer|section|nav|meta|link|style|table|tr|td|th|img|button|form|input|label|iframe)\b[^<>]*>|<!doctype[^>]*>", re.I)
-_SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[.!?…][\"')\]])\s+|(?<=[。！？])|[\r\n\v\f  ]+")
-_UNSEEN = re.compile(r"[­​-‏‪-‮⁠-⁤﻿\x00-\x08\x0e-\x1f\x7f]")
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[.!?…][\"')\]])\s+|(?<=[。！？])|[\r\n\v\f\u2028\u2029]+")
+_UNSEEN = re.compile(r"[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\x00-\x08\x0e-\x1f\x7f]")
 _MARK = re.compile(r"^\s*(?:[-*+•>#]+|\d+[.)]|\|)\s*")
 _PROMPT = re.compile(r"^(?:>\s*[^.]*|_[^_.]+_|\*[^*.]+\*|\([^().]+\)|<!--[^.]*-->|\{[^{}.]+\}|\[[^\[\].]+\]|-\s*\[ ?\].*)$")
 _COMMENT = re.compile(r"<!--\s*(.*?)\s*-->", re.S)

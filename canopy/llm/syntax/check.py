@@ -32,7 +32,7 @@ def language_of(path: str | None) -> str | None:
 
 
 def plain(text: str) -> str:
-    return text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
+    return text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
 
 
 # Python: logical lines become one character each, then indented blocks do.

@@ -79,7 +79,7 @@ class Kinds(dict):
             if language == "py":
                 return "\n" + chr(0x100 + len(t.lstrip("\n").expandtabs(8)))
             return "\n"
-        if c.isspace() or c == "﻿" or (c == "\\" and t[1:2] == "\n"):
+        if c.isspace() or c == "\ufeff" or (c == "\\" and t[1:2] == "\n"):
             return ""
         if len(t) >= 7 and t[:7] in ("<<<<<<<", "=======", ">>>>>>>", "|||||||"):
             return BAD
