@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -64,3 +64,24 @@ def match_score(parameter: Column, cls: Column) -> Column:
     p, c = F.lower(parameter), F.lower(cls)
     share = F.floor(F.lit(80) * (F.length(c) / F.nullif(F.length(p), F.lit(0))))
     return F.when(p == c, 100).when(c.endswith(p) | p.endswith(c), 90).when(p.contains(c), share).otherwise(F.when(p.isNotNull() & c.isNotNull(), 0)).cast("int")
+
+
+def prefixes(parts: Column) -> Column:
+    """All dotted prefixes of an array of parts, the empty one first."""
+    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
+
+
+def nearest(wanted: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(`caller`, `name`, `candidate`, `distance`): per wanted (`caller`, `name`) the nearest of the definitions (`name`, `qualified_name`).
+
+    Nearest is the least `import_distance`, then the first name. Definitions are brought together by the prefixes of their
+    names: below a prefix that it shares with a caller, only a definition's number of parts matters, so one of each number
+    is kept. A name that very many define and call doesn't make pairs of all of them.
+    """
+    parts = F.split("qualified_name", r"\.")
+    below = definitions.select("name", "qualified_name", F.size(parts).alias("n"), F.explode(prefixes(parts)).alias("prefix"))
+    below = below.groupBy("name", "prefix", "n").agg(F.min("qualified_name").alias("candidate"))
+    callers = wanted.select("caller", "name", F.explode(prefixes(F.split("caller", r"\."))).alias("prefix")).distinct()
+    found = callers.join(below, ["name", "prefix"]).withColumn("distance", import_distance(F.col("candidate"), F.col("caller")))
+    best = found.groupBy("caller", "name").agg(F.min(F.struct("distance", "candidate")).alias("b"))
+    return best.select("caller", "name", "b.candidate", "b.distance")

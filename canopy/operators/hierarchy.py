@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopy.session import cut
+from canopy.session import cut, small
 
 CONTAINMENT = ["CONTAINS_PACKAGE", "CONTAINS_FOLDER", "CONTAINS_FILE", "CONTAINS_MODULE", "DEFINES", "DEFINES_METHOD"]
 INHERITANCE = ["INHERITS", "IMPLEMENTS"]
@@ -41,16 +41,16 @@ def hierarchy_edges(relationships: DataFrame) -> DataFrame:
     )
 
 
-def _restrict(links: DataFrame, alive: DataFrame) -> DataFrame:
-    """The links of which both ends are alive."""
-    ends = lambda c: alive.select("hierarchy", F.col("id").alias(c))
+def _restrict(links: DataFrame, alive: DataFrame, rows: int) -> DataFrame:
+    """The links of which both ends are alive; `rows` counts these."""
+    ends = lambda c: small(alive.select("hierarchy", F.col("id").alias(c)), rows)
     return links.join(ends("child"), ["hierarchy", "child"], "left_semi").join(ends("parent"), ["hierarchy", "parent"], "left_semi").select(*KEY)
 
 
-def _compose(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Walks made of a link of `first` and then one of `second`, once each."""
+def _compose(first: DataFrame, second: DataFrame, rows: int) -> DataFrame:
+    """Walks made of a link of `first` and then one of `second`, once each; `rows` counts the second."""
     up = second.select("hierarchy", F.col("child").alias("parent"), F.col("parent").alias("beyond"))
-    return first.join(up, ["hierarchy", "parent"]).select("hierarchy", "child", F.col("beyond").alias("parent")).distinct()
+    return first.join(small(up, rows), ["hierarchy", "parent"]).select("hierarchy", "child", F.col("beyond").alias("parent")).distinct()
 
 
 def cyclic_core(edges: DataFrame, growth: int = 4) -> DataFrame:
@@ -67,7 +67,8 @@ def cyclic_core(edges: DataFrame, growth: int = 4) -> DataFrame:
     while size:
         alive = pointers.select("hierarchy", F.col("child").alias("id")).intersect(pointers.select("hierarchy", F.col("parent").alias("id")))
         alive = cut(alive)
-        kept = cut(_restrict(edges, alive))
+        n = alive.count()
+        kept = cut(_restrict(edges, alive, n))
         left = kept.count()
         if left == size:
             if single:
@@ -76,8 +77,8 @@ def cyclic_core(edges: DataFrame, growth: int = 4) -> DataFrame:
             continue
         edges, size = kept, left
         if doubling:
-            inner = _restrict(pointers, alive)
-            squared = cut(_compose(inner, inner))
+            inner = cut(_restrict(pointers, alive, n))
+            squared = cut(_compose(inner, inner, inner.count()))
             doubling = squared.count() <= limit
             pointers, single = (squared, False) if doubling else (edges, True)
         else:
@@ -126,7 +127,7 @@ def _components(core: DataFrame, growth: int) -> DataFrame:
     size = reach.count()
     limit = growth * size + 4_000_000
     while size:
-        wider = cut(reach.unionByName(_compose(reach, reach)).distinct())
+        wider = cut(reach.unionByName(_compose(reach, reach, size)).distinct())
         now = wider.count()
         if now == size:
             break

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.operators.hierarchy import edge_type, hierarchy_edges
-from canopy.session import cut
+from canopy.session import cut, small
 
 
 def lifetimes(records: DataFrame) -> DataFrame:
@@ -68,12 +68,13 @@ def orphan_cascade(children: DataFrame, orphaned: DataFrame, max_rounds: int | N
     links = cut(children.where("child is not null and parent is not null").select("hierarchy", "child", "parent").distinct())
     known = cut(orphaned.select("hierarchy", "node_id").where("node_id is not null").distinct().withColumn("level", F.lit(0)))
     front, level = known, 0
-    while max_rounds is None or level < max_rounds:
+    new = total = known.count()
+    while new and (max_rounds is None or level < max_rounds):
         level += 1
-        reached = links.join(front.select("hierarchy", F.col("node_id").alias("parent")), ["hierarchy", "parent"], "left_semi").select("hierarchy", F.col("child").alias("node_id")).distinct()
-        front = cut(reached.join(known, ["hierarchy", "node_id"], "left_anti").withColumn("level", F.lit(level)))
-        if not front.limit(1).count():
-            break
+        reached = links.join(small(front.select("hierarchy", F.col("node_id").alias("parent")), new), ["hierarchy", "parent"], "left_semi").select("hierarchy", F.col("child").alias("node_id")).distinct()
+        front = cut(reached.join(small(known.select("hierarchy", "node_id"), total), ["hierarchy", "node_id"], "left_anti").withColumn("level", F.lit(level)))
+        new = front.count()
+        total += new
         known = known.unionByName(front)
         if level % 8 == 0:
             known = cut(known)

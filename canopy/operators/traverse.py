@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopy.session import cut
+from canopy.session import cut, small
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -22,16 +22,16 @@ def reachable(starts: DataFrame, edges: DataFrame, min_hops: int = 1, max_hops:
     with the edges and leaves out the pairs known already.
     """
     steps = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    front = starts.select("start", F.col("start").alias("id")).where("start is not null").distinct().withColumn("hops", F.lit(0))
-    front = cut(front)
+    front = cut(starts.select("start", F.col("start").alias("id")).where("start is not null").distinct().withColumn("hops", F.lit(0)))
     seen = front if min_hops == 0 else front.limit(0)
-    hops = 0
-    while max_hops is None or hops < max_hops:
+    new = front.count()
+    known, hops = new * (min_hops == 0), 0
+    while new and (max_hops is None or hops < max_hops):
         hops += 1
-        moved = front.join(steps, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id")).distinct()
-        front = cut(moved.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("hops", F.lit(hops)))
-        if not front.limit(1).count():
-            break
+        moved = small(front, new).join(steps, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id")).distinct()
+        front = cut(moved.join(small(seen.select("start", "id"), known), ["start", "id"], "left_anti").withColumn("hops", F.lit(hops)))
+        new = front.count()
+        known += new
         seen = seen.unionByName(front)
         if hops % 8 == 0:
             seen = cut(seen)
@@ -43,16 +43,18 @@ def reach_set(starts: DataFrame, edges: DataFrame, min_hops: int = 0) -> DataFra
     steps = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     front = cut(starts.select("id").where("id is not null").distinct())
     seen = front if min_hops == 0 else front.limit(0)
-    rounds = 0
-    while True:
+    new = front.count()
+    known, rounds = new * (min_hops == 0), 0
+    while new:
         rounds += 1
-        moved = steps.join(front, F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id")).distinct()
-        front = cut(moved.join(seen, "id", "left_anti"))
-        if not front.limit(1).count():
-            return seen
+        moved = steps.join(small(front, new), F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id")).distinct()
+        front = cut(moved.join(small(seen, known), "id", "left_anti"))
+        new = front.count()
+        known += new
         seen = seen.unionByName(front)
         if rounds % 8 == 0:
             seen = cut(seen)
+    return seen
 
 
 def nearest_hits(starts: DataFrame, edges: DataFrame, hits: DataFrame, own: bool = False) -> DataFrame:
@@ -66,19 +68,29 @@ def nearest_hits(starts: DataFrame, edges: DataFrame, hits: DataFrame, own: bool
     wanted = cut(starts.select("start", "name").distinct())
     front = cut(wanted.select("start").distinct().select("start", F.col("start").alias("id"), F.array().cast("array<int>").alias("route")))
     seen, found, hops = front.select("start", "id"), None, 0
+    new = known = front.count()
+    hits = cut(hits.select("id", "name").distinct())
     first = Window.partitionBy("start", "id").orderBy("route")
     best = Window.partitionBy("start", "name").orderBy("route", "id")
-    while True:
+    while new:
+        left = wanted.count()
+        if not left:
+            break
         if hops or own:
-            met = front.join(hits.select("id", "name").distinct(), "id").join(wanted, ["start", "name"], "left_semi").withColumn("n", F.row_number().over(best)).where("n = 1")
+            met = small(front, new).join(hits, "id").join(small(wanted, left), ["start", "name"], "left_semi").withColumn("n", F.row_number().over(best)).where("n = 1")
             met = cut(met.select("start", "name", "id", F.lit(hops).alias("hops")))
             found = met if found is None else found.unionByName(met)
-            wanted = cut(wanted.join(met.select("start", "name"), ["start", "name"], "left_anti"))
+            wanted = cut(wanted.join(small(met.select("start", "name"), met.count()), ["start", "name"], "left_anti"))
         hops += 1
-        left = front.join(wanted.select("start").distinct(), "start", "left_semi")
-        moved = left.join(steps, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id"), F.concat("route", F.array(F.col("ord").cast("int"))).alias("route"))
+        open_ = front.join(wanted.select("start").distinct(), "start", "left_semi")
+        moved = open_.join(steps, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id"), F.concat("route", F.array(F.col("ord").cast("int"))).alias("route"))
         moved = moved.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
-        front = cut(moved.join(seen, ["start", "id"], "left_anti"))
-        if not front.limit(1).count():
-            return found if found is not None else wanted.select("start", "name", F.lit(None).cast("bigint").alias("id"), F.lit(0).alias("hops")).limit(0)
-        seen = cut(seen.unionByName(front.select("start", "id")))
+        front = cut(moved.join(small(seen, known), ["start", "id"], "left_anti"))
+        new = front.count()
+        known += new
+        seen = seen.unionByName(front.select("start", "id"))
+        if hops % 8 == 0:
+            seen = cut(seen)
+    if found is None:
+        return wanted.select("start", "name", F.lit(None).cast("bigint").alias("id"), F.lit(0).alias("hops")).limit(0)
+    return found

@@ -396,10 +396,7 @@ def best_candidate(spark: SparkSession, d: str) -> DataFrame:
     g = Graph.from_tables(spark, d)
     calls = g.cypher("MATCH (a)-[:CALLS]->(b) WHERE a.qualified_name IS NOT NULL AND b.qualified_name IS NOT NULL RETURN DISTINCT a.qualified_name AS caller, b.qualified_name AS callee")
     wanted = calls.select("caller", F.element_at(F.split("callee", r"\."), -1).alias("name")).distinct()
-    pairs = wanted.join(_defs(g).select("name", F.col("qualified_name").alias("candidate")).distinct(), "name")
-    ranked = pairs.withColumn("distance", names.import_distance(F.col("candidate"), F.col("caller")))
-    best = ranked.groupBy("caller", "name").agg(F.min(F.struct("distance", "candidate")).alias("b"))
-    return best.select("caller", "name", "b.candidate", "b.distance")
+    return names.nearest(wanted, _defs(g).where("name is not null").select("name", "qualified_name").distinct())
 
 
 @add(

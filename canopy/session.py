@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,3 +32,12 @@ def cut(df: DataFrame) -> DataFrame:
     """`df`, written to the shared folder and read from there: its lineage ends, and a lost executor loses nothing."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows of a few numbers that are broadcast at most; about 10 MB.
+SMALL = 200_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, to be broadcast if its counted `rows` are few; beyond that Spark joins it by shuffling."""
+    return F.broadcast(df) if rows <= SMALL else df
