@@ -63,11 +63,9 @@ def should_skip(path: Column, is_file: Column | bool = True, exclude: Iterable[s
     return out.otherwise(F.arrays_overlap(directories, _strings(IGNORED_PARTS)))
 
 
-def module_name(project: Column, path: Column, package_files: Iterable[str] = ("__init__", "mod")) -> Column:
-    """Dotted module name: project and the path without its suffix; a package's own file gives the package's name."""
-    bare = F.regexp_replace(path, r"(?<=[^/])\.[^./]+$", "")
-    for p in package_files:
-        bare = F.when(bare == p, "").otherwise(F.regexp_replace(bare, f"/{p}$", ""))
+def module_name(project: Column, path: Column) -> Column:
+    """Dotted module name: project and the path without its suffix; `__init__.py` and `mod.rs` give their directory's name."""
+    bare = F.regexp_replace(F.regexp_replace(path, r"(^|/)(__init__\.py|mod\.rs)$", ""), r"(?<=[^/])\.[^./]+$", "")
     return F.concat_ws(".", project, F.when(bare != "", F.translate(bare, "/", ".")))
 
 

@@ -92,5 +92,5 @@ def nearest_hits(starts: DataFrame, edges: DataFrame, hits: DataFrame, own: bool
         if hops % 8 == 0:
             seen = cut(seen)
     if found is None:
-        return wanted.select("start", "name", F.lit(None).cast("bigint").alias("id"), F.lit(0).alias("hops")).limit(0)
+        return wanted.select("start", "name", F.col("start").alias("id"), F.lit(0).alias("hops")).limit(0)
     return found

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from canopy.functions import names, paths, text, vector
 from canopy.graph import Graph
-from canopy.operators import incremental, mutate, traverse, vectors
+from canopy.operators import incremental, mutate, resolve, traverse, vectors
 from canopy.session import cut, table
+from canopy.sources import extract, repository
+from canopy.sources.languages import PACKAGE_FILES
 from canopy.streaming import debounce
 
 QUERIES: dict = {}
@@ -339,7 +341,7 @@ def path_parts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("path", paths.parent(p).alias("parent"), paths.name(p).alias("name"), paths.suffix(p).alias("suffix"))
 
 
-@add("select distinct project, path, project || '.' || replace(regexp_replace(regexp_replace(path, '\\.[^./]+$', ''), '/(__init__|mod)$', ''), '/', '.') as module from nodes where label = 'Module' and path is not null and project is not null")
+@add("select distinct project, path, project || '.' || replace(regexp_replace(regexp_replace(path, '/(__init__\\.py|mod\\.rs)$', ''), '\\.[^./]+$', ''), '/', '.') as module from nodes where label = 'Module' and path is not null and project is not null")
 def module_names(spark: SparkSession, d: str) -> DataFrame:
     rows = Graph.from_tables(spark, d).cypher("MATCH (m:Module) WHERE m.path IS NOT NULL RETURN m.project AS project, m.path AS path").where("project is not null").distinct()
     return rows.select("project", "path", paths.module_name(F.col("project"), F.col("path")).alias("module"))
@@ -480,3 +482,87 @@ def debounce_batch(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events").withColumnRenamed("user_id", "path")
     return debounce.debounce_batch(events, 6 * 3600, 24 * 3600, tie="event_id")
 
+
+
+# Extraction and resolution.
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    """The latest text of each file that was retrieved whole."""
+    rows = table(spark, d, "code_snippet").where("label = 'Module' and found and project is not null and file_path is not null and source_code is not null")
+    return rows.groupBy("project", F.col("file_path").alias("path")).agg(F.max_by("source_code", F.struct("retrieved_at", "snippet_id")).alias("content"))
+
+
+@add()
+def extract_definitions(spark: SparkSession, d: str) -> DataFrame:
+    found = extract.facts(_files(spark, d)).where("fact = 'definition'")
+    return found.select("project", "path", "label", "qualified_name", "name", "parent", "parent_label", "start_line", "end_line", "docstring", "decorators", "is_exported")
+
+
+@add()
+def extract_imports(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.import_targets(resolve.Facts(extract.facts(_files(spark, d))))
+
+
+@add()
+def resolve_inheritance(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.parents(resolve.Facts(extract.facts(_files(spark, d))))
+
+
+@add()
+def resolve_overrides(spark: SparkSession, d: str) -> DataFrame:
+    f = resolve.Facts(extract.facts(_files(spark, d)))
+    return resolve.overrides(f, cut(resolve.parents(f)))
+
+
+@add()
+def resolve_calls(spark: SparkSession, d: str) -> DataFrame:
+    f = resolve.Facts(extract.facts(_files(spark, d)))
+    return resolve.resolve_calls(f, cut(resolve.parents(f)))
+
+
+_DIRS = """f as (select distinct project, file_path as path from code_snippet where project is not null and file_path is not null),
+d as (select project, regexp_extract(path, '^(.*)/[^/]*$', 1) as dir, split_part(path, '/', -1) as name from f where contains(path, '/')),
+tree as (select distinct project, dir from d where dir <> '' union select project, regexp_extract(dir, '^(.*)/[^/]*$', 1) from tree where contains(dir, '/'))"""
+
+
+@add(
+    f"""with {_DIRS}, marked as (select project, dir, bool_or(name in ({", ".join(f"'{x}'" for x in PACKAGE_FILES)})) as package from d group by project, dir),
+k as (select t.project, t.dir, case when coalesce(m.package, false) then 'Package' else 'Folder' end as label from tree t left join marked m on m.project = t.project and m.dir = t.dir),
+x as (select project, label, dir as path from k union all select project, 'File', path from f)
+select project, label, path, split_part(path, '/', -1) as name from x union all select distinct project, 'Project', null, project from f""",
+    graph=False,
+)
+def directory_structure(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "code_snippet").select("project", F.col("file_path").alias("path"))
+    return repository.structure(files).select("project", "label", "path", "name")
+
+
+@add("select s.snippet_id, case lower(regexp_extract(file_path, '^.*[^/](\\.[^./]+)$', 1)) when '.py' then 'python' when '.js' then 'javascript' when '.ts' then 'typescript' when '.java' then 'java' when '.go' then 'go' when '.lua' then 'lua' end as language from code_snippet s where file_path is not null", graph=False)
+def language_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "code_snippet").where("file_path is not null").select("snippet_id", repository.language(F.col("file_path")).alias("language"))
+
+
+@add("select count(*) as total_nodes, (select count(*) from edges) as total_relationships, length((select string_agg(node_id::varchar, '') from nodes))::bigint as id_characters from nodes")
+def json_export_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The whole graph as one JSON document, read back."""
+    document = repository.export_document(Graph.from_tables(spark, d))
+    kind = "nodes array<struct<node_id:bigint>>, relationships array<struct<type:string>>, metadata struct<total_nodes:bigint,total_relationships:bigint>"
+    back = document.select(F.from_json("document", kind).alias("g"))
+    ids = F.aggregate(F.col("g.nodes"), F.lit(0), lambda s, x: s + F.length(x["node_id"].cast("string")))
+    return back.select("g.metadata.total_nodes", "g.metadata.total_relationships", ids.cast("bigint").alias("id_characters"))
+
+
+@add("select v.vec_id, v.label from embeddings v where v.vec_id % 10 <> 0 or v.vec_id % 20 = 0", graph=False)
+def vector_upsert_delete(spark: SparkSession, d: str) -> DataFrame:
+    """A store without every tenth vector, into which every twentieth is put back."""
+    every = table(spark, d, "embeddings")
+    store = vectors.delete(every, every.where("vec_id % 10 = 0"), "vec_id")
+    return vectors.upsert(store, every.where("vec_id % 20 = 0"), "vec_id").select("vec_id", "label")
+
+
+@add("with q as (select embedding from embedding_cache where embedding is not null and len(embedding) = 768 and qualified_name is not null and not list_bool_or(list_transform(embedding, lambda x: isnan(x))) and list_sum(list_transform(embedding, lambda x: abs(x))) > 0 order by cache_id limit 1), s as (select c.cache_id, c.qualified_name, list_cosine_similarity(c.embedding::double[], q.embedding::double[]) as score from embedding_cache c, q where c.embedding is not null and len(c.embedding) = 768), t as (select * from s where score is not null and not isnan(score) order by score desc, cache_id limit 25) select t.cache_id, t.qualified_name, round(t.score, 3) as score from t", graph=False)
+def semantic_search(spark: SparkSession, d: str) -> DataFrame:
+    cache = table(spark, d, "embedding_cache")
+    good = cache.where("embedding is not null and size(embedding) = 768 and qualified_name is not null and not exists(embedding, x -> isnan(x)) and exists(embedding, x -> x <> 0)")
+    wanted = good.orderBy("cache_id").select("embedding").first()
+    best = vector.top_k(cache, "cache_id", "embedding", list(wanted[0]) if wanted else [0.0] * 768, 25)
+    return cache.join(F.broadcast(best), "cache_id").select("cache_id", "qualified_name", F.bround("score", 3).alias("score"))
