@@ -23,7 +23,7 @@ from canopy.operators.traverse import both_ways, reachable
 
 # Keywords that a read may not hold, anywhere in its text.
 WRITES = ["CREATE", "MERGE", "DELETE", "DETACH", "SET", "REMOVE", "DROP", "CALL", "LOAD CSV", "FOREACH", "GRANT", "REVOKE", "DENY", "ALTER"]
-_TOKEN = re.compile(r"\s+|//[^\n]*|/\*.*?\*/|('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|\d+\.\d+|\d+(?!\.\.)|\.\.|\$\w+|`[^`]+`|[A-Za-z_]\w*|<>|<=|>=|=~|\+=|->|<-|[-+*/%=<>()\[\]{},.:|;])", re.S)
+_TOKEN = re.compile(r"\s+|//[^\n]*|/\*.*?\*/|('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|\d+\.\d+|\d+|\.\.|\$\w+|`[^`]+`|[A-Za-z_]\w*|<>|<=|>=|=~|\+=|->|<-|[-+*/%=<>()\[\]{},.:|;])", re.S)
 
 
 class Unsupported(ValueError):
