@@ -293,11 +293,11 @@ def diagnose(text: str, language: str) -> tuple[int, int, str] | None:
             line.append((c, offset))
             continue
         if language == "py":
-            body = "".join(k for k, _ in line[1:])
+            body = "".join(k for k, _ in line[2:])  # behind the line end and its indent
             if body and _python_line(g, body, {}) == BAD:
                 head = _python_heads().get(body[0])
                 far = g.parse(head[0] if head else "simple", body)[1]
-                return place(line[1 + min(far, len(body) - 1)][1], "unexpected token")
+                return place(line[2 + min(far, len(body) - 1)][1], "unexpected token")
         line = [(c, offset)] if language == "py" else []
     if language == "py":
         s, at = _python_skeleton(g.reduced(kinds_of("py").shape("\n" + text))[1:], g)

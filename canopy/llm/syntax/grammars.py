@@ -246,7 +246,7 @@ stmt = 'local' 'FUNCTION' / 'local' name attr (',' name attr)* ('=' exprs)? / 'F
 name = ID
 attr = ('<' ID '>')?
 assign = post (',' post)* '=' exprs
-call = post
+call = (ID / <paren>) (('.' ID / <index>)* (':' ID)? (<args> / <table> / STR))+
 exprs = expr (',' expr)*
 expr = unary (binop unary)*
 binop = 'or' / 'and' / '<=' / '>=' / '<' / '>' / '~=' / '==' / '|' / '~' / '&' / '<<' / '>>' / '..' / '+' / '-' / '*' / '//' / '/' / '%' / '^'

@@ -55,6 +55,10 @@ _GOOD_NUMBER = {
 _GOOD_NUMBER["ts"] = _GOOD_NUMBER["js"]
 
 
+#: Names that grammars use for token classes and reduced blocks; as words of a source they are ordinary names.
+INTERNAL = {"ID", "NUM", "STR", "FUNCTION", "LAMBDA", "IF", "DO", "REPEAT", *"SILEWRTXFADCHMKilewrtxfdchk"}
+
+
 class Kinds(dict):
     """Kind of each token text of a language."""
 
@@ -101,7 +105,7 @@ class Kinds(dict):
             return char("NUM") if _GOOD_NUMBER[language].match(t) else BAD
         if c in "\"'`" or (language == "lua" and t[:2] in ("[[", "[=")) or (language == "py" and t[-1] in "\"'"):
             return char("STR") if len(t) > 1 else BAD
-        if t in self.grammar.chars:
+        if t in self.grammar.chars and t not in INTERNAL:
             return self.grammar.chars[t]
         if c.isalpha() or c in "_$#":
             if len(t) == 1 and c == "#":
