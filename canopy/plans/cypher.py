@@ -107,6 +107,10 @@ class Parser:
                 e = self.expression()
                 self.take("AS")
                 out.append(("unwind", e, self.name()))
+            elif self.word("DETACH", "DELETE"):
+                out.append(("delete", True, self.names()))
+            elif self.word("DELETE"):
+                out.append(("delete", False, self.names()))
             elif self.word("WITH"):
                 out.append(("with", *self.projection(), self.where()))
             elif self.word("RETURN"):
@@ -115,6 +119,12 @@ class Parser:
                 raise Unsupported(f"clause {self.peek()!r}")
         return out
 
+    def names(self) -> list[str]:
+        out = [self.name()]
+        while self.word(","):
+            out.append(self.name())
+        return out
+
     def where(self) -> tuple | None:
         return self.expression() if self.word("WHERE") else None
 
@@ -420,7 +430,8 @@ class Planner:
         """The rows of the patterns alone; variables of `bound` are scanned again, to be joined by their ids."""
         table, here, fixed = None, set(), []
         for path in sorted(patterns, key=lambda p: 0 if any(isinstance(x, Node) and x.name in bound for x in p) else 1):
-            if path[0].name not in here and path[-1].name in here:
+            first, last = path[0].name, path[-1].name
+            if (first not in here and last in here) or (not here and first not in bound and last in bound):
                 path = [replace(x, direction={"<": ">", ">": "<", "-": "-"}[x.direction]) if isinstance(x, Step) else x for x in reversed(path)]
             first = path[0]
             if first.name in here and table is not None:
@@ -429,6 +440,9 @@ class Planner:
                 self.nodes.add(first.name)
                 here.add(first.name)
                 scan = self.scan(first)
+                if first.name in bound and self.table is not None:  # only from what is bound already
+                    ids = self.table.select(F.col(f"`{first.name}.node_id`").alias("_id")).distinct()
+                    scan = scan.join(ids, F.col(f"`{first.name}.node_id`") == F.col("_id"), "left_semi")
                 for test in self.fits(first):
                     scan = scan.where(test)
                 if table is None:
@@ -461,6 +475,8 @@ class Planner:
             for k, v in step.properties.items():
                 rows = rows.where(self.property(step.name, k) == self.column(v))
         else:
+            ids = self.graph.nodes.select("node_id")  # no walk leads over a node that doesn't exist
+            edges = edges.join(ids, F.col("from_id") == F.col("node_id"), "left_semi").join(ids, F.col("to_id") == F.col("node_id"), "left_semi")
             steps = edges.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
             if step.direction == "<":
                 steps = steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -576,3 +592,80 @@ def query(graph, text: str, params: dict | None = None) -> DataFrame:  # noqa: A
     """The result of a read."""
     read_only(text)
     return Planner(graph, params or {}).run(Parser(text).clauses())
+
+
+_MERGE_NODE = re.compile(r"\s*UNWIND\s+\$(\w+)\s+AS\s+(\w+)\s+(MERGE|CREATE)\s*\(\s*(\w+)\s*:\s*(\w+)\s*\{\s*(\w+)\s*:\s*\2\.(\w+)\s*\}\s*\)\s*(?:SET\s+\4\s*\+=\s*\2\.(\w+)\s*)?;?\s*$", re.I | re.S)
+_END = r"\(\s*(\w+)\s*:\s*(\w+)\s*\{\s*(\w+)\s*:\s*%s\.(\w+)\s*\}\s*\)"
+_MERGE_EDGE = re.compile(
+    r"\s*UNWIND\s+\$(?P<batch>\w+)\s+AS\s+(?P<row>\w+)\s+MATCH\s*" + _END % "(?P=row)" + r"\s*,\s*" + _END % "(?P=row)" + r"\s*(?P<verb>MERGE|CREATE)\s*\(\s*\w+\s*\)\s*-\s*\[\s*(?P<rel>\w+)\s*:\s*(?P<type>\w+)\s*\]\s*->\s*\(\s*\w+\s*\)\s*(?:SET\s+\w+\s*\+=\s*(?P=row)\.(?P<props>\w+)\s*)?(?:RETURN\s+count\(\s*\w+\s*\)\s+AS\s+(?P<created>\w+)\s*)?;?\s*$",
+    re.I | re.S,
+)
+
+
+def _text(value: object) -> str | None:
+    return None if value is None else str(value).lower() if isinstance(value, bool) else str(value)
+
+
+def _write_nodes(graph, m: re.Match, params: dict):  # noqa: ANN001, ANN202
+    from canopy.operators import mutate
+
+    batch, _, verb, _, label, key, field_, props = m.groups()
+    spark = graph.nodes.sparkSession
+    rows = [(k, r) for k, r in enumerate(params[batch]) if r.get(field_) is not None]
+    if verb.upper() == "CREATE":
+        made = [(label, {key: str(r[field_]), **{k: _text(v) for k, v in (r.get(props) or {}).items() if v is not None}}, n) for n, r in rows]
+        return mutate.create_nodes(graph, spark.createDataFrame(made, "label string, properties map<string,string>, seq bigint"))
+    stage = [(label, str(r[field_]), p, _text(v), n) for n, r in rows for p, v in {**(r.get(props) or {} if props else {}), key: r[field_]}.items()]
+    return mutate.merge_nodes(graph, spark.createDataFrame(stage, "label string, key string, property string, value string, seq bigint"))
+
+
+def _write_edges(graph, m: re.Match, params: dict):  # noqa: ANN001, ANN202
+    from canopy.operators import mutate
+
+    g = m.groups()
+    (_, a_label, _, a_field), (_, b_label, _, b_field) = g[2:6], g[6:10]
+    spark = graph.nodes.sparkSession
+    rows = [(a_label, _text(r.get(a_field)), m["type"].upper(), b_label, _text(r.get(b_field)), {k: _text(v) for k, v in ((r.get(m["props"]) or {}) if m["props"] else {}).items()}, n) for n, r in enumerate(params[m["batch"]])]
+    stage = spark.createDataFrame(rows, "from_label string, from_key string, type string, to_label string, to_key string, properties map<string,string>, seq bigint")
+    made = (mutate.merge_edges if m["verb"].upper() == "MERGE" else mutate.create_edges)(graph, stage)
+    return made, mutate.with_endpoints(stage, graph.nodes).agg(F.count("*").alias(m["created"])) if m["created"] else None
+
+
+def execute(graph, text: str, params: dict | None = None):  # noqa: ANN001, ANN201
+    """The graph after a write, and the rows it returns, if any.
+
+    Forms: UNWIND of a batch with MERGE or CREATE of nodes or edges (a count is that of matched rows), and MATCH ... [DETACH]
+    DELETE. Without DETACH only relationships and nodes without any can be deleted.
+    """
+    from canopy.operators import mutate
+
+    params = params or {}
+    if m := _MERGE_NODE.match(text):
+        return _write_nodes(graph, m, params), None
+    if m := _MERGE_EDGE.match(text):
+        return _write_edges(graph, m, params)
+    clauses = Parser(text).clauses()
+    if not clauses or clauses[-1][0] != "delete" or any(c[0] != "match" for c in clauses[:-1]):
+        raise Unsupported("no write of a known form")
+    planner = Planner(graph, params)
+    for c in clauses[:-1]:
+        planner._match(*c[1:])
+    _, detach, names = clauses[-1]
+    ids = rels = None
+    for n in names:
+        if n in planner.nodes:
+            more = planner.table.select(F.col(f"`{n}.node_id`").alias("id"))
+            ids = more if ids is None else ids.unionAll(more)
+        elif n in planner.edges:
+            more = planner.table.select(F.col(f"`{n}.rel_id`").alias("rel_id"))
+            rels = more if rels is None else rels.unionAll(more)
+        else:
+            raise Unsupported(f"{n} is not bound")
+    if rels is not None:
+        graph = type(graph)(graph.nodes, graph.edges.join(rels.distinct(), "rel_id", "left_anti"))
+    if ids is not None:
+        ids = ids.where("id is not null").distinct()
+        if not detach and graph.steps().join(ids, (F.col("src") == F.col("id")) | (F.col("dst") == F.col("id")), "left_semi").limit(1).count():
+            raise Unsupported("DELETE of nodes that have relationships")
+        graph = mutate.detach(graph, ids)
+    return graph, None

@@ -566,3 +566,57 @@ def semantic_search(spark: SparkSession, d: str) -> DataFrame:
     wanted = good.orderBy("cache_id").select("embedding").first()
     best = vector.top_k(cache, "cache_id", "embedding", list(wanted[0]) if wanted else [0.0] * 768, 25)
     return cache.join(F.broadcast(best), "cache_id").select("cache_id", "qualified_name", F.bround("score", 3).alias("score"))
+
+
+# More of the statements that the reference's tools issue.
+cypher("embedding_candidates", "MATCH (m:Module)-[:DEFINES]->(n) WHERE (n:Function OR n:Method) RETURN id(n) AS node_id, n.qualified_name AS qualified_name, n.start_line AS start_line, m.path AS path ORDER BY n.qualified_name", "select n.node_id, n.qualified_name, n.start_line, m.path from edges e join nodes m on m.node_id = e.from_id join nodes n on n.node_id = e.to_id where e.type = 'DEFINES' and m.label = 'Module' and n.label in ('Function','Method')")
+cypher("source_location", "MATCH (m:Module)-[:DEFINES]->(n) WHERE id(n) IN $ids RETURN n.qualified_name AS qualified_name, n.start_line AS start_line, m.path AS path", "select n.qualified_name, n.start_line, m.path from edges e join nodes m on m.node_id = e.from_id join nodes n on n.node_id = e.to_id where e.type = 'DEFINES' and m.label = 'Module' and n.node_id between 3000 and 4000", ids=list(range(3000, 4001)))
+cypher("exported_functions", "MATCH (n:Function|Method) WHERE n.is_exported = 'true' AND toLower(n.name) CONTAINS 'e' RETURN n.name AS name, n.qualified_name AS qualified_name, labels(n) AS type", "select name, qualified_name, [label] as type from nodes where label in ('Function','Method') and is_exported = 'true' and contains(lower(name), 'e')")
+cypher("all_file_paths", "MATCH (f:File) RETURN f.path AS path, f.project AS project", "select path, project from nodes where label = 'File'")
+cypher("module_paths", "MATCH (m:Module) WHERE m.is_external IS NULL OR m.is_external = 'false' RETURN m.path AS path, m.qualified_name AS qualified_name", "select path, qualified_name from nodes where label = 'Module'")
+cypher("folder_paths", "MATCH (f:Folder) RETURN f.path AS path", "select path from nodes where label = 'Folder'")
+cypher("external_dependencies", "MATCH (p)-[r:DEPENDS_ON_EXTERNAL]->(x:ExternalPackage) RETURN id(p) AS project_id, x.name AS package, r.version_spec AS spec", "select p.node_id as project_id, x.name as package, e.version_spec as spec from edges e join nodes p on p.node_id = e.from_id join nodes x on x.node_id = e.to_id where e.type = 'DEPENDS_ON_EXTERNAL' and x.label = 'ExternalPackage'")
+cypher("regex_match", "MATCH (n:Class) WHERE n.name =~ '[A-M].*(Node|Store|Cache)' RETURN id(n) AS node_id, n.name AS name", "select node_id, name from nodes where label = 'Class' and regexp_full_match(name, '[A-M].*(Node|Store|Cache)')")
+cypher("callers_of_popular", "MATCH (a)-[:CALLS]->(b) WITH b, count(a) AS callers WHERE callers > 8 MATCH (m)-[:DEFINES]->(b) RETURN id(b) AS node_id, callers, m.qualified_name AS module", "with c as (select b.node_id, count(*) as callers from edges e join nodes a on a.node_id = e.from_id join nodes b on b.node_id = e.to_id where e.type = 'CALLS' group by b.node_id having count(*) > 8) select c.node_id, c.callers, m.qualified_name as module from c join edges e on e.to_id = c.node_id and e.type = 'DEFINES' join nodes m on m.node_id = e.from_id")
+
+
+@add("with p as (select min(name) as p from nodes where label = 'Project') select n.node_id from edges e join nodes m on m.node_id = e.from_id join nodes n on n.node_id = e.to_id, p where e.type = 'DEFINES' and m.label = 'Module' and n.label in ('Function','Method') and starts_with(m.qualified_name, p.p || '.')")
+def project_node_ids(spark: SparkSession, d: str) -> DataFrame:
+    g = Graph.from_tables(spark, d)
+    text_ = "MATCH (m:Module)-[:DEFINES]->(n) WHERE (n:Function OR n:Method) AND m.qualified_name STARTS WITH $prefix RETURN id(n) AS node_id"
+    return g.cypher(text_, prefix=_project(g) + ".")
+
+
+_WANTED = "(select qualified_name from nodes where label in ('Function','Method') and qualified_name is not null order by qualified_name limit 30)"
+
+
+@add(
+    f"with live as (select e.* from edges e join nodes a on a.node_id = e.from_id join nodes b on b.node_id = e.to_id), w as (select node_id, qualified_name from nodes where qualified_name in {_WANTED}), u as (select from_id as s, to_id as t from live union select to_id, from_id from live), r as (select node_id as start, node_id as id, 0 as n from w union select r.start, u.t, r.n + 1 from r join u on u.s = r.id where r.n < 3), m as (select r.start, arg_min(r.id, {{'n': r.n, 'i': r.id}}) as id, min(r.n) as n from r join nodes x on x.node_id = r.id where x.label = 'Module' and r.n > 0 group by r.start) select w.node_id, w.qualified_name, m.id as module_id, m.n::int as hops from w left join m on m.start = w.node_id"
+)
+def find_with_module(spark: SparkSession, d: str) -> DataFrame:
+    g = Graph.from_tables(spark, d)
+    wanted = g.cypher("MATCH (n:Function|Method) WHERE n.qualified_name IS NOT NULL RETURN DISTINCT n.qualified_name AS qualified_name ORDER BY qualified_name LIMIT 30")
+    return g.find(wanted).select("node_id", "qualified_name", "module_id", F.col("hops").cast("int").alias("hops"))
+
+
+@add("with live as (select e.* from edges e join nodes a on a.node_id = e.from_id join nodes b on b.node_id = e.to_id), h as (select node_id as id from nodes where label = 'Project' and name = (select max(name) from nodes where label = 'Project') union select e.to_id from h join live e on e.from_id = h.id and e.type in ('CONTAINS_PACKAGE','CONTAINS_FOLDER','CONTAINS_FILE','CONTAINS_MODULE')), p as (select node_id as id from nodes where label = 'Project' and name = (select max(name) from nodes where label = 'Project')), first as (select distinct e.to_id as id from h join live e on e.from_id = h.id and e.type in ('DEFINES','DEFINES_METHOD') where h.id not in (select id from p)), g as (select id from first union select e.to_id from g join live e on e.from_id = g.id and e.type in ('DEFINES','DEFINES_METHOD')), gone as (select id from h union select id from g) select count(*) as left_nodes, (select count(*) from edges where from_id not in (select id from gone) and to_id not in (select id from gone)) as left_edges from nodes where node_id not in (select id from gone)")
+def delete_project_statement(spark: SparkSession, d: str) -> DataFrame:
+    """The reference's own statement, run as text."""
+    g = Graph.from_tables(spark, d)
+    name = g.labelled("Project").agg(F.max(F.try_element_at("properties", F.lit("name")))).first()[0] or ""
+    statement = "MATCH (p:Project {name: $project_name}) OPTIONAL MATCH (p)-[:CONTAINS_PACKAGE|CONTAINS_FOLDER|CONTAINS_FILE|CONTAINS_MODULE*]->(container) OPTIONAL MATCH (container)-[:DEFINES|DEFINES_METHOD*]->(defined) DETACH DELETE p, container, defined"
+    left, _ = g.execute(statement, project_name=name)
+    return left.nodes.agg(F.count("*").alias("left_nodes")).join(F.broadcast(left.edges.agg(F.count("*").alias("left_edges"))))
+
+
+@add("select snippet_id, array_to_string(string_split(rtrim(source_code, chr(10)), chr(10))[11:15], '|') as page from code_snippet where source_code is not null and not regexp_matches(source_code, '[\\r\\x0b\\x0c\\x{85}\\x{2028}\\x{2029}]') and len(string_split(rtrim(source_code, chr(10)), chr(10))) >= 15", graph=False)
+def paginated_read(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "code_snippet").where("source_code is not null").where(~F.regexp_like("source_code", F.lit("[\r\x0b\x0c\x85  ]")))
+    rows = rows.where(F.size(F.split(F.regexp_replace("source_code", "\n+$", ""), "\n")) >= 15)
+    return rows.select("snippet_id", F.array_join(text.excerpt(F.col("source_code"), 10, 5), "|").alias("page"))
+
+
+@add("select distinct name, array_to_string(list_transform(string_split(name, '_'), lambda x: upper(x[1]) || lower(x[2:])), '') as camel, split_part(regexp_replace(qualified_name, ':', '.', 'g'), '.', -1) as last from nodes where label = 'Function' and name is not null and qualified_name is not null")
+def name_scalars(spark: SparkSession, d: str) -> DataFrame:
+    rows = Graph.from_tables(spark, d).cypher("MATCH (f:Function) WHERE f.name IS NOT NULL AND f.qualified_name IS NOT NULL RETURN f.name AS name, f.qualified_name AS qn")
+    return rows.select("name", names.camel(F.col("name")).alias("camel"), names.last_part(F.col("qn")).alias("last")).distinct()

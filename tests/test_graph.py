@@ -133,3 +133,30 @@ def test_nearest_hits_order(spark):
     starts = spark.createDataFrame([(1, "m"), (1, "k"), (5, "m"), (6, "m"), (1, "none")], "start bigint, name string")
     assert {(r.start, r.name): (r.id, r.hops) for r in traverse.nearest_hits(starts, edges, hits).collect()} == {(1, "m"): (3, 1), (1, "k"): (2, 1), (5, "m"): (9, 2)}
     assert {(r.start): r.id for r in traverse.nearest_hits(starts.where("start = 6"), edges, hits, own=True).collect()} == {6: 6}
+
+
+def test_writes_as_text(golden):
+    batch = [{"id": "mod.foo", "props": {"name": "new", "is_exported": True}}, {"id": "mod.z", "props": {"name": "z"}}, {"id": None, "props": {}}]
+    g, _ = golden.execute("UNWIND $batch AS row MERGE (n:Function {qualified_name: row.id}) SET n += row.props", batch=batch)
+    assert {r.properties["qualified_name"]: r.properties["name"] for r in g.labelled("Function").collect()} == {"mod.foo": "new", "mod.bar": "bar", "mod.z": "z"}
+    edges = [{"from_val": "mod.foo", "to_val": "mod.z", "props": {"line": 42}}, {"from_val": "mod.foo", "to_val": "nowhere", "props": {}}]
+    text = "UNWIND $batch AS row MATCH (a:Function {qualified_name: row.from_val}), (b:Function {qualified_name: row.to_val}) MERGE (a)-[r:CALLS]->(b) SET r += row.props RETURN count(r) AS created"
+    h, created = g.execute(text, batch=edges)
+    assert created.first()[0] == 1 and h.edges.where("type = 'CALLS'").count() == 2
+    h, _ = h.execute("UNWIND $batch AS row CREATE (n:Class {qualified_name: row.id})", batch=[{"id": "q"}])
+    assert h.labelled("Class").count() == 2
+    assert golden.execute("MATCH ()-[r:CALLS]->() DELETE r")[0].edges.count() == 3
+    assert golden.execute("MATCH (n) DETACH DELETE n")[0].nodes.count() == 0
+    assert golden.execute("MATCH (m:Module {path: $path})-[*0..]->(c) DETACH DELETE m, c", path="mod.py")[0].nodes.count() == 0
+    left = golden.execute("MATCH (m:Module {name: 'mod'}) OPTIONAL MATCH (m)-[:DEFINES*]->(d:Class) DETACH DELETE m, d")[0]
+    assert left.nodes.count() == 2 and left.edges.count() == 1
+    for bad in ("MATCH (m:Module) DELETE m", "MATCH (n) SET n.x = 1", "MATCH (n) RETURN n"):
+        with pytest.raises(Unsupported):
+            golden.execute(bad)
+
+
+def test_find(golden, spark):
+    got = golden.find(spark.createDataFrame([("mod.bar",), ("none",)], "qualified_name string")).collect()
+    assert [(r.node_id, r.path, r.module_id, r.hops) for r in got] == [(2, "mod.py", 4, 1)]
+    text = "MATCH (n) WHERE n.qualified_name = $qn OPTIONAL MATCH (m:Module)-[*]-(n) RETURN n.name AS name, m.path AS path LIMIT 1"
+    assert rows(golden.cypher(text, qn="mod.bar")) == [("bar", "mod.py")]
