@@ -175,12 +175,51 @@ def resolve_paths(edges: DataFrame, cycles: DataFrame | None = None) -> DataFram
 
 
 def descendants(paths: DataFrame) -> DataFrame:
-    """(`hierarchy`, `ancestor_id`, `node_id`, `distance`) of every node below each node, from `resolve_paths`."""
+    """(`hierarchy`, `ancestor_id`, `node_id`, `distance`) of every node below each node, from `resolve_paths`.
+
+    Only along the one parent that `resolve_paths` follows; `all_descendants` follows all.
+    """
     return paths.select("hierarchy", "node_id", F.posexplode("ancestors").alias("at", "ancestor_id")).select("hierarchy", "ancestor_id", "node_id", (F.col("at") + 1).alias("distance"))
 
 
 def hierarchy_report(paths: DataFrame) -> DataFrame:
-    """`resolve_paths` with `path` as text from the root to the node, and the number of all descendants."""
+    """`resolve_paths` with `path` as text from the root to the node, and the number of descendants along these paths."""
     below = descendants(paths).groupBy("hierarchy", F.col("ancestor_id").alias("node_id")).agg(F.count("*").alias("n_descendants"))
     path = F.array_join(F.concat(F.reverse("ancestors"), F.array("node_id")).cast("array<string>"), "/")
     return paths.join(below, ["hierarchy", "node_id"], "left").select("hierarchy", "node_id", "root_id", "depth", path.alias("path"), F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"), "in_cycle")
+
+
+def all_descendants(edges: DataFrame) -> DataFrame:
+    """(`hierarchy`, `ancestor_id`, `node_id`, `distance`) of every node below each node over all edges, through every parent.
+
+    `distance` is the length of the shortest walk. Members of a cycle are below each other, and what is above or below one
+    of them is so for all; no node is below itself. After k rounds all pairs up to 2^k links apart are known; a farther one
+    up to 2^(k+1) passes a node exactly 2^k above, so only pairs of that distance are joined, and there are as many rounds
+    as the longest distance has binary digits.
+    """
+    edges = edges.select(*KEY).where("hierarchy is not null and child is not null and parent is not null and child <> parent").distinct()
+    known, far = cut(edges.withColumn("distance", F.lit(1))), 1
+    while True:
+        step = known.where(F.col("distance") == far).select("hierarchy", "child", F.col("parent").alias("middle"))
+        up = known.select("hierarchy", F.col("child").alias("middle"), "parent", (F.col("distance") + far).alias("distance"))
+        longer = step.join(up, ["hierarchy", "middle"]).where("child <> parent").groupBy(*KEY).agg(F.min("distance").alias("distance"))
+        new = cut(longer.join(known.select(*KEY), KEY, "left_anti"))
+        if not new.limit(1).count():
+            return known.select("hierarchy", F.col("parent").alias("ancestor_id"), F.col("child").alias("node_id"), "distance")
+        known, far = cut(known.unionByName(new)), 2 * far
+
+
+def all_roots(edges: DataFrame, below: DataFrame | None = None) -> DataFrame:
+    """(`hierarchy`, `node_id`, `root_id`) of every root above each node; a root has itself.
+
+    A root has no ancestors but those that are also below it; of a cycle with nothing above it the smallest id stands.
+    """
+    edges = edges.select(*KEY).where("hierarchy is not null and child is not null and parent is not null").distinct()
+    below = cut(all_descendants(edges)) if below is None else below
+    nodes = edges.select("hierarchy", F.explode(F.array("child", "parent")).alias("node_id")).distinct()
+    back = below.select("hierarchy", F.col("node_id").alias("ancestor_id"), F.col("ancestor_id").alias("node_id"))
+    lower = below.join(back, ["hierarchy", "ancestor_id", "node_id"], "left_anti").select("hierarchy", "node_id").distinct()
+    mutual = below.join(back, ["hierarchy", "ancestor_id", "node_id"], "left_semi").where("ancestor_id < node_id").select("hierarchy", "node_id").distinct()
+    roots = cut(nodes.join(lower, ["hierarchy", "node_id"], "left_anti").join(mutual, ["hierarchy", "node_id"], "left_anti").select("hierarchy", F.col("node_id").alias("root_id")))
+    under = below.join(roots.withColumnRenamed("root_id", "ancestor_id"), ["hierarchy", "ancestor_id"], "left_semi").select("hierarchy", "node_id", F.col("ancestor_id").alias("root_id"))
+    return under.unionByName(roots.select("hierarchy", F.col("root_id").alias("node_id"), "root_id"))

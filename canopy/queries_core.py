@@ -32,6 +32,14 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(_paths(spark, d))
 
 
+def p1_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.all_descendants(hierarchy.hierarchy_edges(table(spark, d, "graph_relationship")))
+
+
+def p1_all_roots(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.all_roots(hierarchy.hierarchy_edges(table(spark, d, "graph_relationship")))
+
+
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     return orphans.direct_orphans(orphans.edge_references(table(spark, d, "graph_relationship")), records(spark, d))
 
@@ -51,7 +59,7 @@ def p4_cascade(spark: SparkSession, d: str) -> DataFrame:
     return found.select("hierarchy", "node_id", "level", F.when(F.col("level") == 0, "direct").otherwise("inherited").alias("kind"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p4_found, p4_report, p4_cascade)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_all_descendants, p1_all_roots, p4_found, p4_report, p4_cascade)}
 
 _EDGES = """
 edges as (

@@ -73,3 +73,37 @@ def test_paths(spark):
 def test_descendants(spark):
     edges = spark.createDataFrame([("a", 2, 1), ("a", 3, 2), ("a", 4, 2)], SCHEMA)
     assert {tuple(r)[1:] for r in H.descendants(H.resolve_paths(edges)).collect()} == {(1, 2, 1), (1, 3, 2), (1, 4, 2), (2, 3, 1), (2, 4, 1)}
+
+
+def brute_below(edges):
+    out = {}
+    for h in {e[0] for e in edges}:
+        up = {}
+        for _, c, p in (e for e in edges if e[0] == h):
+            up.setdefault(c, set()).add(p)
+        for n in up:
+            level, seen, depth = {n}, {n}, 0
+            while level:
+                level, depth = {p for c in level for p in up.get(c, ())} - seen, depth + 1
+                seen |= level
+                out |= {(h, a, n): depth for a in level}
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_all_descendants_and_roots_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.choice("ab"), rng.randrange(60), rng.randrange(60)) for _ in range(90)] + [("c", i + 1, i) for i in range(40)] + [("c", 20, 40), ("c", 30, 2), ("d", 5, 5)]
+    below, df = brute_below(edges), spark.createDataFrame(edges, SCHEMA)
+    assert {tuple(r)[:3]: r.distance for r in H.all_descendants(df).collect()} == below
+    nodes = {(e[0], n) for e in edges for n in e[1:]}
+    top = {(h, n) for h, n in nodes if all((h, n, a) in below for g, a, m in below if (g, m) == (h, n))}
+    roots = {(h, n) for h, n in top if not any((h, a, n) in below for g, a in top if g == h and a < n)}
+    assert {tuple(r) for r in H.all_roots(df).collect()} == {(h, n, a) for h, a, n in below if (h, a) in roots} | {(h, n, n) for h, n in roots}
+
+
+def test_all_descendants_through_every_parent_and_cycle(spark):
+    edges = spark.createDataFrame([("a", 3, 1), ("a", 3, 2), ("a", 4, 3), ("a", 5, 4), ("a", 4, 5), ("a", 6, 5)], SCHEMA)
+    got = {tuple(r)[1:3] for r in H.all_descendants(edges).collect()}
+    assert got == {(a, n) for a in (1, 2) for n in (3, 4, 5, 6)} | {(3, 4), (3, 5), (3, 6), (4, 5), (4, 6), (5, 4), (5, 6)}
+    assert {tuple(r)[1:] for r in H.all_roots(edges).collect()} == {(n, a) for n in (3, 4, 5, 6) for a in (1, 2)} | {(1, 1), (2, 2)}
