@@ -1,6 +1,7 @@
 """Generated, minified, vendored files and data blobs, by belief propagation over directory trees.
 
-Files are told apart by (`project`, `file_path`); of repeated rows the longest text counts. Rows that weren't found, or
+Files are told apart by (`project`, `file_path`); of repeated rows the longest text counts. A file without the text of a
+Module row is judged by its parts (rows of other labels), whose evidence is averaged by length. Rows that weren't found, or
 whose path is null or empty, are no files; a null or empty text has only its path as evidence; a null project is a project
 of its own. Extra columns are dropped; an empty table gives an empty result.
 
@@ -115,20 +116,25 @@ def chain(project: str | None, path: str) -> list[tuple[int, list[float]]]:
 
 
 def observations(df: DataFrame, text: str = "source_code") -> DataFrame:
-    """(`project`, `file_path`, `weight`, `seen`, `dirs`, `named`) of each row: evidence, and the chain of directories."""
+    """(`project`, `file_path`, `part`, `weight`, `seen`, `dirs`, `named`) of each row: evidence, and the chain of directories.
+
+    `part` is null for Module rows and the text's hash for others, so that repeated rows count once.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         weight, seen, dirs, named = [], [], [], []
-        for p, f, t in zip(*(c.to_pylist() for c in batch.columns)):
+        for p, f, _, t in zip(*(c.to_pylist() for c in batch.columns)):
             up = chain(p, f)
             weight.append(len(t or ""))
             seen.append(evidence(f, t))
             dirs.append([d for d, _ in up])
             named.append([x for _, e in up for x in e])
-        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(weight, pa.int64()), pa.array(seen, pa.list_(pa.float64())), pa.array(dirs, pa.list_(pa.int64())), pa.array(named, pa.list_(pa.float64()))], ["project", "file_path", "weight", "seen", "dirs", "named"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(weight, pa.int64()), pa.array(seen, pa.list_(pa.float64())), pa.array(dirs, pa.list_(pa.int64())), pa.array(named, pa.list_(pa.float64()))], ["project", "file_path", "part", "weight", "seen", "dirs", "named"])
 
-    rows = df.where("found and file_path is not null and trim(file_path) <> ''").select("project", "file_path", F.when(F.col("label") == "Module", F.col(text)).alias("text"))
-    return map_rows(rows, run, "project string, file_path string, weight bigint, seen array<double>, dirs array<bigint>, named array<double>", 256)
+    rows = df.where("found and file_path is not null and trim(file_path) <> ''").select(
+        "project", "file_path", F.when(F.col("label").eqNullSafe("Module"), None).otherwise(F.coalesce(F.md5(text), F.lit(""))).alias("part"), text
+    )
+    return map_rows(rows, run, "project string, file_path string, part string, weight bigint, seen array<double>, dirs array<bigint>, named array<double>", 256)
 
 
 def _message(vector: list[Column], table: list[list[float]], down: bool = False) -> list[Column]:
@@ -146,7 +152,12 @@ def _columns(name: str) -> list[Column]:
 def beliefs(df: DataFrame) -> DataFrame:
     """(`project`, `file_path`, `label`, `probability`): the likeliest label of each file."""
     n = range(len(LABELS))
-    files = observations(df).groupBy("project", "file_path").agg(F.max_by("seen", "weight").alias("seen"), F.first("dirs").alias("dirs"), F.first("named").alias("named"))
+    rows = observations(df).groupBy("project", "file_path", "part").agg(F.max("weight").alias("weight"), F.max_by("seen", "weight").alias("seen"), F.first("dirs").alias("dirs"), F.first("named").alias("named"))
+    # Rows without text have only the path's evidence, which all rows of a file share.
+    weight = F.when(F.col("part").isNotNull(), F.col("weight").cast("double"))
+    mean = F.array(*(F.coalesce(F.try_divide(F.sum(weight * F.col("seen")[i]), F.sum(weight)), F.max(F.col("seen")[i])) for i in n))
+    whole = F.max_by("seen", F.when(F.col("part").isNull() & (F.col("weight") > 0), F.col("weight")))
+    files = rows.groupBy("project", "file_path").agg(F.coalesce(whole, mean).alias("seen"), F.first("dirs").alias("dirs"), F.first("named").alias("named"))
     files = cut(files)
     vectors = files.select("project", "file_path", F.col("dirs")[0].alias("dir"), *(F.col("seen")[i].alias(f"s{i}") for i in n))
     lift = _message(_columns("s"), TO_FILE)

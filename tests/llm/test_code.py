@@ -140,3 +140,16 @@ def test_provenance(spark):
     want = {"src/a.py": "handwritten", "src/b.py": "generated", "src/c.py": "handwritten", "vendor/lib-1.2/deep/er/d.py": "vendored", "vendor_portal/e.py": "handwritten", "src/f.js": "minified", "src/g.py": "blob", "third_party/x/h.py": "vendored", "src/i_pb2.py": "generated", "src/k.py": "handwritten", "vendor/q/m.py": "vendored"}
     assert {k[1]: v for k, v in got.items() if k[0] == "p"} == want and got[(None, "src/l.py")] == "vendored"
     assert provenance.not_handwritten(df.limit(0)).count() == 0
+
+
+def test_provenance_of_files_without_a_module_row(spark):
+    code = "def work(a, b):\n    for x in a:\n        if x == b:\n            return join(x, b)\n    return None\n" * 3
+    mini = "function z(){" + "".join(f"var a{i}=(t,e)=>t+e*{i}+t.k;function b{i}(n){{return n.q}}" for i in range(60)) + "}"
+    blob = "def data():\n    x = [\n" + "    1234, 5678, 9012, 3456,\n" * 60 + "]\n"
+    rows = [
+        module("a/f.js", mini, label="Function"), module("a/f.js", "function y(){}", label="Function"), module("b/g.py", blob, label="Method"), module("c/h.py", code, label="Function"), module("c/i.py", None, label="Function"),
+        module("d/j.js", mini, label="Function"), *[module("d/j.js", code + f"# {i}\n" * 9, label="Function") for i in range(40)], *[module("d/j.js", mini, label="Function")] * 90,
+        module("e/k.py", code), module("e/k.py", blob, label="Function"), module("f/l.py", None), module("f/l.py", blob, label="Function"),
+    ]
+    got = {r.file_path: r.label for r in provenance.beliefs(spark.createDataFrame(rows, ROW)).collect()}
+    assert got == {"a/f.js": "minified", "b/g.py": "blob", "c/h.py": "handwritten", "c/i.py": "handwritten", "d/j.js": "handwritten", "e/k.py": "handwritten", "f/l.py": "blob"}
