@@ -48,9 +48,16 @@ def _restrict(links: DataFrame, alive: DataFrame, rows: int) -> DataFrame:
 
 
 def _compose(first: DataFrame, second: DataFrame, rows: int) -> DataFrame:
-    """Walks made of a link of `first` and then one of `second`, once each; `rows` counts the second."""
+    """Walks made of a link of `first` and then one of `second`; `rows` counts the second."""
     up = second.select("hierarchy", F.col("child").alias("parent"), F.col("parent").alias("beyond"))
-    return first.join(small(up, rows), ["hierarchy", "parent"]).select("hierarchy", "child", F.col("beyond").alias("parent")).distinct()
+    return first.join(small(up, rows), ["hierarchy", "parent"]).select("hierarchy", "child", F.col("beyond").alias("parent"))
+
+
+def _inner(links: DataFrame) -> DataFrame:
+    """(`hierarchy`, `id`) of the nodes that have links upwards and downwards."""
+    end = lambda c, up: F.struct(F.col(c).alias("id"), F.lit(up).alias("up"))
+    ends = links.select("hierarchy", F.explode(F.array(end("child", True), end("parent", False))).alias("end")).select("hierarchy", "end.id", "end.up")
+    return ends.groupBy("hierarchy", "id").agg(F.bool_or("up").alias("up"), F.bool_or(~F.col("up")).alias("down")).where("up and down").select("hierarchy", "id")
 
 
 def cyclic_core(edges: DataFrame, growth: int = 4) -> DataFrame:
@@ -65,8 +72,7 @@ def cyclic_core(edges: DataFrame, growth: int = 4) -> DataFrame:
     pointers, size = edges, edges.count()
     limit, single, doubling = growth * size + 1_000_000, True, True
     while size:
-        alive = pointers.select("hierarchy", F.col("child").alias("id")).intersect(pointers.select("hierarchy", F.col("parent").alias("id")))
-        alive = cut(alive)
+        alive = cut(_inner(pointers))
         n = alive.count()
         kept = cut(_restrict(edges, alive, n))
         left = kept.count()
@@ -76,9 +82,10 @@ def cyclic_core(edges: DataFrame, growth: int = 4) -> DataFrame:
             pointers, single = kept, True
             continue
         edges, size = kept, left
-        if doubling:
-            inner = cut(_restrict(pointers, alive, n))
-            squared = cut(_compose(inner, inner, inner.count()))
+        if doubling and left:
+            # Of the single links only the core's are left; longer pointers between its nodes are squared.
+            inner = edges if single else _restrict(pointers, alive, n)
+            squared = cut(_compose(inner, inner, left).distinct())
             doubling = squared.count() <= limit
             pointers, single = (squared, False) if doubling else (edges, True)
         else:
@@ -150,43 +157,47 @@ def find_cycles(edges: DataFrame, growth: int = 64) -> DataFrame:
 
 
 def resolve_paths(edges: DataFrame, cycles: DataFrame | None = None) -> DataFrame:
-    """(`hierarchy`, `node_id`, `root_id`, `depth`, `ancestors`, `in_cycle`) of every node.
-
-    `ancestors` runs from the parent to the root. A node with several parents follows the smallest one. A node on a
-    cycle has no path of its own: it comes out as a root with `in_cycle` true, and what hangs below it hangs from it.
-    In each round a pointer jumps to where the node it leads to points, and the two path segments are joined; depth d
-    takes about log2(d) rounds.
+    """(`hierarchy`, `node_id`, `root_id`, `depth`, `ancestors`, `in_cycle`) of every node: one path from it to a root.
+
+    `ancestors` runs from the parent to the root. A node with several parents follows the smallest one; every ancestor
+    over every parent comes from `all_descendants`. The nodes of a cycle count as one, which stands in paths as the
+    cycle's smallest id, has the parents of all its members outside the cycle, and may have nodes above and below it; a
+    member has the cycle's path, with `in_cycle` true. A node without parents is its own root, a cycle without parents
+    outside has its smallest id. In each round a pointer jumps to where the node it leads to points, and the two path
+    segments are joined; depth d takes about log2(d) rounds, and only paths that are not yet at their root move on.
     """
     edges = cut(edges.select(*KEY).where("hierarchy is not null and child is not null and parent is not null").distinct())
-    cycles = cut((find_cycles(edges) if cycles is None else cycles).select("hierarchy", "node_id").distinct().withColumn("in_cycle", F.lit(True)))
-    nodes = edges.select("hierarchy", F.explode(F.array("child", "parent")).alias("node_id")).distinct()
-    first = edges.groupBy("hierarchy", F.col("child").alias("node_id")).agg(F.min("parent").alias("next"))
-    state = nodes.join(first, ["hierarchy", "node_id"], "left").join(cycles, ["hierarchy", "node_id"], "left")
-    state = state.select("hierarchy", "node_id", F.when(F.col("in_cycle").isNull(), F.col("next")).alias("next"), F.coalesce("in_cycle", F.lit(False)).alias("in_cycle"))
-    state = cut(state.withColumn("ancestors", F.when(F.col("next").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("next"))))
-    while state.where("next is not null").limit(1).count():
-        at = state.select("hierarchy", F.col("node_id").alias("next"), F.col("next").alias("beyond"), F.col("ancestors").alias("segment"))
-        state = cut(
-            state.join(at, ["hierarchy", "next"], "left").select(
-                "hierarchy", "node_id", F.col("beyond").alias("next"), "in_cycle", F.when(F.col("segment").isNull(), F.col("ancestors")).otherwise(F.concat("ancestors", "segment")).alias("ancestors")
-            )
-        )
-    return state.select("hierarchy", "node_id", F.coalesce(F.try_element_at("ancestors", F.lit(-1)), "node_id").alias("root_id"), F.size("ancestors").alias("depth"), "ancestors", "in_cycle")
-
-
-def descendants(paths: DataFrame) -> DataFrame:
-    """(`hierarchy`, `ancestor_id`, `node_id`, `distance`) of every node below each node, from `resolve_paths`.
-
-    Only along the one parent that `resolve_paths` follows; `all_descendants` follows all.
-    """
-    return paths.select("hierarchy", "node_id", F.posexplode("ancestors").alias("at", "ancestor_id")).select("hierarchy", "ancestor_id", "node_id", (F.col("at") + 1).alias("distance"))
-
-
-def hierarchy_report(paths: DataFrame) -> DataFrame:
-    """`resolve_paths` with `path` as text from the root to the node, and the number of descendants along these paths."""
-    below = descendants(paths).groupBy("hierarchy", F.col("ancestor_id").alias("node_id")).agg(F.count("*").alias("n_descendants"))
+    cycles = cut((find_cycles(edges) if cycles is None else cycles).select("hierarchy", "node_id", "cycle_id").distinct())
+    n = cycles.count()
+    of = lambda c: small(cycles.select("hierarchy", F.col("node_id").alias(c), F.col("cycle_id").alias(f"{c}_cycle")), n)
+    links = edges.join(of("child"), ["hierarchy", "child"], "left").join(of("parent"), ["hierarchy", "parent"], "left")
+    links = links.select("hierarchy", F.coalesce("child_cycle", "child").alias("node_id"), F.coalesce("parent_cycle", "parent").alias("next"))
+    # Loops inside a cycle keep their node, without a parent.
+    ends = links.select("hierarchy", F.explode(F.array(F.struct("node_id", F.when(F.col("next") != F.col("node_id"), F.col("next")).alias("next")), F.struct(F.col("next").alias("node_id"), F.lit(None).cast("bigint").alias("next")))).alias("e"))
+    first = ends.groupBy("hierarchy", "e.node_id").agg(F.min("e.next").alias("next"))
+    at = cut(first.withColumn("ancestors", F.when(F.col("next").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("next"))))
+    done = [at.where("next is null")]
+    while at.where("next is not null").limit(1).count():
+        # Whoever points to a finished node is finished by it, so the finished ones of all rounds stay to be met.
+        known = at.where("next is not null")
+        for d in done:
+            known = known.unionByName(d)
+        there = known.select("hierarchy", F.col("node_id").alias("next"), F.col("next").alias("beyond"), F.col("ancestors").alias("segment"))
+        at = cut(at.where("next is not null").join(there, ["hierarchy", "next"]).select("hierarchy", "node_id", F.col("beyond").alias("next"), F.concat("ancestors", "segment").alias("ancestors")))
+        done.append(at.where("next is null"))
+    paths = done[0]
+    for d in done[1:]:
+        paths = paths.unionByName(d)
+    paths = paths.select("hierarchy", "node_id", F.coalesce(F.try_element_at("ancestors", F.lit(-1)), "node_id").alias("root_id"), F.size("ancestors").alias("depth"), "ancestors")
+    member = small(cycles.select("hierarchy", F.col("cycle_id").alias("node_id"), F.col("node_id").alias("member")), n)
+    return paths.join(member, ["hierarchy", "node_id"], "left").select("hierarchy", F.coalesce("member", "node_id").alias("node_id"), "root_id", "depth", "ancestors", F.col("member").isNotNull().alias("in_cycle"))
+
+
+def hierarchy_report(paths: DataFrame, below: DataFrame) -> DataFrame:
+    """`resolve_paths` with `path` as text from the root to the node, and the number of all its descendants (`all_descendants`)."""
+    counts = below.groupBy("hierarchy", F.col("ancestor_id").alias("node_id")).agg(F.count("*").alias("n_descendants"))
     path = F.array_join(F.concat(F.reverse("ancestors"), F.array("node_id")).cast("array<string>"), "/")
-    return paths.join(below, ["hierarchy", "node_id"], "left").select("hierarchy", "node_id", "root_id", "depth", path.alias("path"), F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"), "in_cycle")
+    return paths.join(counts, ["hierarchy", "node_id"], "left").select("hierarchy", "node_id", "root_id", "depth", path.alias("path"), F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"), "in_cycle")
 
 
 def all_descendants(edges: DataFrame) -> DataFrame:
@@ -195,18 +206,21 @@ def all_descendants(edges: DataFrame) -> DataFrame:
     `distance` is the length of the shortest walk. Members of a cycle are below each other, and what is above or below one
     of them is so for all; no node is below itself. After k rounds all pairs up to 2^k links apart are known; a farther one
     up to 2^(k+1) passes a node exactly 2^k above, so only pairs of that distance are joined, and there are as many rounds
-    as the longest distance has binary digits.
+    as the longest distance has binary digits. Each round writes only its new pairs.
     """
     edges = edges.select(*KEY).where("hierarchy is not null and child is not null and parent is not null and child <> parent").distinct()
-    known, far = cut(edges.withColumn("distance", F.lit(1))), 1
+    known = latest = cut(edges.withColumn("distance", F.lit(1)))
+    far = 1
     while True:
-        step = known.where(F.col("distance") == far).select("hierarchy", "child", F.col("parent").alias("middle"))
+        step = latest.where(F.col("distance") == far).select("hierarchy", "child", F.col("parent").alias("middle"))
         up = known.select("hierarchy", F.col("child").alias("middle"), "parent", (F.col("distance") + far).alias("distance"))
-        longer = step.join(up, ["hierarchy", "middle"]).where("child <> parent").groupBy(*KEY).agg(F.min("distance").alias("distance"))
-        new = cut(longer.join(known.select(*KEY), KEY, "left_anti"))
-        if not new.limit(1).count():
+        longer = step.join(up, ["hierarchy", "middle"]).where("child <> parent").select(*KEY, "distance")
+        # Known pairs carry a mark, so that one grouping both finds the shortest walk and drops what was known.
+        new = longer.unionByName(known.select(*KEY, F.lit(0).alias("distance"))).groupBy(*KEY).agg(F.min("distance").alias("distance")).where("distance > 0")
+        latest = cut(new)
+        if not latest.limit(1).count():
             return known.select("hierarchy", F.col("parent").alias("ancestor_id"), F.col("child").alias("node_id"), "distance")
-        known, far = cut(known.unionByName(new)), 2 * far
+        known, far = known.unionByName(latest), 2 * far
 
 
 def all_roots(edges: DataFrame, below: DataFrame | None = None) -> DataFrame:
@@ -215,11 +229,10 @@ def all_roots(edges: DataFrame, below: DataFrame | None = None) -> DataFrame:
     A root has no ancestors but those that are also below it; of a cycle with nothing above it the smallest id stands.
     """
     edges = edges.select(*KEY).where("hierarchy is not null and child is not null and parent is not null").distinct()
-    below = cut(all_descendants(edges)) if below is None else below
+    below = all_descendants(edges) if below is None else below
     nodes = edges.select("hierarchy", F.explode(F.array("child", "parent")).alias("node_id")).distinct()
-    back = below.select("hierarchy", F.col("node_id").alias("ancestor_id"), F.col("ancestor_id").alias("node_id"))
-    lower = below.join(back, ["hierarchy", "ancestor_id", "node_id"], "left_anti").select("hierarchy", "node_id").distinct()
-    mutual = below.join(back, ["hierarchy", "ancestor_id", "node_id"], "left_semi").where("ancestor_id < node_id").select("hierarchy", "node_id").distinct()
-    roots = cut(nodes.join(lower, ["hierarchy", "node_id"], "left_anti").join(mutual, ["hierarchy", "node_id"], "left_anti").select("hierarchy", F.col("node_id").alias("root_id")))
+    back = below.select("hierarchy", F.col("node_id").alias("ancestor_id"), F.col("ancestor_id").alias("node_id"), F.lit(True).alias("mutual"))
+    above = below.join(back, ["hierarchy", "ancestor_id", "node_id"], "left").groupBy("hierarchy", "node_id").agg(F.bool_or(F.col("mutual").isNull() | (F.col("ancestor_id") < F.col("node_id"))).alias("lower")).where("lower")
+    roots = cut(nodes.join(above, ["hierarchy", "node_id"], "left_anti").select("hierarchy", F.col("node_id").alias("root_id")))
     under = below.join(roots.withColumnRenamed("root_id", "ancestor_id"), ["hierarchy", "ancestor_id"], "left_semi").select("hierarchy", "node_id", F.col("ancestor_id").alias("root_id"))
     return under.unionByName(roots.select("hierarchy", F.col("root_id").alias("node_id"), "root_id"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopy.operators import hierarchy, orphans
-from canopy.session import table
+from canopy.session import cut, table
 
 RECORD = ["node_id as id", "created_at", "deleted_at"]
 
@@ -20,24 +20,21 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.find_cycles(hierarchy.hierarchy_edges(table(spark, d, "graph_relationship"))).select("hierarchy", "cycle_id", "node_id")
 
 
-def _paths(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.resolve_paths(hierarchy.hierarchy_edges(table(spark, d, "graph_relationship")))
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.hierarchy_edges(table(spark, d, "graph_relationship"))
 
 
 def p1_paths(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.hierarchy_report(_paths(spark, d))
+    edges = cut(_edges(spark, d))
+    return hierarchy.hierarchy_report(hierarchy.resolve_paths(edges), hierarchy.all_descendants(edges))
 
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.descendants(_paths(spark, d))
+    return hierarchy.all_descendants(_edges(spark, d))
 
 
-def p1_all_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.all_descendants(hierarchy.hierarchy_edges(table(spark, d, "graph_relationship")))
-
-
-def p1_all_roots(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.all_roots(hierarchy.hierarchy_edges(table(spark, d, "graph_relationship")))
+def p1_roots(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.all_roots(_edges(spark, d))
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +56,7 @@ def p4_cascade(spark: SparkSession, d: str) -> DataFrame:
     return found.select("hierarchy", "node_id", "level", F.when(F.col("level") == 0, "direct").otherwise("inherited").alias("kind"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_all_descendants, p1_all_roots, p4_found, p4_report, p4_cascade)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_roots, p4_found, p4_report, p4_cascade)}
 
 _EDGES = """
 edges as (
@@ -77,15 +74,27 @@ reach as (select hierarchy, child as a, parent as b from edges
 cyc as (select x.hierarchy, min(least(x.a, x.b)) as cycle_id, x.a as node_id
   from reach x join reach y on y.hierarchy = x.hierarchy and y.a = x.b and y.b = x.a group by x.hierarchy, x.a)
 """
+_BELOW = """
+below(hierarchy, node_id, ancestor_id, distance) using key (hierarchy, node_id, ancestor_id) as (
+  select hierarchy, child, parent, 1 from edges where child <> parent
+  union
+  select b.hierarchy, b.node_id, e.parent, b.distance + 1 from below b join edges e on e.hierarchy = b.hierarchy and e.child = b.ancestor_id
+  where e.parent <> b.node_id and not exists (select 1 from recurring.below k where k.hierarchy = b.hierarchy and k.node_id = b.node_id and k.ancestor_id = e.parent))
+"""
 _FOREST = (
     _CYCLES
-    + """,
-nodes as (select hierarchy, child as node_id from edges union select hierarchy, parent from edges),
-up as (select hierarchy, child as node_id, min(parent) as parent from edges e
-  where not exists (select 1 from cyc c where c.hierarchy = e.hierarchy and c.node_id = e.child) group by hierarchy, child),
-walk as (select n.hierarchy, n.node_id, n.node_id as at, 0 as depth, n.node_id::varchar as path from nodes n
-  union all select w.hierarchy, w.node_id, u.parent, w.depth + 1, u.parent::varchar || '/' || w.path
-  from walk w join up u on u.hierarchy = w.hierarchy and u.node_id = w.at)
+    + f""",
+{_BELOW},
+reps as (select hierarchy, child as node_id from edges union select hierarchy, parent from edges),
+nodes as (select r.hierarchy, r.node_id, coalesce(c.cycle_id, r.node_id) as rep, c.cycle_id is not null as in_cycle
+  from reps r left join cyc c on c.hierarchy = r.hierarchy and c.node_id = r.node_id),
+up as (select e.hierarchy, a.rep as node_id, min(b.rep) as parent from edges e
+  join nodes a on a.hierarchy = e.hierarchy and a.node_id = e.child join nodes b on b.hierarchy = e.hierarchy and b.node_id = e.parent
+  where a.rep <> b.rep group by all),
+walk as (select hierarchy, node_id, in_cycle, rep as at, 0 as depth, node_id::varchar as path from nodes
+  union all select w.hierarchy, w.node_id, w.in_cycle, u.parent, w.depth + 1, u.parent::varchar || '/' || w.path
+  from walk w join up u on u.hierarchy = w.hierarchy and u.node_id = w.at),
+counts as (select hierarchy, ancestor_id, count(*) as n from below group by all)
 """
 )
 _ORPHANS = """
@@ -106,11 +115,17 @@ _T = "upper(trim(type, ' ' || chr(9) || chr(10) || chr(13)))"
 SQL = {
     "p1_found": _CYCLES + "select hierarchy, cycle_id, node_id from cyc",
     "p1_paths": _FOREST
-    + """select w.hierarchy, w.node_id, w.at as root_id, w.depth, w.path,
-  (select count(*) from walk d where d.hierarchy = w.hierarchy and d.at = w.node_id and d.depth > 0) as n_descendants,
-  exists (select 1 from cyc c where c.hierarchy = w.hierarchy and c.node_id = w.node_id) as in_cycle
-from walk w where not exists (select 1 from up u where u.hierarchy = w.hierarchy and u.node_id = w.at)""",
-    "p1_descendants": _FOREST + "select hierarchy, w.at as ancestor_id, node_id, depth as distance from walk w where depth > 0",
+    + """select w.hierarchy, w.node_id, w.at as root_id, w.depth, w.path, coalesce(n, 0) as n_descendants, w.in_cycle
+from walk w left join counts c on c.hierarchy = w.hierarchy and c.ancestor_id = w.node_id
+where not exists (select 1 from up u where u.hierarchy = w.hierarchy and u.node_id = w.at)""",
+    "p1_descendants": f"with recursive {_EDGES}, {_BELOW} select hierarchy, ancestor_id, node_id, distance from below",
+    "p1_roots": _CYCLES
+    + """, nodes as (select hierarchy, child as node_id from edges union select hierarchy, parent from edges),
+above as (select hierarchy, a as node_id, b as root_id from reach union select hierarchy, node_id, node_id from nodes),
+roots as (select hierarchy, node_id as root_id from nodes n where not exists (
+  select 1 from reach r where r.hierarchy = n.hierarchy and r.a = n.node_id and r.b <> n.node_id
+  and (r.b < n.node_id or not exists (select 1 from reach q where q.hierarchy = r.hierarchy and q.a = r.b and q.b = r.a))))
+select a.hierarchy, a.node_id, a.root_id from above a join roots r on r.hierarchy = a.hierarchy and r.root_id = a.root_id""",
     "p4_found": f"with {_ORPHANS} select distinct rel_id, endpoint, reason from orphan",
     "p4_report": f"""with {_ORPHANS} select 'graph_relationship' as origin, {_T} as type, endpoint, strftime(seen_at, '%Y-%m') as month, reason,
   count(*) as n_references, count(distinct rel_id) as n_edges from orphan group by all""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,13 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a folder of our own is made.
+    Only where that is unset and all runs in one process (a local master, as in tests) a folder of our own is made; on a
+    cluster other executors could not see such a folder, so there the session has to name one.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not configured and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     where = configured or tempfile.mkdtemp(prefix="canopy-checkpoint-")
     sc.setCheckpointDir(where)
     return where
