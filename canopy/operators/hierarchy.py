@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopy.session import cut, small
+from canopy.session import cut, cut_counted, small
 
 CONTAINMENT = ["CONTAINS_PACKAGE", "CONTAINS_FOLDER", "CONTAINS_FILE", "CONTAINS_MODULE", "DEFINES", "DEFINES_METHOD"]
 INHERITANCE = ["INHERITS", "IMPLEMENTS"]
@@ -60,33 +60,34 @@ def _inner(links: DataFrame) -> DataFrame:
     return ends.groupBy("hierarchy", "id").agg(F.bool_or("up").alias("up"), F.bool_or(~F.col("up")).alias("down")).where("up and down").select("hierarchy", "id")
 
 
-def cyclic_core(edges: DataFrame, growth: int = 4) -> DataFrame:
+def cyclic_core(edges: DataFrame, growth: int = 4, enough: int = 0) -> DataFrame:
     """The edges all of whose ends have endless walks upwards and downwards: those on cycles, or between two.
 
     In round k the pointers of a node lead to its ancestors 2^k links away. A node without pointers, or to which none
     lead, has no walk of that length and is on no cycle, so it goes; after logarithmically many rounds only the core is
     left. Where a node has several parents, pointers can multiply; above `growth` times the first edges the rounds go on
-    with the single links, which takes more of them and gives the same core.
+    with the single links, which takes more of them and gives the same core. With no more than `enough` edges left, the
+    rounds end as soon as one takes away less than half of them; some edges outside the core then come out too.
     """
-    edges = cut(edges)
-    pointers, size = edges, edges.count()
-    limit, single, doubling = growth * size + 1_000_000, True, True
+    edges, size = cut_counted(edges)
+    pointers, limit, single, doubling = edges, growth * size + 1_000_000, True, True
     while size:
-        alive = cut(_inner(pointers))
-        n = alive.count()
-        kept = cut(_restrict(edges, alive, n))
-        left = kept.count()
+        alive, n = cut_counted(_inner(pointers))
+        kept, left = cut_counted(_restrict(edges, alive, n))
         if left == size:
             if single:
                 return kept
             pointers, single = kept, True
             continue
+        slow = 2 * left > size and left <= enough
         edges, size = kept, left
+        if slow:
+            break
         if doubling and left:
             # Of the single links only the core's are left; longer pointers between its nodes are squared.
             inner = edges if single else _restrict(pointers, alive, n)
-            squared = cut(_compose(inner, inner, left).distinct())
-            doubling = squared.count() <= limit
+            squared, reached = cut_counted(_compose(inner, inner, left).distinct())
+            doubling = reached <= limit
             pointers, single = (squared, False) if doubling else (edges, True)
         else:
             pointers, single = edges, True
@@ -130,12 +131,10 @@ def _components(core: DataFrame, growth: int) -> DataFrame:
     Reach doubles in each round; two nodes that reach each other share a component. Where the pairs would outgrow
     `growth` times the core's edges, colours find the same components in linear space.
     """
-    reach = core
-    size = reach.count()
+    reach, size = cut_counted(core)
     limit = growth * size + 4_000_000
     while size:
-        wider = cut(reach.unionByName(_compose(reach, reach, size)).distinct())
-        now = wider.count()
+        wider, now = cut_counted(reach.unionByName(_compose(reach, reach, size)).distinct())
         if now == size:
             break
         if now > limit:
@@ -152,7 +151,7 @@ def find_cycles(edges: DataFrame, growth: int = 64) -> DataFrame:
     """
     edges = cut(edges.select(*KEY).where("hierarchy is not null and child is not null and parent is not null").distinct())
     loops = edges.where("child = parent").select("hierarchy", F.col("child").alias("node_id"))
-    found = _components(cyclic_core(edges.where("child <> parent")), growth).withColumnRenamed("id", "node_id")
+    found = _components(cyclic_core(edges.where("child <> parent"), enough=20_000), growth).withColumnRenamed("id", "node_id")
     return found.join(loops, ["hierarchy", "node_id"], "full").select("hierarchy", F.coalesce("cycle_id", "node_id").alias("cycle_id"), "node_id")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """`cut`, and the number of rows, which is observed while they are written."""
+    seen = Observation()
+    return cut(df.observe(seen, F.count(F.lit(1)).alias("n"))), seen.get["n"]
+
+
 #: Rows of a few numbers that are broadcast at most; about 10 MB.
 SMALL = 200_000
 
