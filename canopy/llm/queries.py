@@ -74,5 +74,10 @@ QUERIES = {f.__name__: f for f in (p2_found, p2_files, p2_rates, p3_found, p3_pi
 
 SQL = {
     "p3_found": "select snippet_id from code_snippet where length(source_code) > 6000",
+    "p6_found": """with raw as (select cache_id, embedding::double[768] as v from embedding_cache where cache_id is not null and len(embedding) = 768
+  and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+near as (select a.cache_id as a, b.cache_id as b, array_cosine_similarity(a.v, b.v) as c from raw a join raw b on a.cache_id <> b.cache_id),
+best as (select a, b from (select *, row_number() over (partition by a order by round(c, 12) desc, b) as place from near where c >= 0.8) where place <= 10)
+select distinct least(a, b) as cache_id_a, greatest(a, b) as cache_id_b from best""",
     "p8_round_trip": "select doc_id, true as same from documents",
 }

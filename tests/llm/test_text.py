@@ -86,8 +86,8 @@ def test_rotation_and_packing():
     y = neighbours.rotate(x, 5)
     assert np.allclose(x @ x.T, y @ y.T, atol=1e-5)
     assert np.abs(neighbours.unpack(neighbours.pack(x), 64) @ x.T - x @ x.T).max() < 1e-3
-    first, second = neighbours.signed_axis(y, 0, 64), neighbours.signed_axis(y, 0, 64, 1)
-    assert (first != second).all() and (first == 2 * np.abs(y).argmax(1) + (y[np.arange(50), np.abs(y).argmax(1)] < 0)).all()
+    first, second, gap = neighbours.signed_axes(y.copy(), 0, 64)
+    assert (first != second).all() and (gap >= 0).all() and (first == 2 * np.abs(y).argmax(1) + (y[np.arange(50), np.abs(y).argmax(1)] < 0)).all()
 
 
 VEC = "cache_id bigint, embedding array<float>, id string"
@@ -105,19 +105,39 @@ def test_neighbours(spark):
     rows = [(i, (v * (i % 3 + 1)).tolist(), "x") for i, v in enumerate(x)]
     bad = [(9000, None, "x"), (9001, [], "x"), (9002, [0.0] * 32, "x"), (9003, [float("nan")] * 32, "x"), (9004, [1.0] * 31, "x"), (None, [1.0] * 32, "x"), (9005, [float("inf")] + [1.0] * 31, "x")]
     df = spark.createDataFrame(rows + bad, VEC)
-    for options in ({}, {"tables": 2, "probes": 2}):
-        got = {tuple(r) for r in neighbours.nearest_pairs(df, dim=32, per_bucket=60, **options).collect()}
+    assert {tuple(r) for r in neighbours.nearest_pairs(df, dim=32).collect()} == truth  # one bucket: exact
+    for options in ({"per_bucket": 60}, {"tables": 2, "probes": 2, "per_bucket": 60}):
+        got = {tuple(r) for r in neighbours.nearest_pairs(df, dim=32, **options).collect()}
         assert len(got & truth) >= 0.9 * len(truth) and len(got & truth) >= 0.9 * len(got), options
         assert all(b < 9000 and a < b for a, b in got)
     deep = {tuple(r) for r in neighbours.nearest_pairs(df, dim=32, per_bucket=500, most=40, tables=4).collect()}  # buckets divided by further codes
-    assert all(s[a, b] >= 0.7999 for a, b in deep)
+    assert all(s[a, b] >= 0.7999 for a, b in deep) and len(deep & truth) >= 0.8 * len(truth)
     assert neighbours.nearest_pairs(df.limit(0), dim=32).count() == 0
 
 
 def test_copies(spark):
-    rows = [(i, [1.0, float(i // 20)] + [0.0] * 30, "x") for i in range(60)]
-    got = {tuple(r) for r in neighbours.nearest_pairs(spark.createDataFrame(rows, VEC), dim=32).collect()}
-    assert all(sum(i in p for p in got) >= 10 for i in range(60))
+    rows = [(i, [1.0, float(i // 20)] + [0.0] * 30, "x") for i in range(60)] + [(100 + i, [1.0, 0.1 * (i // 2), 0.05] + [0.0] * 29, "x") for i in range(6)]
+    got = {tuple(r) for r in neighbours.nearest(spark.createDataFrame(rows, VEC), dim=32).select("a", "b").collect()}
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c, ids = np.round(x @ x.T, 12), [r[0] for r in rows]
+    want = {(a, ids[j]) for i, a in enumerate(ids) for j in sorted((j for j in range(len(ids)) if j != i and c[i, j] >= 0.8), key=lambda j: (-c[i, j], ids[j]))[:10]}
+    assert got == want
+
+
+def test_a_third_of_all_vectors_in_one_neighbourhood(spark):
+    rng = np.random.default_rng(3)
+    dense = rng.normal(size=32) + 0.2 * rng.normal(size=(600, 32))
+    x = np.concatenate([dense, rng.normal(size=(1200, 32))]).astype(np.float32)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit @ unit.T
+    np.fill_diagonal(s, -2)
+    truth = {(min(i, j), max(i, j)) for i in range(len(x)) for j in np.argsort(-s[i])[:10] if s[i, j] >= 0.8}
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], VEC)
+    got = {tuple(r) for r in neighbours.nearest_pairs(df, dim=32, per_bucket=300, most=250).collect()}
+    assert len(got & truth) >= 0.9 * len(truth)
+    same = spark.createDataFrame([(i, (dense[0] + 1e-4 * rng.normal(size=32)).tolist(), "x") for i in range(90)], VEC)  # no code divides them
+    assert all(n >= 10 for _, n in neighbours.nearest(same, dim=32, per_bucket=500, most=20).groupBy("a").count().collect())
 
 
 RESIDUE = [
