@@ -64,14 +64,14 @@ def test_edges_of_relationships(spark):
 
 def test_paths(spark):
     edges = [("a", i + 1, i) for i in range(20)] + [("a", 15, 3), ("a", 100, 101), ("a", 101, 100), ("a", 102, 101)]
-    df = spark.createDataFrame(edges + [("a", 100, 99), ("a", 99, 98), ("b", 7, 7)], SCHEMA)
+    df = spark.createDataFrame(edges + [("a", 100, 99), ("a", 99, 98), ("b", 777, 777)], SCHEMA)
     got = {r.node_id: r for r in H.hierarchy_report(H.resolve_paths(df), H.all_descendants(df)).collect()}
     assert got[20].path == "0/1/2/3/15/16/17/18/19/20" and got[20].depth == 9 and got[20].root_id == 0
     assert got[14].depth == 14 and got[3].n_descendants == 17 and got[0].n_descendants == 20
     # What lies above a cycle stays reachable: the cycle stands in paths as its smallest id.
     assert got[100].in_cycle and got[101].in_cycle and got[101].path == "98/99/101" and got[101].n_descendants == 2 and not got[102].in_cycle
     assert got[102].path == "98/99/100/102" and got[102].root_id == 98 and got[98].n_descendants == 4
-    assert got[7].in_cycle and got[7].path == "7" and got[7].n_descendants == 0
+    assert got[777].in_cycle and got[777].path == "777" and got[777].n_descendants == 0
 
 
 def brute_below(edges):
