@@ -1,14 +1,16 @@
-"""Template residue and error-page text: trusted seeds, near-duplicates by SimHash, labels through components.
+"""Template residue and error-page text: trusted seeds, near-duplicate passages by SimHash, labels through components.
 
-Null, empty and blank texts are no residue. Exact copies share one verdict; repeated rows count once; extra columns are
-dropped; an empty table gives an empty result.
+Null, empty and blank texts are no residue. Repeated rows count once; extra columns are dropped; an empty table gives an
+empty result.
 
-A text is cut into units (sentences and lines). A unit is residue if, as a whole, it is an unfilled placeholder, filler,
-an error message or a notice that scripts are needed; neutral if it is a title, navigation or markup; else own content.
-What stands in code spans, code blocks or quotation marks is quoted, hence own content. A text whose residue clearly
-outweighs its own content is a trusted seed. Near-duplicates (SimHash of five-word shingles, Hamming distance up to 3,
-found in tables of block pairs, shingle similarity of at least 0.8) are joined to components, and a component takes the
-seeds' label if they are at least half of its different texts.
+A text is cut into units (sentences and lines). A unit is a trusted seed if, as a whole, it is an unfilled placeholder,
+filler, an error message or a notice that scripts are needed; neutral if it is a title, navigation or markup; else own
+content. What stands in code spans, code blocks or quotation marks is quoted, hence own content at first.
+
+Units are compared in a plain form (lower-case words, placeholders and numbers masked). Equal ones are one node. Nodes whose
+SimHashes of five-word shingles are at most HAMMING bits apart and which share at least SIMILARITY of their shingles are
+linked; tables partitioned by some of the bits find the pairs of a seed, or of what a seed has reached, and any other node. A component takes the seeds' label if they are at least half of its nodes. With these labels all units of all texts
+are counted again: a text is residue if its residue clearly outweighs its own content.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm.arrow import Hashes, map_rows, words
-from canopy.session import cut
+from canopy.session import cut, cut_counted, small
 
-HAMMING, SIMILARITY, SHINGLE = 3, 0.8, 5
-BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
+#: Units that share 0.8 of their shingles differ in 10 of 64 bits on average and hardly ever in more than 16. Two nodes meet
+#: in a table if they agree in all of its PART bits; at 10 differing bits TABLES tables find 97 % of the pairs, at 5 all but one in 40,000.
+HAMMING, SIMILARITY, SHINGLE, TABLES, PART = 16, 0.8, 5, 28, 11
 
 # Words of the customary filler text.
 LOREM = set("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split())
@@ -45,7 +48,7 @@ FILLER = r"""
 |(?:this is )?(?:a |an )?(?:sample|placeholder|dummy|example|filler|stand-?in|blind) (?:text|content|paragraph|copy|description)
 |(?:this|the) (?:section|page|paragraph|part|chapter|text|document) (?:is |was |has been )?(?:intentionally|deliberately|still|currently) (?:left )?(?:blank|empty|unfinished)
 |(?:this|the) (?:section|page|document|paragraph|text) (?:will be|is to be|has yet to be|needs to be|is yet to be|is being|is not yet|has not been|hasn't been)\b
-|(?:to be (?:done|determined|announced|written|added|defined|completed|confirmed)|tbd|tba|tbc|todo|fixme|wip|n/?a|coming soon|under construction|work in progress)\b[^.]{0,40}$
+|(?:to be (?:done|determined|announced|written|added|defined|completed|confirmed)|tbd|tba|tbc|todo|fixme|wip|n/?a|coming soon|under construction|work in progress)\b[^.]{0,40}\W*$
 |(?:more |further )?(?:content|description|documentation|docs|details?|text|information) (?:is |are )?(?:pending|to follow|to come|coming|missing|will (?:be|follow))
 |no (?:content|description|text|documentation|summary) (?:has been |was |is )?(?:provided|available|yet|given|entered)
 |(?:asdf|qwer|qwerty|hjkl|foo bar|test test|bla bla|blah blah|lorem ipsum|xxx)\b
@@ -68,7 +71,7 @@ ERROR = r"""
 """
 SCRIPTS = r"""
 (?:please |you (?:need to|must|have to|should) )?(?:enable|allow|turn on|activate|switch on) (?:your )?(?:java\s?script|scripts?|cookies)\b|java\s?script (?:is|must|has to|needs|seems|appears|required|disabled|and cookies)\b|scripts? (?:and cookies )?(?:is|are|must|have to)\b
-|(?:this|the|our) [\w -]{0,40}(?:requires?|needs?|works? (?:best |only )?with|depends on|uses|cannot be (?:shown|displayed)[\w ]{0,20} without|does(?: not|n't) work without|will not work without) (?:java\s?script|scripts)|your browser (?:does|has|is|must|needs|seems|will)\b|checking your browser|loading\W{1,8}(?:if |please |\.)|loading\W*$|turn it on in your browser|some parts of .{0,60} without (?:scripts|java\s?script)|<noscript|if (?:nothing|you can read|you see this|this page does)\b.{0,60}(?:scripts?|java\s?script|reload)
+|(?:this|the|our) [\w -]{0,40}(?:requires?|needs?|(?:(?:only |best )?(?:works?|starts?|runs?|opens?|loads?) )?(?:best |only )?with|depends on|uses|cannot be (?:shown|displayed)[\w ]{0,20} without|does(?: not|n't) work without|will not work without) (?:java\s?script|scripts)|your browser (?:does|has|is|must|needs|seems|will)\b|checking your browser|loading\W{1,8}(?:if |please |\.)|loading\W*$|turn it on in your browser|some parts of .{0,60} without (?:scripts|java\s?script)|<noscript|if (?:nothing|you can read|you see this|this page does)\b.{0,60}(?:scripts?|java\s?script|reload)
 |(?:bitte )?(?:aktivieren|erlauben|schalten) sie (?:bitte )?(?:java\s?script|skripte)|java\s?script (?:ist|muss|wird)|(?:diese|die) (?:seite|anwendung|ansicht) .{0,40}(?:java\s?script|skripte)|(?:veuillez |merci d')?(?:activer|activez) java\s?script|java\s?script (?:est|doit)|(?:cette|la) page .{0,40}java\s?script|(?:por favor,? )?(?:active|habilite|activa|ative) (?:el |o )?java\s?script|java\s?script (?:está|debe|deve|é)|(?:esta|a|la) página .{0,40}java\s?script
 |java\s?script\s*(?:を|が|は)|.{0,40}java\s?script\s*(?:を|が)?\s*(?:有効|必要|オン)|(?:请|請).{0,12}java\s?script|.{0,40}(?:需要|启用|啟用|开启|禁用).{0,8}java\s?script
 """
@@ -77,6 +80,9 @@ NEUTRAL = re.compile(
     re.I,
 )
 _COMPILED = [re.compile("(?:" + "".join(line.strip() for line in p.strip().splitlines()) + ")", re.I) for p in (FILLER, ERROR, SCRIPTS)]
+_NOSCRIPT = re.compile("<noscript>", re.I)
+_MASKED = re.compile(PLACEHOLDER.pattern + r"|«[^«»\n]{1,60}»")
+_NUMBERED = re.compile(r"\d")
 _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 _SPAN = re.compile(r"`[^`\n]+`|“[^”\n]*”|«[^»\n]*»|„[^“\n]*“|\"[^\"\n]{3,}\"")
 _TAG = re.compile(r"</?(?:html|head|title|body|center|h[1-6]|p|div|span|br|hr|pre|b|i|em|strong|a|ul|ol|li|address|main|header|footer|section|nav|meta|link|style|table|tr|td|th|img|button|form|input|label|iframe)\b[^<>]*>|<!doctype[^>]*>", re.I)
@@ -89,44 +95,57 @@ _LEAD = re.compile(r"^(?:\W|_)+")
 _OPENERS = re.compile(r"^(?:warning|note|notice|error|hinweis|achtung|attention|nota|aviso|info)\s*[:!-]\s*", re.I)
 
 
-def judge(text: str) -> tuple[int, int]:
-    """Units of residue and of own content in `text`."""
+def units(text: str) -> tuple[int, int, list[tuple[int, str]]]:
+    """Residue and own content that is no unit, and the units: weight as residue, or -1 for own content, and text."""
     text = _UNSEEN.sub("", unicodedata.normalize("NFKC", text))
-    raw_json = text.lstrip().startswith("{") and _COMPILED[1].match(text.lstrip())
-    if raw_json and len(text) < 600:
-        return 1, 0
-    fenced = len(_FENCE.findall(text))
-    text = _FENCE.sub("\n", text)
-    text = _COMMENT.sub(r"(\1)", text)
-    text = _TAG.sub("\n", text.replace("<noscript>", "\n<noscript>"))
-    residue, own, titled = 0, 2 * fenced, False
+    if text.lstrip().startswith("{") and len(text) < 600 and _COMPILED[1].match(text.lstrip()):
+        return 1, 0, []
+    fenced = text.count("```") + text.count("~~~") and len(_FENCE.findall(text))
+    if fenced:
+        text = _FENCE.sub("\n", text)
+    if "<" in text:
+        text = _TAG.sub("\n", _NOSCRIPT.sub("\n<noscript>", _COMMENT.sub(r"(\1)", text)))
+    out: list[tuple[int, str]] = []
+    titled = False
     for unit in _SENTENCE.split(text):
         unit = unit.strip()
         if not unit:
             continue
         body = _MARK.sub("", unit)
-        heading = unit.startswith("#")
-        prompt = bool(_PROMPT.match(unit))
         bare = _SPAN.sub(" ", body) if not body.startswith("<noscript") else body
         marks = PLACEHOLDER.findall(bare)
-        rest = words(PLACEHOLDER.sub(" ", bare)) if marks else []
-        n, found = len(words(body)), words(bare)
+        found = words(bare)
+        n = len(found) if bare is body or bare == body else len(words(body))
         low = _OPENERS.sub("", _LEAD.sub("", bare) if not bare.startswith(("{", "<noscript")) else bare)
-        if marks and len(rest) <= max(4, 7 * len(marks)) and not (len(marks) == 1 and bare is not body and "`" in body):
-            residue += 1
+        if marks and len(words(PLACEHOLDER.sub(" ", bare))) <= max(4, 7 * len(marks)) and not (len(marks) == 1 and bare is not body and "`" in body):
+            out.append((1, body))
         elif any(p.match(low) for p in _COMPILED):
-            residue += 1
+            out.append((1, body))
         elif n >= 3 and sum(w in LOREM for w in found) >= 0.7 * len(found) > 0:
-            residue += 1 + n // 30
-        elif prompt and 0 < n <= 9:
-            residue += 1
-        elif heading or NEUTRAL.match(body) or n <= 2 or (n <= 6 and body.endswith(":")):
-            continue
-        elif not titled and residue + own == 0 and n <= 9 and not re.search(r"[.!?。！？:]\s*$", body):
+            out.append((1 + n // 30, body))
+        elif 0 < n <= 9 and _PROMPT.match(unit):
+            out.append((1, body))
+        elif unit.startswith("#") or NEUTRAL.match(body) or n <= 2 or (n <= 6 and body.endswith(":")):
+            # Neutral, unless what it looks like elsewhere is residue: a masked word or two may be all of it.
+            if _MASKED.search(body):
+                out.append((0, body))
+        elif not titled and not out and not fenced and n <= 9 and not re.search(r"[.!?。！？:]\s*$", body):
             titled = True
         else:
-            own += 1
-    return residue, own
+            out.append((-1, body))
+    return 0, 2 * fenced, out
+
+
+def judge(text: str) -> tuple[int, int]:
+    """Residue and own content in `text` by the seeds alone."""
+    residue, own, found = units(text)
+    return residue + sum(w for w, _ in found if w > 0), own + sum(w < 0 for w, _ in found)
+
+
+def plain_words(unit: str) -> list[str]:
+    """Words of a unit, with placeholders masked by `_` and words with digits by `0`."""
+    found = words(_MASKED.sub(" \u01c2 ", unit) if not unit.isalnum() else unit)
+    return ["0" if _NUMBERED.search(w) else w for w in found] or [unit]
 
 
 def is_seed(residue: int, own: int) -> bool:
@@ -136,89 +155,103 @@ def is_seed(residue: int, own: int) -> bool:
 def shingles(found: list[str], memo: Hashes) -> np.ndarray:
     """Hashes of the distinct five-word shingles; a shorter text is one shingle."""
     h = np.fromiter(map(memo.__getitem__, found), np.uint64, len(found))
-    size = min(SHINGLE, len(h))
-    if not size:
-        return h
-    g = np.zeros(len(h) - size + 1, np.uint64)
-    for k in range(size):
-        g = (g ^ h[k : k + len(g)]) * np.uint64(0x9E3779B185EBCA87)
-        g ^= g >> np.uint64(31)
-    return np.unique(g)
+    return np.unique(_hashed(np.pad(h, (0, max(0, SHINGLE - len(h)))))) if len(h) else h
 
 
-def simhash(g: np.ndarray) -> int:
-    if not len(g):
-        return 0
-    bits = np.unpackbits(g.view(np.uint8).reshape(-1, 8), axis=1)
-    return int(np.packbits(bits.sum(0) * 2 > len(g)).view(np.uint64)[0].astype(np.int64))
+def _hashed(h: np.ndarray) -> np.ndarray:
+    """Hash of each run of SHINGLE word hashes."""
+    g = np.zeros(len(h) - SHINGLE + 1, np.uint64)
+    for k in range(SHINGLE):
+        g = (g ^ h[k : k + len(g)]) * np.uint64(0x9E3779B185EBCA87)
+        g ^= g >> np.uint64(31)
+    return g
+
+
+def simhashes(texts: list[list[str]], memo: Hashes) -> np.ndarray:
+    """SimHash of the shingles of each list of words, none of which is empty."""
+    if not texts:
+        return np.empty(0, np.int64)
+    n = np.fromiter(map(len, texts), np.int64, len(texts))
+    padded = np.maximum(n, SHINGLE)
+    ends = np.cumsum(padded)
+    h = np.zeros(ends[-1], np.uint64)
+    own = np.arange(ends[-1]) - np.repeat(ends - padded, padded) < np.repeat(n, padded)
+    h[own] = np.fromiter((memo[w] for t in texts for w in t), np.uint64, int(n.sum()))
+    inside = np.repeat(ends, padded)[: len(h) - SHINGLE + 1] - np.arange(len(h) - SHINGLE + 1) >= SHINGLE
+    bits = np.unpackbits(_hashed(h)[inside].view(np.uint8).reshape(-1, 8), axis=1)
+    count = padded - SHINGLE + 1
+    ones = np.add.reduceat(bits, np.cumsum(count) - count, axis=0, dtype=np.int32)
+    return np.packbits(ones * 2 > count[:, None], axis=1).view(np.int64).ravel()
 
 
 def fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(`id`, `copy`, `seed`, `sim`): hash of the words, verdict and SimHash of each text that is not blank."""
+    """(`id`, `residue`, `own`, `node`, `weight`, `sim`) of each text that is not blank: counts, and its units as arrays."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         memo = run.__dict__.setdefault("memo", Hashes())
-        copy, seed, sim = [], [], []
+        residue, own, sizes, weight, node, forms = [], [], [0], [], [], []
         for t in batch.column(1).to_pylist():
-            found = words(t)
-            copy.append(xxhash.xxh128_digest(t))
-            seed.append(is_seed(*judge(t)))
-            sim.append(simhash(shingles(found, memo)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(copy, pa.binary()), pa.array(seed), pa.array(sim, pa.int64())], ["id", "copy", "seed", "sim"])
+            r, o, found = units(t)
+            residue.append(r)
+            own.append(o)
+            for w, u in found:
+                form = plain_words(u)
+                weight.append(w)
+                node.append(xxhash.xxh64_intdigest(" ".join(form)) - (1 << 63))
+                forms.append(form)
+            sizes.append(len(node))
+        lists = [pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(x, k)) for x, k in ((node, pa.int64()), (weight, pa.int32()), (simhashes(forms, memo), pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(residue, pa.int32()), pa.array(own, pa.int32()), *lists], ["id", "residue", "own", "node", "weight", "sim"])
 
     texts = df.select(key, text).where(f"`{key}` is not null and length(trim(`{text}`)) > 0")
-    return map_rows(texts, run, f"id {dict(df.dtypes)[key]}, copy binary, seed boolean, sim bigint")
-
-
-def _leaders(values: np.ndarray) -> tuple[list[int], list[int]]:
-    """Links of each value to the leaders within the Hamming distance; a value without any becomes one."""
-    a, b, leaders = [], [], np.empty(len(values), np.uint64)
-    n = 0
-    for v in np.unique(values).view(np.uint64):
-        near = np.flatnonzero(np.bitwise_count(leaders[:n] ^ v) <= HAMMING)
-        if len(near):
-            a += [int(v.astype(np.int64))] * len(near)
-            b += leaders[near].astype(np.int64).tolist()
-        else:
-            leaders[n] = v
-            n += 1
-    return a, b
+    return map_rows(texts, run, f"id {dict(df.dtypes)[key]}, residue int, own int, node array<bigint>, weight array<int>, sim array<bigint>")
 
 
-def near_links(prints: DataFrame) -> DataFrame:
-    """(`a`, `b`): SimHashes at a distance of 1 to HAMMING, through tables keyed by two of five blocks of bits.
+def _masks() -> list[int]:
+    rng = np.random.default_rng(11)
+    return [sum(1 << int(i) for i in rng.choice(64, PART, replace=False)) for _ in range(TABLES)]
 
-    A distance of 3 leaves two blocks untouched, so each close pair meets in a table. Within a bucket a value is linked
-    to leaders, not to all others.
-    """
-    sims = prints.select("sim").distinct()
-    block = [F.shiftrightunsigned("sim", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in BLOCKS]
-    keys = F.array(*(F.xxhash64(F.lit(i * 5 + j), block[i], block[j]) for i in range(5) for j in range(i)))
 
-    def link(group: pa.Table) -> pa.Table:
-        a, b = _leaders(group.column("sim").to_numpy())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _tables(nodes: DataFrame) -> DataFrame:
+    """Each node once for each table."""
+    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
+    keys = F.array(*(F.xxhash64(F.lit(i), F.col("sim").bitwiseAND(F.lit(signed(m)).cast("bigint"))) for i, m in enumerate(_masks())))
+    return nodes.select("node", "sim", F.explode(keys).alias("bucket"))
 
-    buckets = sims.select("sim", F.explode(keys).alias("bucket"))
-    crowded = buckets.groupBy("bucket").count().where("count > 1").select("bucket")
-    return buckets.join(crowded, "bucket", "left_semi").groupBy("bucket").applyInArrow(link, "a bigint, b bigint").distinct()
+
+def near_links(seeds: DataFrame, others: DataFrame, n: int) -> DataFrame:
+    """(`a`, `b`): the pairs of a node of `seeds` (counted: `n`) and another one of `others` within HAMMING bits that meet in a table."""
+    left = small(_tables(seeds).select(F.col("node").alias("a"), F.col("sim").alias("at"), "bucket"), TABLES * n)
+    pairs = _tables(others).join(left, "bucket").where((F.bit_count(F.col("sim").bitwiseXOR(F.col("at"))) <= HAMMING) & (F.col("node") != F.col("a")))
+    return pairs.select("a", F.col("node").alias("b")).distinct()
 
 
 def verified(links: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links (`a`, `b`) whose texts (`id`, `text`) share at least SIMILARITY of their shingles."""
+    """The links (`a`, `b`) whose units (`node`, `form`) share at least SIMILARITY of their shingles."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         memo = Hashes()
         good = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            p, q = shingles(words(x), memo), shingles(words(y), memo)
+            p, q = shingles(x.split(" "), memo), shingles(y.split(" "), memo)
             both = len(np.intersect1d(p, q, assume_unique=True))
-            good.append(both >= SIMILARITY * (len(p) + len(q) - both) if len(p) + len(q) else True)
-        return batch.select(["a", "b"]).filter(pa.array(good))
+            good.append(both >= SIMILARITY * (len(p) + len(q) - both))
+        return batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    pairs = links.join(texts.withColumnsRenamed({"node": "a", "form": "x"}), "a").join(texts.withColumnsRenamed({"node": "b", "form": "y"}), "b").select("a", "b", "x", "y")
+    return map_rows(pairs, run, "a bigint, b bigint", 256)
 
-    pairs = links.join(texts.withColumnsRenamed({"id": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "y"}), "b").select("a", "b", "x", "y")
-    kind = dict(texts.dtypes)["id"]
-    return map_rows(pairs, run, f"a {kind}, b {kind}", 256)
+
+def forms_of(df: DataFrame, key: str, text: str, nodes: DataFrame, n: int) -> DataFrame:
+    """(`node`, `form`) of the nodes (`node`, `id` of a text that has it; counted: `n`): only those texts are read again."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = {" ".join(plain_words(u)) for t in batch.column(1).to_pylist() for _, u in units(t)[2]}
+        return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(x) - (1 << 63) for x in out], pa.int64()), pa.array(list(out), pa.string())], ["node", "form"])
+
+    where = small(nodes.select(F.col("id").alias(key)).distinct(), n)
+    rows = df.select(key, text).where(f"length(trim(`{text}`)) > 0").join(where, key, "left_semi")
+    return map_rows(rows, run, "node bigint, form string").join(small(nodes.select("node"), n), "node", "left_semi").dropDuplicates(["node"])
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -237,20 +270,44 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return nodes.join(part, "id", "left").select(*nodes.columns, F.coalesce("part", "id").alias("part"))
 
 
-def residue(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Distinct (`key`) of the rows whose text is template residue, filler, an error page or a script notice."""
+def labels(df: DataFrame, prints: DataFrame, key: str, text: str) -> DataFrame:
+    """(`node`) of the units that no seed pattern knows everywhere, but that are residue by their component."""
+    each = prints.select("id", F.explode(F.arrays_zip("node", "weight", "sim")).alias("u")).select("id", "u.node", "u.weight", "u.sim")
+    nodes = each.groupBy("node").agg(F.first("sim").alias("sim"), F.min("id").alias("id"), F.max(F.col("weight") > 0).alias("trusted"), F.min("weight").alias("least"))
+    nodes = cut(nodes)
+    frontier, n = cut_counted(nodes.where("trusted").select("node", "sim"))
+    others, links = nodes.where("not trusted").select("node", "sim"), None
+    while n:
+        close, m = cut_counted(near_links(frontier, others, n))
+        if not m:
+            break
+        ends, k = cut_counted(close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id"), "node"))
+        close = cut(verified(close, cut(forms_of(df, key, text, ends, k))))
+        links = close if links is None else links.unionByName(close)
+        reached = close.select(F.col("b").alias("node")).distinct()
+        frontier, n = cut_counted(others.join(reached, "node", "left_semi"))
+        others = cut(others.join(frontier.select("node"), "node", "left_anti"))
+    if links is None:
+        return nodes.where("trusted and least <= 0").select("node")
+    touched = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    parts = components(touched, links).withColumnRenamed("id", "node").join(nodes.select("node", "trusted"), "node")
+    guilty = parts.groupBy("part").agg(F.avg(F.col("trusted").cast("int")).alias("share")).where("share >= 0.5").select("part")
+    spread = parts.join(guilty, "part", "left_semi").where("not trusted").select("node")
+    return nodes.where("trusted and least <= 0").select("node").unionByName(spread)
+
+
+def residue(df: DataFrame, key: str = "doc_id", text: str = "text", spread: bool = True) -> DataFrame:
+    """Distinct (`key`) of the rows whose text is template residue, filler, an error page or a script notice.
+
+    Without `spread` the seeds alone decide.
+    """
     prints = cut(fingerprints(df, key, text))
-    # Copies first: one row for each different text, then one for each SimHash.
-    texts = prints.groupBy("copy").agg(F.min("id").alias("id"), F.max("seed").alias("seed"), F.first("sim").alias("sim"))
-    texts = cut(texts)
-    first = cut(texts.groupBy("sim").agg(F.min("id").alias("rep")))
-    same = texts.join(first, "sim").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    rep = lambda c: first.select(F.col("sim").alias(c), F.col("rep").alias(f"{c}_id"))
-    close = near_links(first).join(rep("a"), "a").join(rep("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    links = cut(same.unionByName(close).distinct())
-    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    body = df.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ends, "id", "left_semi").dropDuplicates(["id"])
-    parts = components(texts, verified(links, cut(body)))
-    guilty = parts.groupBy("part").agg(F.avg(F.col("seed").cast("int")).alias("share")).where("share >= 0.5").select("part")
-    copies = parts.join(guilty, "part", "left_semi").select("copy")
-    return prints.join(copies, "copy", "left_semi").select(F.col("id").alias(key)).distinct()
+    more = F.aggregate("weight", F.lit(0), lambda n, w: n + F.greatest(w, F.lit(0)))
+    less = F.aggregate("weight", F.lit(0), lambda n, w: n + F.when(w < 0, 1).otherwise(0))
+    counts = prints.select("id", (F.col("residue") + more).alias("residue"), (F.col("own") + less).alias("own"))
+    if spread:
+        found, n = cut_counted(labels(df, prints, key, text))
+        each = prints.select("id", F.explode(F.arrays_zip("node", "weight")).alias("u")).select("id", "u.node", "u.weight").where("weight <= 0")
+        turned = each.join(small(found, n), "node", "left_semi").groupBy("id").agg(F.count("*").alias("more"), F.sum(-F.col("weight")).alias("less"))
+        counts = counts.join(turned, "id", "left").select("id", (F.col("residue") + F.coalesce("more", F.lit(0))).alias("residue"), (F.col("own") - F.coalesce("less", F.lit(0))).alias("own"))
+    return counts.where("residue > 0 and (own <= 1 or residue >= 3 * own)").select(F.col("id").alias(key)).distinct()

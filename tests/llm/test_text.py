@@ -169,12 +169,24 @@ def test_residue_rows(spark):
     assert residue.residue(df.limit(0)).count() == 0
 
 
-def test_near_links_find_all_close_values(spark):
+def test_near_links(spark):
     rng = np.random.default_rng(5)
-    base = rng.integers(-(2**62), 2**62, 30)
-    close = [int(b) ^ sum(1 << int(k) for k in rng.choice(63, 3, replace=False)) for b in base]
-    got = {frozenset(r) for r in residue.near_links(spark.createDataFrame([(int(v),) for v in [*base, *close]], "sim bigint")).collect()}
-    assert {frozenset((int(a), b)) for a, b in zip(base, close)} <= got
+    base = [(i, int(v)) for i, v in enumerate(rng.integers(-(2**62), 2**62, 300))]
+    flipped = lambda n: [(1000 + i, v ^ sum(1 << int(k) for k in rng.choice(63, n, replace=False))) for i, v in base]
+    schema = "node bigint, sim bigint"
+    for bits, least in ((4, 300), (10, 280), (40, 0)):
+        got = {tuple(r) for r in residue.near_links(spark.createDataFrame(base, schema), spark.createDataFrame(flipped(bits), schema), 300).collect()}
+        assert len(got & {(i, 1000 + i) for i in range(300)}) >= least and (bits < 40 or not got)
+
+
+def test_residue_spreads_through_passages(spark):
+    """Units that no pattern knows: equal to seeds once masked, or near-copies of long ones."""
+    long = "we could not reach the shard that holds what was asked for because it is being moved to another rack and its mirror in the second hall did not answer any of the calls that were made to it within the time that is allowed for that"
+    seeds = [f"Fixes {{a{i}}} in {{b}}.\n\nReleased on {{c}} as version {{d}}." for i in range(3)] + [f"Error 502: {long} now."]
+    texts = [*seeds, "Fixes «author» in «step one».\n\nReleased on «day» as version «x y».", f"Note that {long} today.", "Fixes the parser in «step one». It reads the file twice. Then the cache is written."]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOC)
+    assert sorted(r.doc_id for r in residue.residue(df, spread=False).collect()) == [0, 1, 2, 3]
+    assert sorted(r.doc_id for r in residue.residue(df).collect()) == [0, 1, 2, 3, 4, 5]
 
 
 def test_components(spark):
