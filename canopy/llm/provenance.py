@@ -5,9 +5,11 @@ Module row is judged by its parts (rows of other labels), whose evidence is aver
 whose path is null or empty, are no files; a null or empty text has only its path as evidence; a null project is a project
 of its own. Extra columns are dropped; an empty table gives an empty result.
 
-Every file and directory has a hidden label. A file's text and name and a directory's name give log evidence for each
-label. Directories between two that matter only pass messages on, so the tree keeps each file's own directory and the
-directories with a telling name. On that tree the messages go once up and once down, which is exact.
+Every file and every directory on its path has a hidden label. A file's text and name give log evidence for each label; a
+directory's name shifts the compatibility with its parent, so it says what is below it and nothing of what it stands in. On
+the tree of directories the messages go once up and once down, which is exact: a file without any evidence of its own is
+labelled by its siblings, its directory, and what stands beside and above that. A directory without a telling name that
+holds nothing but one directory is one with that: how deep a path is says nothing.
 """
 
 from __future__ import annotations
@@ -24,16 +26,17 @@ from canopy.llm.arrow import map_rows
 from canopy.session import cut
 
 LABELS = ["handwritten", "generated", "minified", "vendored", "blob"]
-PRIOR = [0.998, 0.0005, 0.0005, 0.0005, 0.0005]
+#: Of the root of a project: that all of it is somebody else's or made by a tool is next to impossible.
+PRIOR = [0.999996, 1e-6, 1e-6, 1e-6, 1e-6]
 #: Probability of a child's label (column) under its directory's (row), for directories and for files.
-TO_DIRECTORY = [[0.996, 0.001, 0.001, 0.001, 0.001], [0.02, 0.95, 0.01, 0.01, 0.01], [0.3, 0.03, 0.65, 0.01, 0.01], [0.01, 0.01, 0.01, 0.96, 0.01], [0.3, 0.02, 0.01, 0.01, 0.66]]
+TO_DIRECTORY = [[0.996, 0.001, 0.001, 0.001, 0.001], [0.004, 0.98, 0.005, 0.006, 0.005], [0.3, 0.03, 0.65, 0.01, 0.01], [0.002, 0.004, 0.01, 0.98, 0.004], [0.3, 0.02, 0.01, 0.01, 0.66]]
 TO_FILE = [[0.93, 0.025, 0.015, 0.02, 0.01], [0.04, 0.93, 0.01, 0.01, 0.01], [0.45, 0.04, 0.48, 0.02, 0.01], [0.02, 0.01, 0.02, 0.94, 0.01], [0.45, 0.02, 0.01, 0.01, 0.51]]
 
 # Directory names with the log evidence they give for (generated, minified, vendored).
 DIRECTORIES = {
-    **dict.fromkeys(["node_modules", "bower_components", "jspm_packages", "third_party", "third-party", "thirdparty", "_vendored", "_vendor", "vendored", "vendor", "vendors", "site-packages", "dist-packages", "godeps"], (0.0, 0.0, 16.0)),
-    **dict.fromkeys(["external", "externals", "deps", "extern", "3rdparty", "contrib"], (0.0, 0.0, 13.0)),
-    **dict.fromkeys(["__generated__", "generated", "_generated", "autogen", "generated-src", "generated_sources", "codegen", "gen", "gensrc", "pb", "proto_gen"], (14.0, 0.0, 0.0)),
+    **dict.fromkeys(["node_modules", "bower_components", "jspm_packages", "third_party", "third-party", "thirdparty", "_vendored", "_vendor", "vendored", "vendor", "vendors", "site-packages", "dist-packages", "godeps"], (0.0, 0.0, 13.0)),
+    **dict.fromkeys(["external", "externals", "deps", "extern", "3rdparty", "contrib"], (0.0, 0.0, 11.0)),
+    **dict.fromkeys(["__generated__", "generated", "_generated", "autogen", "generated-src", "generated_sources", "codegen", "gen", "gensrc", "pb", "proto_gen"], (11.0, 0.0, 0.0)),
     **dict.fromkeys(["dist", "bundles", "min", "public", "static", "assets"], (0.0, 3.0, 0.0)),
     "build": (1.0, 2.0, 0.0),
 }
@@ -80,22 +83,26 @@ def evidence(path: str, text: str | None) -> list[float]:
     if solid < 80:
         return out
     if not any(out):
-        out[0] += 1
+        # Ordinary code: what others wrote by hand looks much the same, but for the notice it often has.
+        out[1:] = [-1.0, -2.0, -0.35, -2.0]
     literals = _LITERAL.findall(body)
     share = sum(map(len, literals)) / max(1, len(body))
     bare = _LITERAL.sub("0", body)
     code = len(_STATEMENT.findall(bare))
     longest = sum(len(x) for x in body.splitlines() if len(x) > 400) / len(body)
     if len(literals) >= 12 and code <= 2 + len(literals) // 25 and len(_WORD.findall(bare)) <= 12 + 0.5 * len(literals) and share > 0.45:
-        out[0], out[4] = 0.0, out[4] + 8
+        out = [max(x, 0.0) for x in out]
+        out[4] += 8
     elif sum(map(len, literals)) > 0.9 * solid and solid > 400 and code <= 3:
-        out[0], out[4] = 0.0, out[4] + 8
+        out = [max(x, 0.0) for x in out]
+        out[4] += 8
     elif longest > 0.6:
         found = _WORD.findall(bare)
         tight = 1 - solid / len(body)
         short = sum(len(w) <= 2 for w in found) / max(1, len(found))
         if tight < 0.14 and (short > 0.3 or code >= 3):
-            out[0], out[2] = 0.0, out[2] + 9
+            out = [max(x, 0.0) for x in out]
+            out[2] += 9
     return out
 
 
@@ -104,14 +111,12 @@ def _id(project: str | None, directory: str) -> int:
 
 
 def chain(project: str | None, path: str) -> list[tuple[int, list[float]]]:
-    """The file's own directory and, upwards, the directories with a telling name: id and log evidence."""
+    """The file's directories from its own up to the root: id and the name's log evidence."""
     parts = [p for p in path.replace("\\", "/").split("/")[:-1] if p not in ("", ".")]
     out = []
     for i in range(len(parts), -1, -1):
-        told = DIRECTORIES.get(parts[i - 1].lower()) if i else None
-        if i == len(parts) or told:
-            g, m, v = told or (0.0, 0.0, 0.0)
-            out.append((_id(project, "/".join(parts[:i])), [0.0, g, m, v, 0.0]))
+        g, m, v = DIRECTORIES.get(parts[i - 1].lower(), (0.0, 0.0, 0.0)) if i else (0.0, 0.0, 0.0)
+        out.append((_id(project, "/".join(parts[:i])), [0.0, g, m, v, 0.0]))
     return out
 
 
@@ -149,6 +154,21 @@ def _columns(name: str) -> list[Column]:
     return [F.col(f"{name}{i}") for i in range(len(LABELS))]
 
 
+def _contracted(files: DataFrame) -> DataFrame:
+    """`files` with `dirs` and `named` without the directories that only lead to one other."""
+    paths = cut(files.select("dirs", "named").distinct())
+    own = F.col("dirs")[0]
+    steps = paths.select(own.alias("own"), "dirs", "named", F.posexplode("dirs").alias("k", "dir"))
+    telling = F.exists(F.slice("named", F.col("k") * len(LABELS) + 1, len(LABELS)), lambda x: x != 0)
+    links = steps.select("dir", F.when(F.col("k") > 0, F.col("dirs")[F.col("k") - 1]).alias("child"), telling.alias("telling"), (F.size("dirs") - 1 == F.col("k")).alias("root")).distinct()
+    # A null child is a file. Directories with many children are counted in part before they are shuffled.
+    kept = links.groupBy("dir").agg(F.bool_or(F.col("telling") | F.col("root") | F.col("child").isNull()).alias("kept"), F.count("child").alias("n")).where("kept or n > 1").select("dir")
+    level = F.struct("k", "dir", F.slice("named", F.col("k") * len(LABELS) + 1, len(LABELS)).alias("e"))
+    left = steps.select("own", "dir", level.alias("s")).join(kept, "dir").groupBy("own").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    left = left.select("own", F.col("s.dir").alias("dirs"), F.flatten("s.e").alias("named"))
+    return files.withColumn("own", own).drop("dirs", "named").join(left, "own").drop("own")
+
+
 def beliefs(df: DataFrame) -> DataFrame:
     """(`project`, `file_path`, `label`, `probability`): the likeliest label of each file."""
     n = range(len(LABELS))
@@ -158,37 +178,43 @@ def beliefs(df: DataFrame) -> DataFrame:
     mean = F.array(*(F.coalesce(F.try_divide(F.sum(weight * F.col("seen")[i]), F.sum(weight)), F.max(F.col("seen")[i])) for i in n))
     whole = F.max_by("seen", F.when(F.col("part").isNull() & (F.col("weight") > 0), F.col("weight")))
     files = rows.groupBy("project", "file_path").agg(F.coalesce(whole, mean).alias("seen"), F.first("dirs").alias("dirs"), F.first("named").alias("named"))
-    files = cut(files)
+    files = cut(_contracted(files))
     vectors = files.select("project", "file_path", F.col("dirs")[0].alias("dir"), *(F.col("seen")[i].alias(f"s{i}") for i in n))
     lift = _message(_columns("s"), TO_FILE)
     vectors = vectors.select("project", "file_path", "dir", *_columns("s"), *(m.alias(f"m{i}") for i, m in enumerate(lift)))
 
-    # The tree of directories: level 0 has nothing telling above it.
+    # The tree of directories: level 0 is the root of a project.
     size = F.size("dirs")
-    at = files.select("dirs", "named", F.explode(F.sequence(F.lit(0), size - 1)).alias("k"))
+    at = files.select("dirs", "named").distinct().select("dirs", "named", F.explode(F.sequence(F.lit(0), size - 1)).alias("k"))
     tree = at.select(
         F.col("dirs")[F.col("k")].alias("dir"), F.try_element_at("dirs", F.col("k") + 2).alias("up"), (size - 1 - F.col("k")).alias("level"), *(F.col("named")[F.col("k") * len(LABELS) + i].alias(f"e{i}") for i in n)
     ).distinct()
     below = vectors.groupBy("dir").agg(*(F.sum(f"m{i}").alias(f"f{i}") for i in n))
-    tree = cut(tree.join(below, "dir", "left").select("dir", "up", "level", *((F.col(f"e{i}") + F.coalesce(f"f{i}", F.lit(0.0))).alias(f"u{i}") for i in n)))
+    kept = ["dir", "up", "level", *(f"e{i}" for i in n), *(f"z{i}" for i in n)]
+    # z is what the name's shift sums to under each label of the parent: dividing by it leaves the parent's belief alone.
+    tree = tree.select("dir", "up", "level", *_columns("e"), *(m.alias(f"z{i}") for i, m in enumerate(_message(_columns("e"), TO_DIRECTORY))))
+    tree = cut(tree.join(below, "dir", "left").select(*kept, *(F.coalesce(f"f{i}", F.lit(0.0)).alias(f"u{i}") for i in n)))
     deepest = tree.agg(F.max("level")).first()[0] or 0
 
+    def lifted() -> list[Column]:
+        return [m - F.col(f"z{i}") for i, m in enumerate(_message([F.col(f"u{i}") + F.col(f"e{i}") for i in n], TO_DIRECTORY))]
+
     raised = [tree.where(F.col("level") == deepest)]
     for level in range(deepest - 1, -1, -1):
-        sent = raised[-1].where("up is not null").select(F.col("up").alias("dir"), *(m.alias(f"m{i}") for i, m in enumerate(_message(_columns("u"), TO_DIRECTORY)))).groupBy("dir").agg(*(F.sum(f"m{i}").alias(f"m{i}") for i in n))
+        sent = raised[-1].select(F.col("up").alias("dir"), *(m.alias(f"m{i}") for i, m in enumerate(lifted()))).groupBy("dir").agg(*(F.sum(f"m{i}").alias(f"m{i}") for i in n))
         here = tree.where(F.col("level") == level).join(sent, "dir", "left")
-        raised.append(cut(here.select("dir", "up", "level", *((F.col(f"u{i}") + F.coalesce(f"m{i}", F.lit(0.0))).alias(f"u{i}") for i in n))))
+        raised.append(cut(here.select(*kept, *((F.col(f"u{i}") + F.coalesce(f"m{i}", F.lit(0.0))).alias(f"u{i}") for i in n))))
     raised.reverse()
 
     # Downwards: what a directory hears from above, without what it said itself.
     known = raised[0].select("dir", *((F.col(f"u{i}") + F.lit(math.log(PRIOR[i]))).alias(f"b{i}") for i in n))
     done = known
     for level in range(1, deepest + 1):
-        own = raised[level].select("dir", "up", *_columns("u"), *(m.alias(f"m{i}") for i, m in enumerate(_message(_columns("u"), TO_DIRECTORY))))
+        own = raised[level].select("dir", "up", *_columns("u"), *_columns("e"), *_columns("z"), *(m.alias(f"m{i}") for i, m in enumerate(lifted())))
         heard = own.join(known.withColumnRenamed("dir", "up"), "up")
-        without = [F.col(f"b{i}") - F.col(f"m{i}") for i in n]
-        heard = heard.select("dir", *_columns("u"), *(m.alias(f"d{i}") for i, m in enumerate(_message(without, TO_DIRECTORY, True))))
-        known = cut(heard.select("dir", *((F.col(f"u{i}") + F.col(f"d{i}")).alias(f"b{i}") for i in n)))
+        without = [F.col(f"b{i}") - F.col(f"m{i}") - F.col(f"z{i}") for i in n]
+        heard = heard.select("dir", *_columns("u"), *_columns("e"), *(m.alias(f"d{i}") for i, m in enumerate(_message(without, TO_DIRECTORY, True))))
+        known = cut(heard.select("dir", *((F.col(f"u{i}") + F.col(f"e{i}") + F.col(f"d{i}")).alias(f"b{i}") for i in n)))
         done = done.unionByName(known)
 
     joined = vectors.join(done, "dir")

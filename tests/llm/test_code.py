@@ -153,3 +153,20 @@ def test_provenance_of_files_without_a_module_row(spark):
     ]
     got = {r.file_path: r.label for r in provenance.beliefs(spark.createDataFrame(rows, ROW)).collect()}
     assert got == {"a/f.js": "minified", "b/g.py": "blob", "c/h.py": "handwritten", "c/i.py": "handwritten", "d/j.js": "handwritten", "e/k.py": "handwritten", "f/l.py": "blob"}
+
+
+FILES = "project string, file_path string, label string, source_code string, found boolean"
+BANNER = "/*\n * tinyqueue 2.1.0, released under the MIT license\n */\nfunction f(a) {\n  return a.map((x) => x + 1).filter((x) => x > 2).reverse().concat(a).slice(1).join(', ');\n}\n"
+PLAIN = "function total(rows) {\n  let sum = 0;\n  for (const row of rows) {\n    sum += row.price * row.count;\n  }\n  return sum + rows.length;\n}\n"
+
+
+def test_files_without_evidence_are_labelled_by_the_tree(spark):
+    copies = [("p", f"lib/queue/{'core/' if i % 2 else ''}q{i}.js", "Module", BANNER, True) for i in range(8)]
+    own = [("p", f"app/{d}/f{i}.js", "Module", PLAIN, True) for d in ("one", "two", "three") for i in range(6)]
+    asked = [("p", "lib/queue/plain.js", "Module", PLAIN, True), ("p", "lib/queue/util/deep/er/plain.js", "Module", PLAIN, True), ("p", "vendor/x/plain.js", "Module", PLAIN, True), ("p", "node_modules/y/plain.js", "Module", PLAIN, True), ("p", "app/plain.js", "Module", PLAIN, True)]
+    got = {r.file_path: r.label for r in provenance.beliefs(spark.createDataFrame(copies + own + asked, FILES)).collect()}
+    # A sibling, and a cousin through directories with plain names.
+    assert got["lib/queue/plain.js"] == got["lib/queue/util/deep/er/plain.js"] == "vendored"
+    # Two vendor directories say nothing of the root they stand in.
+    assert got["vendor/x/plain.js"] == got["node_modules/y/plain.js"] == "vendored"
+    assert got["app/plain.js"] == "handwritten" and all(got[f] == "handwritten" for _, f, *_ in own)
