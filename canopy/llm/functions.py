@@ -1,14 +1,14 @@
 """Functions and methods paired with their documentation.
 
-Rows that weren't found, have no text and no docstring, or belong to a file that does not parse (see `unparsed`) give
-nothing. A Module row gives the functions of its file, named by the row's `qualified_name` and the names around them; a
+Rows that weren't found, or have no text and no docstring, give nothing. What belongs to a file that does not parse (see
+`unparsed`) is marked as broken: `pairs` has it, `documented_names` does not. A Module row gives the functions of its file, named by the row's `qualified_name` and the names around them; a
 Function or Method row gives its own and those inside it. A null `qualified_name` gives nothing, a null project is a
 project of its own, a null path is no file. Repeated rows give a pair once. Extra columns are dropped; an empty table gives
 an empty result.
 
 Declarations are parsed by generalised LL grammars over outlines, in which each token is one character and what stands in
-brackets is one character too. Everything else is water: a declaration that doesn't parse, even when some tokens are left
-out, is passed over and the next one is tried, so the valid functions of broken files come out.
+brackets is one character too. Everything else is water: a declaration that doesn't parse is passed over and the next one is
+tried; in a broken file it may also parse with a token left out. So the valid functions of broken files come out.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from canopy.llm.arrow import map_rows, words
 from canopy.llm.syntax.check import language_of, plain, tokens_of, valid_tokens
 from canopy.llm.syntax.gll import GLL
 from canopy.llm.unparsed import says_unparsed
-from canopy.session import cut
+from canopy.session import cut, cut_counted, small
 
 # Keywords by the character they have in outlines, and names of languages.
 _KINDS = {
@@ -126,6 +126,10 @@ class Outline(dict):
             return "="
         if c.isdigit() or (c == "." and t[1:2].isdigit()):
             return "n"
+        if c == "}" and len(t) > 1:
+            return c  # the end of an interpolation, with the next part of its template
+        if language in ("js", "ts") and c == "/" and len(t) > 2:
+            return "s"
         if c in "\"'`" or (len(t) > 1 and t[-1] in "\"'`") or (language == "lua" and t[:2] in ("[[", "[=")):
             return "s"
         if c.isalpha() or c in "_$#":
@@ -150,8 +154,8 @@ _SOFT = " \n\vcD"
 class File:
     """Tokens of a source text, its outline, and which brackets belong together."""
 
-    def __init__(self, tokens: list[str], language: str) -> None:
-        self.language, self.tokens = language, tokens
+    def __init__(self, tokens: list[str], language: str, broken: bool = False) -> None:
+        self.language, self.tokens, self.broken = language, tokens, broken
         self.s = "".join(map(_OUTLINES[language].__getitem__, self.tokens))
         self.close: dict[int, int] = {}
         self.up: dict[int, int] = {}
@@ -172,12 +176,19 @@ class File:
         self.open = {c: o for o, c in self.close.items()}
         self.openers = sorted(self.close)
 
-    def slice(self, at: int, most: int = 90) -> tuple[str, list[int]]:
-        """Outline from `at` without blanks and comments, groups as one character; and the token each is from."""
+    def slice(self, at: int) -> tuple[str, list[int]]:
+        """Outline from `at` to the end of a head, without blanks and comments, groups as one character; and where each is from.
+
+        A head ends with `;`, a brace group or the bracket around it; in Python and Go also with its line, in Python with
+        a colon, in Lua with the first round brackets.
+        """
         out, where, s, n = [], [], self.s, len(self.s)
-        while at < n and len(out) < most:
+        lined, last = self.language in ("py", "go"), {"py": ":", "lua": "P"}.get(self.language, ";")
+        while at < n and not (out and out[-1] == last):
             c = s[at]
             if c in _SOFT:
+                if lined and out and c in "\n\v":
+                    break
                 at += 1
                 continue
             where.append(at)
@@ -200,15 +211,15 @@ class File:
         """Marked tokens and last token of the declaration that begins at `at`."""
         text, where = self.slice(at)
         if self.language in ("js", "ts", "java") and text.endswith("O") and where[-1] < len(self.s) and self.language == "ts":
-            more, rest = self.slice(self.close.get(where[-1], where[-1]) + 1, 20)
+            more, rest = self.slice(self.close.get(where[-1], where[-1]) + 1)
             if re.match(r"[|&>,\[BO=A]", more):  # the braces were a type
                 text, where = text + more, where + rest
-        key = (self.language, text)
+        key = (self.language, self.broken, text)
         if key not in _HEADS:
             if len(_HEADS) > 300_000:
                 _HEADS.clear()
             g = _grammar(self.language)
-            _HEADS[key] = g.parse("head", text) or (g.parse("head", text, 1) if "~" in text[:12] else None)
+            _HEADS[key] = g.parse("head", text) or (g.parse("head", text, 1) if self.broken or "~" in text else None)
         found = _HEADS[key]
         if not found or not found[0]:
             return None
@@ -408,12 +419,12 @@ def _python(f: File) -> Iterator[tuple[list[str], str | None, int, int]]:
         yield [*chain, name], doc, start, _suite_end(f, colon, indent)
 
 
-def scan(tokens: list[str], language: str, part: bool = False) -> Iterator[tuple[list[str], str | None, str]]:
+def scan(tokens: list[str], language: str, part: bool = False, broken: bool = False) -> Iterator[tuple[list[str], str | None, str]]:
     """Names, raw documentation and code of the functions in a text's tokens.
 
     In languages with braces only the documented ones come out, and in a part of a file also its first.
     """
-    f = File(tokens, language)
+    f = File(tokens, language, broken)
     for n, d, a, b in _python(f) if language == "py" else _worded(f) if language in ("go", "lua") else _braced(f, part):
         yield n, d, "".join(f.tokens[a : b + 1])
 
@@ -459,7 +470,10 @@ _SCHEMA = "project string, file_path string, broken boolean, qualified_name stri
 
 
 def documented(df: DataFrame, with_text: bool = True) -> DataFrame:
-    """(`project`, `file_path`, `broken`, `qualified_name`[, `documentation`, `code`]): pairs, and a row for each broken file."""
+    """(`project`, `file_path`, `broken`, `qualified_name`[, `documentation`, `code`]): pairs, and a row for each broken file.
+
+    The row of a broken file has `broken` true and no name.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         out: list[tuple] = []
@@ -469,14 +483,14 @@ def documented(df: DataFrame, with_text: bool = True) -> DataFrame:
             by_name = known or _NAMES.get((language or "").strip().lower())
             text = plain(text or "")
             tokens = tokens_of(text, by_name) if by_name and text.strip() else []
-            if module and path and ((known and tokens and not valid_tokens(tokens, known)) or says_unparsed(message)):
+            broken = bool(module and path and ((known and tokens and not valid_tokens(tokens, known)) or says_unparsed(message)))
+            if broken:
                 out.append((project, path, True, None, None, None))
-                continue
             if not found or not qn:
                 continue
             seen: dict[str, tuple[str, str]] = {}
             if tokens:
-                for names, raw, code in scan(tokens, by_name, not module):
+                for names, raw, code in scan(tokens, by_name, not module, broken):
                     tail = names if module else names[1:]
                     if raw and not is_trivial(d := description(raw)):
                         seen.setdefault(".".join([qn, *tail]), (d, code))
@@ -495,31 +509,36 @@ def documented(df: DataFrame, with_text: bool = True) -> DataFrame:
     return map_rows(rows, run, _SCHEMA + ", documentation string, code string" * with_text, 128)
 
 
-def _sound(rows: DataFrame) -> DataFrame:
-    """The pairs whose file isn't broken."""
-    broken = rows.where("broken").select(F.col("project").alias("p"), F.col("file_path").alias("f")).distinct()
-    return rows.where("not broken").join(broken, F.col("project").eqNullSafe(F.col("p")) & (F.col("file_path") == F.col("f")), "left_anti")
+def _marked(rows: DataFrame) -> DataFrame:
+    """The pairs, with `broken` true for those of a broken file."""
+    rows = cut(rows)
+    broken, n = cut_counted(rows.where("broken").select(F.col("project").alias("p"), F.col("file_path").alias("f")).distinct())
+    return rows.where("not broken").drop("broken").join(small(broken, n), F.col("project").eqNullSafe(F.col("p")) & (F.col("file_path") == F.col("f")), "left").withColumn("broken", F.col("f").isNotNull()).drop("p", "f")
 
 
-def pairs(df: DataFrame, repeats: int = 0) -> DataFrame:
-    """(`project`, `qualified_name`, `documentation`, `code`), once each; of several the smallest documentation is taken.
+def pairs(df: DataFrame, share: float | None = None) -> DataFrame:
+    """(`project`, `qualified_name`, `documentation`, `code`, `broken`), once each; of several the smallest documentation is taken.
 
-    With `repeats`, descriptions are dropped whose template (words without names and numbers) more functions than that
-    share in the corpus; counts are of hashes of the templates.
+    `broken` says that the function was only met in files that do not parse. With `share`, descriptions are dropped whose
+    template (words without names and numbers) more than 1 + `share` times all functions of the corpus have in common;
+    counts are of hashes of the templates.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         templates = [xxhash.xxh64_intdigest(" ".join(w for w in re.sub(r"`[^`]*`|\d+", " ", summary(d)).lower().split())) - (1 << 63) for d in batch.column(2).to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(templates, pa.int64())], [*batch.schema.names, "template"])
 
-    once = _sound(cut(documented(df))).groupBy("project", "qualified_name").agg(F.min("documentation").alias("documentation"), F.min_by("code", "documentation").alias("code"))
-    if not repeats:
+    met = _marked(documented(df))
+    # One of a file that parses goes before one of a broken file.
+    first = F.struct("broken", "documentation")
+    once = met.groupBy("project", "qualified_name").agg(F.min(first).alias("first"), F.min_by("code", first).alias("code")).select("project", "qualified_name", "first.documentation", "code", "first.broken")
+    if share is None:
         return once
-    marked = cut(map_rows(once, run, "project string, qualified_name string, documentation string, code string, template bigint"))
-    common = marked.groupBy("template").count().where(f"count > {repeats}").select("template")
-    return marked.join(common, "template", "left_anti").drop("template")
+    marked, n = cut_counted(map_rows(once, run, "project string, qualified_name string, documentation string, code string, broken boolean, template bigint"))
+    common, m = cut_counted(marked.groupBy("template").count().where(F.col("count") > 1 + share * n).select("template"))
+    return marked.join(small(common, m), "template", "left_anti").drop("template")
 
 
 def documented_names(df: DataFrame) -> DataFrame:
-    """Distinct (`project`, `qualified_name`) of the functions with documentation that is not trivial."""
-    return _sound(cut(documented(df, with_text=False))).select("project", "qualified_name").distinct()
+    """Distinct (`project`, `qualified_name`) of the functions with documentation that is not trivial, of files that parse."""
+    return _marked(documented(df, with_text=False)).where("not broken").select("project", "qualified_name").distinct()

@@ -49,7 +49,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return functions.pairs(table(spark, d, "code_snippet"), repeats=200)
+    return functions.pairs(table(spark, d, "code_snippet"), share=0.002)
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

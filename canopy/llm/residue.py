@@ -82,6 +82,7 @@ NEUTRAL = re.compile(
 _COMPILED = [re.compile("(?:" + "".join(line.strip() for line in p.strip().splitlines()) + ")", re.I) for p in (FILLER, ERROR, SCRIPTS)]
 _NOSCRIPT = re.compile("<noscript>", re.I)
 _MASKED = re.compile(PLACEHOLDER.pattern + r"|«[^«»\n]{1,60}»")
+_HINT = re.compile(r"[{\[<%_@#?X«]")  # without one of these there is no placeholder
 _NUMBERED = re.compile(r"\d")
 _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 _SPAN = re.compile(r"`[^`\n]+`|“[^”\n]*”|«[^»\n]*»|„[^“\n]*“|\"[^\"\n]{3,}\"")
@@ -113,7 +114,7 @@ def units(text: str) -> tuple[int, int, list[tuple[int, str]]]:
             continue
         body = _MARK.sub("", unit)
         bare = _SPAN.sub(" ", body) if not body.startswith("<noscript") else body
-        marks = PLACEHOLDER.findall(bare)
+        marks = PLACEHOLDER.findall(bare) if _HINT.search(bare) else ()
         found = words(bare)
         n = len(found) if bare is body or bare == body else len(words(body))
         low = _OPENERS.sub("", _LEAD.sub("", bare) if not bare.startswith(("{", "<noscript")) else bare)
@@ -127,7 +128,7 @@ def units(text: str) -> tuple[int, int, list[tuple[int, str]]]:
             out.append((1, body))
         elif unit.startswith("#") or NEUTRAL.match(body) or n <= 2 or (n <= 6 and body.endswith(":")):
             # Neutral, unless what it looks like elsewhere is residue: a masked word or two may be all of it.
-            if _MASKED.search(body):
+            if _HINT.search(body) and _MASKED.search(body):
                 out.append((0, body))
         elif not titled and not out and not fenced and n <= 9 and not re.search(r"[.!?。！？:]\s*$", body):
             titled = True
@@ -143,8 +144,8 @@ def judge(text: str) -> tuple[int, int]:
 
 
 def plain_words(unit: str) -> list[str]:
-    """Words of a unit, with placeholders masked by `_` and words with digits by `0`."""
-    found = words(_MASKED.sub(" \u01c2 ", unit) if not unit.isalnum() else unit)
+    """Words of a unit, with placeholders masked by one letter and words with digits by `0`."""
+    found = words(_MASKED.sub(" \u01c2 ", unit) if _HINT.search(unit) else unit)
     return ["0" if _NUMBERED.search(w) else w for w in found] or [unit]
 
 

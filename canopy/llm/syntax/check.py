@@ -242,8 +242,11 @@ _CAUSES = ((r"<{7}|={7}|>{7}|\|{7}", "merge conflict"), (r"[\"'`]", "unclosed st
 
 def _tokens(text: str, language: str) -> list[tuple[str, int, str]]:
     """Kind characters with the offset and text of their tokens."""
-    kinds = kinds_of(language)
-    return [(c, m.start(), m.group()) for m in kinds.tokens.finditer(text) for c in kinds[m.group()]]
+    kinds, out, at = kinds_of(language), [], 0
+    for t in kinds.find(text):
+        out += [(c, at, t) for c in kinds[t]]
+        at += len(t)
+    return out
 
 
 def diagnose(text: str, language: str) -> tuple[int, int, str] | None:

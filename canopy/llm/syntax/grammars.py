@@ -62,9 +62,10 @@ bin = unary (binop unary {t("/ ('as' / 'satisfies') type")})*
 binop = '||' / '&&' / '??' / '|' !'=' / '^' / '&' / '===' / '!==' / '==' / '!=' / '<=' / '<<' / '<' / '>' '>'? '>'? '='? / '+' / '-' / '**' / '*' / '/' / '%' / 'instanceof' / 'in'
 unary = ('!' / '~' / '+' / '-' / '++' / '--' / 'typeof' / 'void' / 'delete' / 'await') unary / post (!NL ('++' / '--'))?
 post = primary suffix*
-suffix = '?.' (name / <args> / <index> / STR) / '.' name / <args> / <index> / !NL STR {t("/ !NL '!' !'=' / targs &<args> <args>")}
-primary = 'async' !NL 'function' '*'? ident? {t("tparams?")} <params> tr <stmts> / 'function' '*'? ident? {t("tparams?")} <params> tr <stmts> / class / 'new' ('.' 'target' / !'new' newpost {t("targs?")} <args>? / 'new' newpost) / 'import' (<args> / '.' 'meta') / STR / NUM / 'this' / 'super' / 'null' / 'true' / 'false' / <paren> / <array> / <object> / ident
+suffix = '?.' (name / <args> / <index> / STR) / '.' name / <args> / <index> / !NL (STR / template) {t("/ !NL '!' !'=' / targs &<args> <args>")}
+primary = 'async' !NL 'function' '*'? ident? {t("tparams?")} <params> tr <stmts> / 'function' '*'? ident? {t("tparams?")} <params> tr <stmts> / class / 'new' ('.' 'target' / !'new' newpost {t("targs?")} <args>? / 'new' newpost) / 'import' (<args> / '.' 'meta') / STR / template / NUM / 'this' / 'super' / 'null' / 'true' / 'false' / <paren> / <array> / <object> / ident
 newpost = primary (('.' name) / <index>)*
+template = 'FIRST' <paren> ('PART' <paren>)* 'LAST'
 """ + (
         f"""
 typedecl = decos 'declare'? ('interface' ident tparams? ('extends' type (',' type)*)? <typebody> / 'type' ident tparams? '=' type eos / 'const'? 'enum' ident <enumbody> / ('namespace' / 'module') (ident ('.' ident)* / STR) (<stmts> / eos) / 'global' <stmts>) / 'declare' (vars eos / func / class) / 'abstract' class
@@ -74,7 +75,7 @@ targs = '<' type (',' type)* ','? '>'
 type = 'asserts' ident ('is' type)? / (ident / 'this') 'is' type / union ('extends' union '?' type ':' type)?
 union = ('|' / '&')? tprefix (('|' / '&') tprefix)*
 tprefix = ('keyof' / 'unique' / 'readonly' / 'infer') !(',' / '>' / ')' / '=') tprefix / 'typeof' post targs? / tprim (!NL <tindex>)*
-tprim = tparams? <params> '=>' type / 'abstract'? 'new' tparams? <params> '=>' type / <ptype> / <typebody> / <tuple> / '-'? NUM / STR / 'this' / 'null' / 'void' / 'true' / 'false' / 'import' <args> ('.' name)* targs? / ident ('.' name)* targs?
+tprim = tparams? <params> '=>' type / 'abstract'? 'new' tparams? <params> '=>' type / <ptype> / <typebody> / <tuple> / '-'? NUM / STR / 'FIRST' <ptype> ('PART' <ptype>)* 'LAST' / 'this' / 'null' / 'void' / 'true' / 'false' / 'import' <args> ('.' name)* targs? / ident ('.' name)* targs?
 ptype = type
 tindex = EOF / type
 tuple = (tel (',' tel)* ','?)?
@@ -91,7 +92,7 @@ enumbody = (key ('=' assign)? (',' key ('=' assign)?)* ','?)?
 
 @cache
 def script(typed: bool) -> Grammar:
-    brackets = {"(": ["paren", "args", "params", "forhead", "catchp"] + ["ptype"] * typed, "[": ["array", "index"] + ["tindex", "tuple", "isig"] * typed, "{": ["stmts", "object", "classbody", "cases", "specs"] + ["typebody", "enumbody"] * typed}
+    brackets = {"(": ["paren", "args", "params", "forhead", "catchp"] + ["ptype"] * typed, "[": ["array", "index"] + ["tindex", "tuple", "isig"] * typed, "{": ["stmts", "object", "classbody", "cases", "specs", "paren"] + ["typebody", "enumbody", "ptype"] * typed}
     return Grammar(_script(typed), brackets, {"stmts", "module", "classbody"} | ({"typebody"} if typed else set()), set(_JS_RESERVED))
 
 
@@ -341,6 +342,7 @@ pargs = ((ident '=' pat / pat) (',' (ident '=' pat / pat))* ','?)?
 pmap = (('**' ident / pkey ':' pat) (',' ('**' ident / pkey ':' pat))* ','?)?
 pkey = '-'? NUM / STR+ / 'None' / 'True' / 'False' / ident ('.' ident)*
 decorator = '@' named
+field = yield / stars
 block = bstmt+
 module = bstmt*
 bstmt = 'S' / ('I' body / 'i') ('L' body / 'l')* ('E' body / 'e')? / ('W' / 'R') body ('E' body / 'e')? / ('w' / 'r') ('E' body / 'e')? / ('T' body / 't') (('X' body / 'x')+ ('E' body / 'e')? ('F' body / 'f')? / 'F' body / 'f') / 'A'* ('D' body / 'd' / 'C' body / 'c') / 'H' body / 'h' / 'M' <casebody>

@@ -101,6 +101,24 @@ def test_functions_by_language():
     assert [n for n, _ in names(lua, "lua")] == ["a", "a.b", "c", "e", "f"]
 
 
+SCRIPTS = [
+    "`a ${`b`} c`;", "if (a) /re/.test(b);", "const x = a && /x\"y/.test(b);", "const f = x => /re/g;", "x = `a ${b ? `c ${d}` : ''} e`;", "tag`x ${a} y ${b}`;", "let q = (a) / b / c;", "const z = {a: 1}; `p ${{a:1}.a} q`", "while (i--) /a/.exec(s)",
+    "let r = a ? /b/ : /c/; x = [/a/, /b/];", "`${a}${b}`;", "return_ = 1 / 2 / 3", "function f() { return /a[/]b/.test(`${x}`) }", "for (const k of /a/g.exec(s)) {}", "const y = a.in / 2 / 3;", "x = `\\${a} \\``;", "if (x) { y = `${a}` } else { z = `${b}` }",
+    "const o = {f(a) { return `${a}` }, ...b};", "s.replace(/\\//g, '/').split(/[,;]/)",
+]
+FIELDS = ["f\"{a}\"", "f'{a!r:>{w}} {{}} {b=}'", "f\"{d['k']} {x[\"a\"]}\"", "f'{a:%Y-%m-%d}'", "rf'\\d{n}'", "f'{(lambda: 1)()}'", "f'''{a}\n{b}'''", "f\"{', '.join(v)}\"", "f'\\N{DASH}'", "f'{a if b else c}' 'd'", "f'{a != b}'"]
+
+
+@pytest.mark.parametrize(("language", "text"), [*(("js", t) for t in SCRIPTS), *(("ts", t) for t in [*SCRIPTS, "type K = `get${string}`;", "const x: string = `a ${b as string} c`;"]), *(("py", "x = " + t) for t in FIELDS)])
+def test_templates_regular_expressions_and_fields(language, text):
+    assert valid(text, language)
+
+
+@pytest.mark.parametrize(("language", "text"), [*(("js", t) for t in ("`a ${ } c`", "`a ${b c`", "x = `a ${b c} d`", "if (a) /re.test(b);", "`${a`")), ("ts", "const x = `a ${b as} c`;"), *(("py", f"x = f{t}") for t in ('"{a b}"', "'{}'", "'{a'", "'a}'", "'{a!x}'"))])
+def test_broken_templates_and_fields(language, text):
+    assert not valid(text, language) and diagnose(text, language)
+
+
 def test_broken_files_still_give_functions():
     assert [n for n, _ in names("/** one */\nfunction a() { }\nfunction x( {\n/** two */\nfunction b() { }\n", "js")][:1] == ["a"]
 
@@ -123,8 +141,12 @@ def test_pairs(spark):
     found = {tuple(r) for r in functions.documented_names(df).collect()}
     assert found == {("p", "p.m.f"), ("p", "p.h"), ("p", "p.c.f"), ("p", "p.c.f.inner"), (None, "g.f")}
     assert {r.documentation for r in functions.pairs(df).collect()} == {doc}
-    assert functions.pairs(df, repeats=3).count() == 0 and functions.pairs(df, repeats=5).count() == 5
-    assert functions.pairs(df.limit(0), repeats=2).count() == 0
+    got = functions.pairs(df)
+    # The broken file's functions are pairs too, marked as such.
+    assert {(r.qualified_name, r.broken) for r in got.collect()} >= {(n, False) for _, n in found} | {("p.b.g", True)}
+    n = got.count()
+    assert functions.pairs(df, share=0.1).count() == 0 and functions.pairs(df, share=1.0).count() == n
+    assert functions.pairs(df.limit(0), share=0.1).count() == 0
 
 
 def test_provenance(spark):
