@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canopy.session import cut
+
 
 def last_part(name: Column) -> Column:
     """What stands behind the last `.` or `:`."""
@@ -66,22 +68,33 @@ def match_score(parameter: Column, cls: Column) -> Column:
     return F.when(p == c, 100).when(c.endswith(p) | p.endswith(c), 90).when(p.contains(c), share).otherwise(F.when(p.isNotNull() & c.isNotNull(), 0)).cast("int")
 
 
-def prefixes(parts: Column) -> Column:
-    """All dotted prefixes of an array of parts, the empty one first."""
-    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
+def prefix_keys(parts: Column) -> Column:
+    """A 64-bit key of each prefix of an array of parts, the empty one first."""
+    return F.aggregate(parts, F.array(F.lit(0).cast("bigint")), lambda keys, p: F.array_append(keys, F.xxhash64(F.element_at(keys, -1), p)))
 
 
 def nearest(wanted: DataFrame, definitions: DataFrame) -> DataFrame:
     """(`caller`, `name`, `candidate`, `distance`): per wanted (`caller`, `name`) the nearest of the definitions (`name`, `qualified_name`).
 
     Nearest is the least `import_distance`, then the first name. Definitions are brought together by the prefixes of their
-    names: below a prefix that it shares with a caller, only a definition's number of parts matters, so one of each number
-    is kept. A name that very many define and call doesn't make pairs of all of them.
+    names: below a prefix that it shares with a caller, only a definition's number of parts matters, so the first of each
+    number is kept, and the distance follows from depths alone. A name that very many define and call doesn't make pairs of
+    all of them. Names travel as their place in the sorted order.
     """
     parts = F.split("qualified_name", r"\.")
-    below = definitions.select("name", "qualified_name", F.size(parts).alias("n"), F.explode(prefixes(parts)).alias("prefix"))
-    below = below.groupBy("name", "prefix", "n").agg(F.min("qualified_name").alias("candidate"))
-    callers = wanted.select("caller", "name", F.explode(prefixes(F.split("caller", r"\."))).alias("prefix")).distinct()
-    found = callers.join(below, ["name", "prefix"]).withColumn("distance", import_distance(F.col("candidate"), F.col("caller")))
-    best = found.groupBy("caller", "name").agg(F.min(F.struct("distance", "candidate")).alias("b"))
-    return best.select("caller", "name", "b.candidate", "b.distance")
+    # Ids of a sorted table are in its order, whatever the number of partitions.
+    defined = definitions.select("name", "qualified_name").where("name is not null and qualified_name is not null").distinct()
+    defined = cut(defined.orderBy("qualified_name").withColumn("rank", F.monotonically_increasing_id()))
+    asked = cut(wanted.select("caller", "name").where("name is not null and caller is not null").distinct().withColumn("ask", F.monotonically_increasing_id()))
+    below = defined.select("name", "rank", F.size(parts).alias("n"), F.explode(prefix_keys(parts)).alias("key"))
+    below = below.groupBy("name", "key", "n").agg(F.min("rank").alias("rank"))
+    caller = F.split("caller", r"\.")
+    above = asked.select("ask", "name", F.size(caller).alias("m"), F.posexplode(prefix_keys(caller)).alias("k", "key"))
+    near = (F.col("k") >= F.col("m") - 1) & (F.col("n") >= F.col("m")) & (F.col("m") > 1)
+    distance = F.greatest("n", "m") - F.col("k") - near.cast("int")
+    # Distance above rank in one number: the least is the nearest, then the first.
+    packed = F.shiftleft((distance + 1).cast("bigint"), 48) + F.col("rank")
+    best = above.join(below, ["name", "key"]).groupBy("ask").agg(F.min(packed).alias("best"))
+    best = best.select("ask", (F.shiftright("best", 48) - 1).cast("int").alias("distance"), F.col("best").bitwiseAND(F.lit((1 << 48) - 1)).alias("rank"))
+    named = defined.select("rank", F.col("qualified_name").alias("candidate"))
+    return asked.join(best, "ask").join(named, "rank").select("caller", "name", "candidate", "distance")

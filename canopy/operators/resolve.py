@@ -139,15 +139,18 @@ def resolve_calls(f: Facts, up: DataFrame) -> DataFrame:
     wild = imports.where("local like '*%'")
     out.append(tier(plain.where("n = 1").join(wild, "module"), F.concat_ws(".", "base", "name"), 5, F.col("at")))
     out.append(tier(plain.where("n = 1"), F.concat_ws(".", "module", "name"), 6))
-    names = known.where("label <> 'Class'").select(F.col("simple").alias("name"), F.col("target").alias("qualified_name"))
-    near = nearest(plain.select(F.col("module").alias("caller"), F.col("last").alias("name")).distinct(), names).select(F.col("caller").alias("module"), F.col("name").alias("last"), F.col("candidate").alias("target"), F.col("distance").alias("ord"))
-    out.append(plain.join(near, ["module", "last"]).select(*keys, F.lit(7).alias("tier"), "ord", "target"))
     rows = out[0]
     for more in out[1:]:
         rows = rows.unionByName(more)
-    best = rows.withColumn("class", F.coalesce("class", F.lit(""))).groupBy("module", "caller", "name", "class", "line").agg(F.min(F.struct("tier", "ord", "target")).alias("b"))
-    all_ = calls.select(*keys).withColumn("class", F.coalesce("class", F.lit("")))
-    return all_.join(best, ["module", "caller", "name", "class", "line"], "left").select("caller", "name", "line", F.col("b.target").alias("target"), F.col("b.tier").alias("tier")).distinct()
+    named = lambda df: df.withColumn("class", F.coalesce("class", F.lit("")))
+    best = cut(named(rows).groupBy(*keys).agg(F.min(F.struct("tier", "ord", "target")).alias("b")).select(*keys, "b.tier", "b.target"))
+    # Only calls that no tier answers look for the nearest definition.
+    rest = named(plain).join(best, keys, "left_anti")
+    names = known.where("label <> 'Class'").select(F.col("simple").alias("name"), F.col("target").alias("qualified_name"))
+    near = nearest(rest.select(F.col("module").alias("caller"), F.col("last").alias("name")), names).select(F.col("caller").alias("module"), F.col("name").alias("last"), F.col("candidate").alias("target"))
+    far = rest.join(near, ["module", "last"]).select(*keys, F.lit(7).alias("tier"), "target")
+    all_ = named(calls.select(*keys))
+    return all_.join(best.unionByName(far), keys, "left").select("caller", "name", "line", "target", "tier").distinct()
 
 
 def _typed(f: Facts) -> DataFrame:

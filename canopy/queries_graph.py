@@ -415,16 +415,21 @@ def param_name_score(spark: SparkSession, d: str) -> DataFrame:
 
 # Incremental state and caches.
 @add(
-    """with o as (select project, file_path, min(sha256(source_code)) as h from code_snippet where label = 'Module' and source_code is not null and file_path is not null and project is not null and snippet_id % 7 <> 0 group by project, file_path),
-n as (select project, file_path, max(sha256(source_code)) as h from code_snippet where label = 'Module' and source_code is not null and file_path is not null and project is not null and snippet_id % 11 <> 0 group by project, file_path)
+    """with r as (select project, file_path, sha256(source_code) as h, epoch_us(retrieved_at) < (select (epoch_us(min(retrieved_at)) + epoch_us(max(retrieved_at))) // 2 from code_snippet) as early
+  from code_snippet where label = 'Module' and source_code is not null and file_path is not null and project is not null and retrieved_at is not null),
+o as (select project, file_path, min(h) as h from r where early group by project, file_path),
+n as (select project, file_path, max(h) as h from r where not early group by project, file_path)
 select coalesce(o.project, n.project) as project, coalesce(o.file_path, n.file_path) as file_path, case when o.h is null then 'new' when n.h is null then 'deleted' when o.h = n.h then 'unchanged' else 'changed' end as status from o full join n on o.project = n.project and o.file_path = n.file_path""",
     graph=False,
 )
 def hash_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Two listings of the files (either lacks some retrievals, which makes the deleted and the new ones) and what changed."""
-    rows = table(spark, d, "code_snippet").where("label = 'Module' and source_code is not null and file_path is not null and project is not null").withColumn("sha256", incremental.content_hash(F.col("source_code")))
-    old = rows.where("snippet_id % 7 <> 0").groupBy("project", "file_path").agg(F.min("sha256").alias("sha256"))
-    new = rows.where("snippet_id % 11 <> 0").groupBy("project", "file_path").agg(F.max("sha256").alias("sha256"))
+    """What changed between the files retrieved in the first and in the second half of the time."""
+    snippets = table(spark, d, "code_snippet")
+    middle = snippets.agg(F.floor((F.unix_micros(F.min("retrieved_at")) + F.unix_micros(F.max("retrieved_at"))) / 2).alias("middle"))
+    rows = snippets.where("label = 'Module' and source_code is not null and file_path is not null and project is not null and retrieved_at is not null").withColumn("sha256", incremental.content_hash(F.col("source_code")))
+    rows = rows.crossJoin(F.broadcast(middle)).withColumn("early", F.unix_micros("retrieved_at") < F.col("middle"))  # one row
+    old = rows.where("early").groupBy("project", "file_path").agg(F.min("sha256").alias("sha256"))
+    new = rows.where("not early").groupBy("project", "file_path").agg(F.max("sha256").alias("sha256"))
     return incremental.changes(old, new, ["project", "file_path"])
 
 
