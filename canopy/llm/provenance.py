@@ -10,16 +10,20 @@ directory's name shifts the compatibility with its parent, so it says what is be
 the tree of directories the messages go once up and once down, which is exact: a file without any evidence of its own is
 labelled by its siblings, its directory, and what stands beside and above that. A directory without a telling name that
 holds nothing but one directory is one with that: how deep a path is says nothing.
+
+Trees can be deep, so messages don't go level by level. Each directory goes on in its largest subdirectory; the paths this
+makes are chains of no more directories than a file's path has, and from a file to the root there are at most log2(n) of
+them. Each round passes the messages along whole paths, one row each.
 """
 
 from __future__ import annotations
 
-import math
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.llm.arrow import map_rows
@@ -154,6 +158,71 @@ def _columns(name: str) -> list[Column]:
     return [F.col(f"{name}{i}") for i in range(len(LABELS))]
 
 
+def _through(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Log of exp(x) @ table for the rows of `x`."""
+    top = x.max(1, keepdims=True)
+    return top + np.log(np.exp(x - top) @ table)
+
+
+def _padded(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A list column as rows of equal length, and the lengths in items of `width` numbers."""
+    n = np.asarray(column.value_lengths()) // width
+    out = np.zeros((len(n), n.max(initial=0), width))
+    out[np.arange(out.shape[1]) < n[:, None]] = np.asarray(column.flatten()).reshape(-1, width)
+    return out, n
+
+
+def _lists(x: np.ndarray, n: np.ndarray) -> pa.Array:
+    flat = x[np.arange(x.shape[1]) < n[:, None]].ravel()
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n * x.shape[2])]), pa.int32()), pa.array(flat))
+
+
+def _upwards(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(`up`, `dirs`, `e`, `u`) of paths from their top: what each directory hears from below is added to `u`; and what the top sends."""
+    k, to = len(LABELS), np.array(TO_DIRECTORY).T
+    e, n = _padded(batch.column("e"), k)
+    u, _ = _padded(batch.column("u"), k)
+    sent = np.zeros((len(n), k))
+    for i in range(u.shape[1] - 1, -1, -1):
+        on = n > i
+        u[on, i] += np.where((n == i + 1)[on, None], 0.0, sent[on])
+        # The name's shift is divided by what it sums to, which leaves the parent's belief alone.
+        sent[on] = _through(u[on, i] + e[on, i], to) - _through(e[on, i], to)
+    return pa.RecordBatch.from_arrays([batch.column("up"), batch.column("dirs"), batch.column("e"), _lists(u, n), _lists(sent[:, None], np.ones(len(n), int))], ["up", "dirs", "e", "u", "sent"])
+
+
+def _downwards(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(`dirs`, `b`): belief of each directory on the paths, whose top hears `heard` from above (without its own word)."""
+    k, table = len(LABELS), np.array(TO_DIRECTORY)
+    e, n = _padded(batch.column("e"), k)
+    u, _ = _padded(batch.column("u"), k)
+    heard, _ = _padded(batch.column("heard"), k)
+    root = np.asarray(batch.column("up").is_null())
+    b = np.zeros_like(u)
+    for i in range(u.shape[1]):
+        on = n > i
+        own = _through(u[on, i] + e[on, i], table.T) - _through(e[on, i], table.T)
+        above = heard[on, 0] if i == 0 else b[on, i - 1] - own
+        down = _through(above - _through(e[on, i], table.T), table) + e[on, i]
+        b[on, i] = u[on, i] + (np.where(root[on, None], np.log(PRIOR), down) if i == 0 else down)
+    return pa.RecordBatch.from_arrays([batch.column("dirs"), _lists(b, n)], ["dirs", "b"])
+
+
+def _tree(files: DataFrame) -> tuple[DataFrame, int]:
+    """(`dir`, `up`, `head`, `turns`, `level`, `e`) of each directory: its path by the top one, and the turns from the root to it."""
+    size = F.size("dirs")
+    cells = files.select("dirs", "named").distinct().select(F.col("dirs")[0].alias("own"), "dirs", "named", F.explode(F.sequence(F.lit(0), size - 1)).alias("k"))
+    cells = cut(cells.select("own", (size - 1 - F.col("k")).alias("level"), F.col("dirs")[F.col("k")].alias("dir"), F.try_element_at("dirs", F.col("k") + 2).alias("up"), F.slice("named", F.col("k") * len(LABELS) + 1, len(LABELS)).alias("e")))
+    sizes = cells.where("up is not null").groupBy("up", "dir").agg(F.count("*").alias("n"))
+    heavy = sizes.groupBy("up").agg(F.max_by("dir", F.struct("n", "dir")).alias("heavy"))
+    turn = F.col("up").isNotNull() & (F.col("heavy") != F.col("dir"))
+    below = Window.partitionBy("own").orderBy("level")
+    tree = cells.join(heavy, "up", "left").select("own", "dir", "up", "level", "e", turn.alias("turn"))
+    tree = tree.select("dir", "up", "level", "e", F.sum(F.col("turn").cast("int")).over(below).alias("turns"), F.last(F.when(F.col("turn") | F.col("up").isNull(), F.col("dir")), True).over(below).alias("head"))
+    tree = cut(tree.distinct())
+    return tree, tree.agg(F.max("turns")).first()[0] or 0
+
+
 def _contracted(files: DataFrame) -> DataFrame:
     """`files` with `dirs` and `named` without the directories that only lead to one other."""
     paths = cut(files.select("dirs", "named").distinct())
@@ -183,39 +252,34 @@ def beliefs(df: DataFrame) -> DataFrame:
     lift = _message(_columns("s"), TO_FILE)
     vectors = vectors.select("project", "file_path", "dir", *_columns("s"), *(m.alias(f"m{i}") for i, m in enumerate(lift)))
 
-    # The tree of directories: level 0 is the root of a project.
-    size = F.size("dirs")
-    at = files.select("dirs", "named").distinct().select("dirs", "named", F.explode(F.sequence(F.lit(0), size - 1)).alias("k"))
-    tree = at.select(
-        F.col("dirs")[F.col("k")].alias("dir"), F.try_element_at("dirs", F.col("k") + 2).alias("up"), (size - 1 - F.col("k")).alias("level"), *(F.col("named")[F.col("k") * len(LABELS) + i].alias(f"e{i}") for i in n)
-    ).distinct()
-    below = vectors.groupBy("dir").agg(*(F.sum(f"m{i}").alias(f"f{i}") for i in n))
-    kept = ["dir", "up", "level", *(f"e{i}" for i in n), *(f"z{i}" for i in n)]
-    # z is what the name's shift sums to under each label of the parent: dividing by it leaves the parent's belief alone.
-    tree = tree.select("dir", "up", "level", *_columns("e"), *(m.alias(f"z{i}") for i, m in enumerate(_message(_columns("e"), TO_DIRECTORY))))
-    tree = cut(tree.join(below, "dir", "left").select(*kept, *(F.coalesce(f"f{i}", F.lit(0.0)).alias(f"u{i}") for i in n)))
-    deepest = tree.agg(F.max("level")).first()[0] or 0
-
-    def lifted() -> list[Column]:
-        return [m - F.col(f"z{i}") for i, m in enumerate(_message([F.col(f"u{i}") + F.col(f"e{i}") for i in n], TO_DIRECTORY))]
-
-    raised = [tree.where(F.col("level") == deepest)]
-    for level in range(deepest - 1, -1, -1):
-        sent = raised[-1].select(F.col("up").alias("dir"), *(m.alias(f"m{i}") for i, m in enumerate(lifted()))).groupBy("dir").agg(*(F.sum(f"m{i}").alias(f"m{i}") for i in n))
-        here = tree.where(F.col("level") == level).join(sent, "dir", "left")
-        raised.append(cut(here.select(*kept, *((F.col(f"u{i}") + F.coalesce(f"m{i}", F.lit(0.0))).alias(f"u{i}") for i in n))))
+    below = vectors.groupBy("dir").agg(F.array(*(F.sum(f"m{i}") for i in n)).alias("f"))
+    tree, deepest = _tree(files)
+    zero = F.array(*(F.lit(0.0) for _ in n))
+    add = lambda x, y: F.zip_with(x, F.coalesce(y, zero), lambda p, q: p + q)
+    tree = cut(tree.join(below, "dir", "left").withColumn("u", F.coalesce("f", zero)).drop("f"))
+    numbers = "array<double>"
+    raised: list[DataFrame] = []
+    for turns in range(deepest, -1, -1):
+        here = tree.where(F.col("turns") == turns)
+        if raised:
+            sent = raised[-1].groupBy(F.col("up").alias("dir")).agg(F.array(*(F.sum(F.col("sent")[i]) for i in n)).alias("m"))
+            here = here.join(sent, "dir", "left").withColumn("u", add(F.col("u"), F.col("m")))
+        rows = here.groupBy("head").agg(F.sort_array(F.collect_list(F.struct("level", "dir", "up", "e", "u"))).alias("s"))
+        rows = rows.select(F.col("s")[0]["up"].alias("up"), F.col("s.dir").alias("dirs"), F.flatten("s.e").alias("e"), F.flatten("s.u").alias("u"))
+        raised.append(cut(map_rows(rows, _upwards, f"up bigint, dirs array<bigint>, e {numbers}, u {numbers}, sent {numbers}", 4096)))
     raised.reverse()
 
-    # Downwards: what a directory hears from above, without what it said itself.
-    known = raised[0].select("dir", *((F.col(f"u{i}") + F.lit(math.log(PRIOR[i]))).alias(f"b{i}") for i in n))
-    done = known
-    for level in range(1, deepest + 1):
-        own = raised[level].select("dir", "up", *_columns("u"), *_columns("e"), *_columns("z"), *(m.alias(f"m{i}") for i, m in enumerate(lifted())))
-        heard = own.join(known.withColumnRenamed("dir", "up"), "up")
-        without = [F.col(f"b{i}") - F.col(f"m{i}") - F.col(f"z{i}") for i in n]
-        heard = heard.select("dir", *_columns("u"), *_columns("e"), *(m.alias(f"d{i}") for i, m in enumerate(_message(without, TO_DIRECTORY, True))))
-        known = cut(heard.select("dir", *((F.col(f"u{i}") + F.col(f"e{i}") + F.col(f"d{i}")).alias(f"b{i}") for i in n)))
-        done = done.unionByName(known)
+    # Downwards: what the top of a path hears from the directory it hangs on, without what it said itself.
+    done = known = None
+    for paths in raised:
+        if known is None:
+            rows = paths.withColumn("heard", zero)
+        else:
+            rows = paths.join(known.withColumnRenamed("dir", "up"), "up").withColumn("heard", F.zip_with("b", "sent", lambda p, q: p - q))
+        beliefs_ = map_rows(rows.select("up", "dirs", "e", "u", "heard"), _downwards, f"dirs array<bigint>, b {numbers}", 4096)
+        known = cut(beliefs_.select(F.posexplode("dirs").alias("k", "dir"), "b").select("dir", F.slice("b", F.col("k") * len(LABELS) + 1, len(LABELS)).alias("b")))
+        done = known if done is None else done.unionByName(known)
+    done = done.select("dir", *(F.col("b")[i].alias(f"b{i}") for i in n))
 
     joined = vectors.join(done, "dir")
     without = [F.col(f"b{i}") - F.col(f"m{i}") for i in n]
