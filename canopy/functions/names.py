@@ -68,6 +68,41 @@ def match_score(parameter: Column, cls: Column) -> Column:
     return F.when(p == c, 100).when(c.endswith(p) | p.endswith(c), 90).when(p.contains(c), share).otherwise(F.when(p.isNotNull() & c.isNotNull(), 0)).cast("int")
 
 
+def scored_pairs(parameters: DataFrame, classes: DataFrame) -> DataFrame:
+    """(`param`, `class`, `score`) of all pairs of a parameter's and a class's name that score by `match_score`.
+
+    A pair scores if one name ends with the other or the parameter's holds the class's, so all parts of parameters' names
+    are looked up among the classes, and parameters among the ends of classes' names; no pair is formed to be dropped.
+    """
+    p = parameters.select("param").where("param <> ''").distinct().withColumn("p", F.lower("param"))
+    c = classes.select("class").where("class <> ''").distinct().withColumn("c", F.lower("class"))
+    starts = F.sequence(F.lit(1), F.length("p"))
+    parts = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.length("p") - i + 1), lambda n: F.substr(F.col("p"), i, n)))))
+    ends = F.transform(F.sequence(F.lit(1), F.length("c")), lambda i: F.substr(F.col("c"), i))
+    inside = p.select("param", F.explode(parts).alias("c")).join(c, "c").select("param", "class")
+    around = c.select("class", F.explode(ends).alias("p")).join(p, "p").select("param", "class")
+    pairs = inside.unionByName(around).distinct()
+    return pairs.withColumn("score", match_score(F.col("param"), F.col("class"))).where("score > 0")
+
+
+def best_class(scored: DataFrame) -> DataFrame:
+    """(`param`, `class`, `score`): the class with the greatest score for each parameter, the first name of several."""
+    best = F.min(F.struct((-F.col("score")).alias("s"), F.col("class")))
+    return scored.groupBy("param").agg(best.alias("b")).select("param", "b.class", (-F.col("b.s")).alias("score"))
+
+
+def suffix_matches(wanted: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(`suffix`, `qualified_name`): definitions (`name`, `qualified_name`) with the simple name, or where nobody has it, the dotted end."""
+    definitions = definitions.select("name", "qualified_name").where("qualified_name is not null").distinct()
+    wanted = wanted.select("suffix").where("suffix is not null").distinct()
+    named = wanted.join(definitions, F.col("suffix") == F.col("name")).select("suffix", "qualified_name")
+    rest = wanted.join(definitions.select(F.col("name").alias("suffix")).distinct(), "suffix", "left_anti")
+    parts = F.split("qualified_name", r"\.")
+    ends = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    below = definitions.where(F.instr("qualified_name", ".") > 0).select("qualified_name", F.explode(ends).alias("suffix"))
+    return named.unionByName(below.join(rest, "suffix").select("suffix", "qualified_name")).distinct()
+
+
 def prefix_keys(parts: Column) -> Column:
     """A 64-bit key of each prefix of an array of parts, the empty one first."""
     return F.aggregate(parts, F.array(F.lit(0).cast("bigint")), lambda keys, p: F.array_append(keys, F.xxhash64(F.element_at(keys, -1), p)))

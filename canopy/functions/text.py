@@ -44,12 +44,21 @@ def within_budget(rows: DataFrame, order: list[str], cost: str, budget: int) ->
 
 
 def requirement(line: Column) -> Column:
-    """(`name`, `spec`) of a requirement line: the name without extras, and what follows them."""
-    text = F.trim(line)
-    named = F.regexp_extract(text, r"^([a-zA-Z0-9_.-]+)(?:\[[^\]]*\])?", 0)
-    return F.struct(F.regexp_extract(text, r"^([a-zA-Z0-9_.-]+)", 1).alias("name"), F.trim(F.substr(text, F.length(named) + 1)).alias("spec"))
+    """(`name`, `extras`, `spec`, `marker`) of a requirement line: project, what is in brackets, version or URL, condition.
+
+    Parts that are missing are empty; a line without a name gives empty parts.
+    """
+    # A name, one bracket group, everything up to a semicolon, the rest.
+    grammar = r"^\s*([\w.-]+)\s*(?:\[([^\]]*)\])?\s*([^;]*?)\s*(?:;\s*(.*?)\s*)?$"
+    part = lambda i: F.regexp_extract(line, grammar, i)
+    return F.struct(part(1).alias("name"), part(2).alias("extras"), part(3).alias("spec"), part(4).alias("marker"))
 
 
-def excerpt(text: Column, offset: int, limit: int) -> Column:
-    """`limit` lines from line `offset` (from 0)."""
-    return F.slice(lines(text), offset + 1, limit)
+def page(text: Column, offset: int, limit: int) -> Column:
+    """(`first`, `last`, `total`, `lines`): `limit` lines from line `offset` (from 0), their numbers from 1, and how many there are.
+
+    Behind the last line there are no lines, and `last` is less than `first`.
+    """
+    all_lines = lines(text)
+    total = F.size(all_lines)
+    return F.struct(F.lit(offset + 1).alias("first"), F.least(total, F.lit(offset + limit)).alias("last"), total.alias("total"), F.slice(all_lines, offset + 1, limit).alias("lines"))

@@ -61,17 +61,15 @@ class Graph:
     def find(self, names: DataFrame) -> DataFrame:
         """Nodes with the qualified `names` (`qualified_name`) and the nearest module, over edges of any type and direction.
 
-        Of several at one distance the module with the smallest id is taken.
+        Of several at one distance the module with the smallest id is taken; a module itself has none.
         """
-        from canopy.operators.traverse import both_ways, nearest_hits
+        from canopy.operators.traverse import both_ways, nearest_sources
 
         qn = F.try_element_at("properties", F.lit("qualified_name")).alias("qualified_name")
         wanted = self.nodes.select("node_id", qn, F.try_element_at("properties", F.lit("name")).alias("name"), F.try_element_at("properties", F.lit("path")).alias("own_path")).join(names.select("qualified_name").distinct(), "qualified_name", "left_semi")
-        modules = self.labelled("Module").select(F.col("node_id").alias("id"), F.lit("module").alias("name"))
-        steps = both_ways(self.with_endpoints().steps()).withColumn("ord", F.lit(0))
-        found = nearest_hits(wanted.select(F.col("node_id").alias("start"), F.lit("module").alias("name")), steps, modules)
-        paths = self.labelled("Module").select(F.col("node_id").alias("id"), F.try_element_at("properties", F.lit("path")).alias("module_path"))
-        near = found.join(paths, "id").select(F.col("start").alias("node_id"), F.col("id").alias("module_id"), "module_path", "hops")
+        modules = self.labelled("Module").select(F.col("node_id").alias("id"), F.try_element_at("properties", F.lit("path")).alias("module_path"))
+        found = nearest_sources(modules, both_ways(self.with_endpoints().steps())).where("hops > 0")
+        near = found.withColumnRenamed("id", "node_id").join(modules, F.col("source") == F.col("id")).select("node_id", F.col("source").alias("module_id"), "module_path", "hops")
         return wanted.join(near, "node_id", "left").select("node_id", "qualified_name", "name", F.coalesce("own_path", "module_path").alias("path"), "module_id", "hops")
 
     def execute(self, text: str, **params: object) -> tuple[Graph, DataFrame | None]:

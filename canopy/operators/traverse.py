@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopy.session import cut, small
+from canopy.session import cut, cut_counted, small
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -94,3 +94,22 @@ def nearest_hits(starts: DataFrame, edges: DataFrame, hits: DataFrame, own: bool
     if found is None:
         return wanted.select("start", "name", F.col("start").alias("id"), F.lit(0).alias("hops")).limit(0)
     return found
+
+
+def nearest_sources(sources: DataFrame, steps: DataFrame) -> DataFrame:
+    """(`id`, `source`, `hops`): for each node that can be reached over (`src`, `dst`) the nearest of the sources (column `id`).
+
+    Of several at one distance the smallest counts; a source is its own with 0 hops. All sources walk at once, and each
+    node hands on only the one it took, so a node with very many neighbours costs its edges and no more.
+    """
+    steps = cut(steps.select("src", "dst").where("src is not null and dst is not null").distinct())
+    front, new = cut_counted(sources.select("id").where("id is not null").distinct().select("id", F.col("id").alias("source"), F.lit(0).alias("hops")))
+    seen, hops, known = front, 0, new
+    while new:
+        hops += 1
+        moved = small(front, new).join(steps, F.col("id") == F.col("src")).groupBy("dst").agg(F.min("source").alias("source"))
+        front, new = cut_counted(moved.select(F.col("dst").alias("id"), "source", F.lit(hops).alias("hops")).join(small(seen.select("id"), known), "id", "left_anti"))
+        seen, known = seen.unionByName(front), known + new
+        if hops % 8 == 0:
+            seen = cut(seen)
+    return seen

@@ -360,7 +360,8 @@ class Planner:
             return F.get(c(e[1]), c(e[2]).cast("int"))
         if kind == "each":
             test = lambda x: self.column(e[4], local | {e[2]: x})
-            return F.exists(c(e[3]), test) if e[1] == "ANY" else F.forall(c(e[3]), test) if e[1] == "ALL" else ~F.exists(c(e[3]), test)
+            items = self.listed(e[3], c)
+            return F.exists(items, test) if e[1] == "ANY" else F.forall(items, test) if e[1] == "ALL" else ~F.exists(items, test)
         if kind == "op":
             return self.operator(e[1], e[2], e[3], c)
         if kind == "call":
@@ -377,11 +378,15 @@ class Planner:
             return F.col(f"`{var}.{name}`")
         return F.try_element_at(F.col(f"`{var}.properties`"), F.lit(name))
 
+    def listed(self, e: tuple, c) -> Column:  # noqa: ANN001
+        """A list; the text of a property is read as a JSON list, which is how lists are stored (null if it is none)."""
+        return F.from_json(c(e), "array<string>") if e[0] == "prop" and (e[1] in self.nodes or e[1] in self.edges) else c(e)
+
     def operator(self, sign: str, a: tuple, b: tuple, c) -> Column:  # noqa: ANN001
         if sign == "IN" and b[0] == "list":
             return c(a).isin(*[x[1] if x[0] == "lit" else c(x) for x in b[1]]) if b[1] else F.lit(False)
         if sign == "IN":
-            return F.array_contains(c(b), c(a))
+            return F.array_contains(self.listed(b, c), c(a))
         x, y = c(a), c(b)
         table = {"OR": lambda: x | y, "AND": lambda: x & y, "=": lambda: x == y, "<>": lambda: x != y, "<": lambda: x < y, ">": lambda: x > y, "<=": lambda: x <= y, ">=": lambda: x >= y, "STARTS": lambda: x.startswith(y), "ENDS": lambda: x.endswith(y), "CONTAINS": lambda: x.contains(y), "+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: x / y, "%": lambda: x % y, "=~": lambda: F.regexp_like(x, F.concat(F.lit("^(?:"), y, F.lit(")$")))}
         return table[sign]()

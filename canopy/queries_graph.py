@@ -76,7 +76,7 @@ cypher("list_projects", "MATCH (p:Project) RETURN p.name AS name ORDER BY p.name
 
 # Expansion.
 cypher("expand_typed", "MATCH (m:Module)-[:DEFINES]->(n) WHERE (n:Function OR n:Method) RETURN id(n) AS node_id, n.qualified_name AS qualified_name, m.path AS path", "select n.node_id, n.qualified_name, m.path from edges e join nodes m on m.node_id = e.from_id join nodes n on n.node_id = e.to_id where e.type = 'DEFINES' and m.label = 'Module' and n.label in ('Function','Method')")
-cypher("class_methods", "MATCH (c:Class)-[:DEFINES_METHOD]->(m:Method) WHERE c.name CONTAINS 'Lease' RETURN c.name AS class, m.name AS method", "select c.name as class, m.name as method from edges e join nodes c on c.node_id = e.from_id join nodes m on m.node_id = e.to_id where e.type = 'DEFINES_METHOD' and c.label = 'Class' and m.label = 'Method' and contains(c.name, 'Lease')")
+cypher("class_methods", "MATCH (c:Class)-[:DEFINES_METHOD]->(m:Method) WHERE c.name CONTAINS 'Session' OR c.name STARTS WITH 'A' RETURN c.name AS class, m.name AS method", "select c.name as class, m.name as method from edges e join nodes c on c.node_id = e.from_id join nodes m on m.node_id = e.to_id where e.type = 'DEFINES_METHOD' and c.label = 'Class' and m.label = 'Method' and (contains(c.name, 'Session') or starts_with(c.name, 'A'))")
 cypher("expand_any", "MATCH (a)-[r]->(b) RETURN id(a) AS from_id, id(b) AS to_id, type(r) AS type, r.line AS line", "select a.node_id as from_id, b.node_id as to_id, e.type, e.line from edges e join nodes a on a.node_id = e.from_id join nodes b on b.node_id = e.to_id")
 cypher("expand_incoming", "MATCH (f:Function)<-[:CALLS]-(c:Method) RETURN id(f) AS callee, id(c) AS caller", "select f.node_id as callee, c.node_id as caller from edges e join nodes f on f.node_id = e.to_id join nodes c on c.node_id = e.from_id where e.type = 'CALLS' and f.label = 'Function' and c.label = 'Method'")
 cypher("expand_undirected", "MATCH (c:Class)-[r:INHERITS]-(o:Class) RETURN id(c) AS a, id(o) AS b, id(r) AS rel_id", "with u as (select rel_id, from_id as s, to_id as t from edges where type = 'INHERITS' union all select rel_id, to_id, from_id from edges where type = 'INHERITS' and from_id <> to_id) select c.node_id as a, o.node_id as b, u.rel_id from u join nodes c on c.node_id = u.s join nodes o on o.node_id = u.t where c.label = 'Class' and o.label = 'Class'")
@@ -170,7 +170,7 @@ def reachable_bounded(spark: SparkSession, d: str) -> DataFrame:
     return traverse.reachable(steps.select(F.col("src").alias("start")), steps, 1, 2)
 
 
-_METHODS = """own as (select c.node_id as class_id, m.node_id as method_id, m.name from edges e join nodes c on c.node_id = e.from_id join nodes m on m.node_id = e.to_id where e.type = 'DEFINES_METHOD' and m.name is not null),
+_METHODS = """own as (select distinct c.node_id as class_id, regexp_extract(m.name, '^[a-z]+') as name from edges e join nodes c on c.node_id = e.from_id join nodes m on m.node_id = e.to_id where e.type = 'DEFINES_METHOD' and m.name is not null),
 parents as (select from_id as src, to_id as dst, row_number() over (partition by from_id order by rel_id) as ord from (select from_id, to_id, min(rel_id) as rel_id from edges where type = 'INHERITS' group by from_id, to_id) i),
 up as (select distinct class_id as start, class_id as id, []::int[] as route from own
   union all select u.start, p.dst, list_append(u.route, p.ord::int) from up u join parents p on p.src = u.id where len(u.route) < 12),
@@ -178,7 +178,9 @@ firsts as (select start, id, min({'n': len(route), 'r': route}) as m from up gro
 
 
 def _methods(g: Graph) -> tuple[DataFrame, DataFrame]:
-    own = g.cypher("MATCH (c)-[:DEFINES_METHOD]->(m) WHERE m.name IS NOT NULL RETURN id(c) AS start, id(m) AS method_id, m.name AS name")
+    """Classes with the verbs of their methods (hardly any two related classes of these tables share a whole name), and parents."""
+    own = g.cypher("MATCH (c)-[:DEFINES_METHOD]->(m) WHERE m.name IS NOT NULL RETURN id(c) AS start, m.name AS name")
+    own = own.select("start", F.regexp_extract("name", "^[a-z]+", 0).alias("name")).distinct()
     inherits = g.edges.where("type = 'INHERITS'").groupBy("from_id", "to_id").agg(F.min("rel_id").alias("rel_id"))
     order = F.row_number().over(Window.partitionBy("from_id").orderBy("rel_id"))
     return cut(own), cut(inherits.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), order.alias("ord")))
@@ -191,11 +193,12 @@ def override_detection(spark: SparkSession, d: str) -> DataFrame:
     return traverse.nearest_hits(own, parents, hits).where("start <> id").select("start", "name", F.col("id").alias("ancestor"), F.col("hops").cast("int").alias("hops"))
 
 
-@add(f"with {_METHODS}, wanted as (select distinct p.src as start, o.name from parents p, (select distinct name from own order by name limit 40) o), up2 as (select distinct src as start, src as id, []::int[] as route from parents union all select u.start, p.dst, list_append(u.route, p.ord::int) from up2 u join parents p on p.src = u.id where len(u.route) < 12), f2 as (select start, id, min({{'n': len(route), 'r': route}}) as m from up2 group by start, id), hits as (select distinct w.start, w.name, o.class_id as id, f.m from wanted w join f2 f on f.start = w.start join own o on o.class_id = f.id and o.name = w.name) select start, name, arg_min(id, m) as owner, min(m).n::int as hops from hits group by start, name")
+@add(f"with {_METHODS}, up2 as (select distinct src as start, src as id, []::int[] as route from parents union all select u.start, p.dst, list_append(u.route, p.ord::int) from up2 u join parents p on p.src = u.id where len(u.route) < 12), f2 as (select start, id, min({{'n': len(route), 'r': route}}) as m from up2 group by start, id), hits as (select distinct f.start, o.name, o.class_id as id, f.m from f2 f join own o on o.class_id = f.id) select start, name, arg_min(id, m) as owner, min(m).n::int as hops from hits group by start, name")
 def inherited_method(spark: SparkSession, d: str) -> DataFrame:
+    """Who answers each method that a class with parents has or inherits."""
     own, parents = _methods(Graph.from_tables(spark, d))
-    some = own.select("name").distinct().orderBy("name").limit(40)
-    starts = parents.select(F.col("src").alias("start")).distinct().join(F.broadcast(some))
+    below = traverse.reachable(parents.select(F.col("src").alias("start")), parents, min_hops=0)
+    starts = below.join(own.withColumnRenamed("start", "id"), "id").select("start", "name").distinct()
     found = traverse.nearest_hits(starts, parents, own.select(F.col("start").alias("id"), "name"), own=True)
     return found.select("start", "name", F.col("id").alias("owner"), F.col("hops").cast("int").alias("hops"))
 
@@ -259,9 +262,10 @@ def unmatched_edges(spark: SparkSession, d: str) -> DataFrame:
     return g.edges.join(g.with_endpoints().edges.select("rel_id"), "rel_id", "left_anti").select("rel_id", "type")
 
 
-@add(f"with {_KEYED} select label, key, count(*) as n from keyed where key is not null group by label, key having count(*) > 1")
+@add("with keyed as (select labels[1] as label, case when labels[1] in ('Project','ExternalPackage') then properties['name'] when labels[1] in ('File','Folder') then properties['path'] else properties['qualified_name'] end as key from graph_node where properties is not null and labels is not null) select label, key, count(*) as n from keyed where key is not null group by label, key having count(*) > 1", graph=False)
 def unique_violations(spark: SparkSession, d: str) -> DataFrame:
-    return mutate.violations(Graph.from_tables(spark, d).nodes)
+    """Keys that several rows of the raw node table have, that is before rows are merged."""
+    return mutate.violations(table(spark, d, "graph_node").where("properties is not null and labels is not null"))
 
 
 @add("with r as (select node_id, labels[1] as label, created_at, properties['name'] as name from graph_node where node_id is not null) select node_id, min({'c': created_at, 'l': label, 'n': coalesce(name, '')}).l as label, min({'c': created_at, 'l': label, 'n': coalesce(name, '')}).n as name from r group by node_id", graph=False)
@@ -354,13 +358,14 @@ def _defs(g: Graph) -> DataFrame:
     return g.cypher("MATCH (n:Function|Method|Class) WHERE n.qualified_name IS NOT NULL RETURN id(n) AS node_id, n.qualified_name AS qualified_name, n.name AS name")
 
 
-@add(f"with {_DEFS}, w as (select distinct split_part(qualified_name, '.', -1) as suffix from defs), hits as (select w.suffix, d.qualified_name from w join defs d on d.name = w.suffix) select suffix, list_sort(list(distinct qualified_name)) as matches from hits group by suffix")
+@add(f"with {_DEFS}, w as (select distinct split_part(qualified_name, '.', -1) as suffix from defs union select distinct array_to_string(string_split(qualified_name, '.')[-2:], '.') from defs), named as (select w.suffix, d.qualified_name from w join defs d on d.name = w.suffix), ended as (select w.suffix, d.qualified_name from w join defs d on ends_with(d.qualified_name, '.' || w.suffix) where not exists (select 1 from defs x where x.name = w.suffix)), hits as (select * from named union select * from ended) select suffix, list_sort(list(distinct qualified_name)) as matches from hits group by suffix")
 def suffix_match(spark: SparkSession, d: str) -> DataFrame:
     """Simple-name index: a suffix is looked up by name; only names nobody has are searched as suffixes."""
     defs = cut(_defs(Graph.from_tables(spark, d)))
-    wanted = defs.select(F.element_at(F.split("qualified_name", r"\."), -1).alias("suffix")).distinct()
-    hits = wanted.join(defs, F.col("suffix") == F.col("name"))
-    return hits.groupBy("suffix").agg(F.sort_array(F.collect_set("qualified_name")).alias("matches"))
+    parts = F.split("qualified_name", r"\.")
+    two = F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), ".")
+    wanted = defs.select(F.explode(F.array(F.element_at(parts, -1), two)).alias("suffix"))
+    return names.suffix_matches(wanted, defs).groupBy("suffix").agg(F.sort_array(F.collect_set("qualified_name")).alias("matches"))
 
 
 @add(f"with {_DEFS}, p as (select min(name) as p from nodes where label = 'Project') select d.node_id, d.qualified_name from defs d, p where d.qualified_name = p.p or starts_with(d.qualified_name, p.p || '.')")
@@ -401,16 +406,30 @@ def best_candidate(spark: SparkSession, d: str) -> DataFrame:
     return names.nearest(wanted, _defs(g).where("name is not null").select("name", "qualified_name").distinct())
 
 
-@add(
-    """with c as (select distinct name as class from nodes where label = 'Class' and name is not null), p as (select distinct name as param from nodes where label = 'Function' and name is not null),
-x as (select param, class, lower(param) as a, lower(class) as b from p join c on substr(lower(c.class), 1, 3) = substr(lower(replace(p.param, '_', '')), 1, 3)),
-s as (select param, class, case when a = b then 100 when ends_with(b, a) or ends_with(a, b) then 90 when contains(a, b) then floor(80 * (length(b) / length(a))) else 0 end::int as score from x) select param, class, score from s"""
-)
-def param_name_score(spark: SparkSession, d: str) -> DataFrame:
+_SCORED = """c as (select distinct name as class, lower(name) as b from nodes where label in ('Class', 'Interface') and name is not null and name <> ''), p as (select distinct name as param, lower(name) as a from nodes where label in ('Function', 'Method') and name is not null and name <> ''
+  union select distinct lower(name), lower(name) from nodes where label = 'Class' and name is not null and name <> ''),
+scored as (select param, class, case when a = b then 100 when ends_with(b, a) or ends_with(a, b) then 90 when contains(a, b) then floor(80 * (length(b) / length(a))) else 0 end::int as score from p, c)"""
+
+
+def _parameters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Names as parameters' names (of functions, and of classes in small letters), and the names of classes."""
     g = Graph.from_tables(spark, d)
-    classes = g.cypher("MATCH (c:Class) WHERE c.name IS NOT NULL RETURN DISTINCT c.name AS class").withColumn("k", F.substring(F.lower("class"), 1, 3))
-    params = g.cypher("MATCH (f:Function) WHERE f.name IS NOT NULL RETURN DISTINCT f.name AS param").withColumn("k", F.substring(F.lower(F.replace("param", F.lit("_"), F.lit(""))), 1, 3))
-    return params.join(classes, "k").select("param", "class", names.match_score(F.col("param"), F.col("class")).alias("score"))
+    classes = g.cypher("MATCH (c:Class|Interface) WHERE c.name IS NOT NULL RETURN DISTINCT c.name AS class")
+    params = g.cypher("MATCH (f:Function|Method) WHERE f.name IS NOT NULL RETURN DISTINCT f.name AS param")
+    own = g.cypher("MATCH (c:Class) WHERE c.name IS NOT NULL RETURN DISTINCT c.name AS param").select(F.lower("param").alias("param"))
+    return params.unionByName(own), classes
+
+
+@add(f"with {_SCORED} select param, class, score from scored where score > 0")
+def param_name_score(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of names that score."""
+    return names.scored_pairs(*_parameters(spark, d))
+
+
+@add(f"with {_SCORED} select param, arg_min(class, {{'s': -score, 'c': class}}) as class, max(score) as score from scored where score > 0 group by param")
+def best_param_class(spark: SparkSession, d: str) -> DataFrame:
+    """The class that each name fits best."""
+    return names.best_class(names.scored_pairs(*_parameters(spark, d)))
 
 
 # Incremental state and caches.
@@ -464,11 +483,14 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return found.select("vec_id", F.round("score", 6).alias("score"))
 
 
-@add("select snippet_id, trim(array_to_string(string_split(source_code, chr(10))[3:7], chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as part from code_snippet where source_code is not null and not contains(source_code, chr(13)) and not contains(source_code, chr(11)) and not contains(source_code, chr(12)) and not contains(source_code, chr(8232)) and not contains(source_code, chr(8233)) and not contains(source_code, chr(133)) and len(string_split(rtrim(source_code, chr(10)), chr(10))) >= 7", graph=False)
+_ENDS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]"
+_BLANKS = "' ' || " + " || ".join(f"chr({c})" for c in (9, 10, 13, 11, 12, 28, 29, 30, 31, 133, 160, 8232, 8233))
+
+
+@add(f"with s as (select snippet_id, regexp_extract_all(source_code, '(?s).*?(?:{_ENDS})|.+$') as l from code_snippet where source_code is not null) select snippet_id, case when len(l) >= 3 then trim(array_to_string(l[3:7], ''), {_BLANKS}) end as part from s", graph=False)
 def line_slice(spark: SparkSession, d: str) -> DataFrame:
-    """Lines 3 to 7 of the snippets that have so many and whose only line ends are line feeds."""
-    rows = table(spark, d, "code_snippet").where("source_code is not null").where(~F.regexp_like("source_code", F.lit("[\r\x0b\x0c\x85\u2028\u2029]")))
-    rows = rows.where(F.size(F.split(F.regexp_replace("source_code", "\n+$", ""), "\n")) >= 7)
+    """Lines 3 to 7 of each snippet, whatever its line ends; null where there is no line 3."""
+    rows = table(spark, d, "code_snippet").where("source_code is not null")
     return rows.select("snippet_id", text.slice_lines(F.col("source_code"), F.lit(3), F.lit(7)).alias("part"))
 
 
@@ -592,16 +614,15 @@ def project_node_ids(spark: SparkSession, d: str) -> DataFrame:
     return g.cypher(text_, prefix=_project(g) + ".")
 
 
-_WANTED = "(select qualified_name from nodes where label in ('Function','Method') and qualified_name is not null order by qualified_name limit 30)"
-
-
 @add(
-    f"with live as (select e.* from edges e join nodes a on a.node_id = e.from_id join nodes b on b.node_id = e.to_id), w as (select node_id, qualified_name from nodes where qualified_name in {_WANTED}), u as (select from_id as s, to_id as t from live union select to_id, from_id from live), r as (select node_id as start, node_id as id, 0 as n from w union select r.start, u.t, r.n + 1 from r join u on u.s = r.id where r.n < 3), m as (select r.start, arg_min(r.id, {{'n': r.n, 'i': r.id}}) as id, min(r.n) as n from r join nodes x on x.node_id = r.id where x.label = 'Module' and r.n > 0 group by r.start) select w.node_id, w.qualified_name, m.id as module_id, m.n::int as hops from w left join m on m.start = w.node_id"
+    "with live as (select e.* from edges e join nodes a on a.node_id = e.from_id join nodes b on b.node_id = e.to_id), u as (select from_id as s, to_id as t from live union select to_id, from_id from live), near(id, source, n) using key (id) as (select node_id, node_id, 0 from nodes where label = 'Module' union select u.t, min(x.source), min(x.n) + 1 from near x join u on u.s = x.id where not exists (select 1 from recurring.near k where k.id = u.t) group by u.t) select w.node_id, w.qualified_name, m.source as module_id, m.n::int as hops from nodes w left join near m on m.id = w.node_id where w.label in ('Function', 'Method') and w.qualified_name is not null"
 )
 def find_with_module(spark: SparkSession, d: str) -> DataFrame:
+    """Every function and method with the nearest module."""
     g = Graph.from_tables(spark, d)
-    wanted = g.cypher("MATCH (n:Function|Method) WHERE n.qualified_name IS NOT NULL RETURN DISTINCT n.qualified_name AS qualified_name ORDER BY qualified_name LIMIT 30")
-    return g.find(wanted).select("node_id", "qualified_name", "module_id", F.col("hops").cast("int").alias("hops"))
+    wanted = g.cypher("MATCH (n:Function|Method) WHERE n.qualified_name IS NOT NULL RETURN DISTINCT n.qualified_name AS qualified_name")
+    own = g.labelled("Function", "Method").select("node_id")
+    return g.find(wanted).join(own, "node_id", "left_semi").select("node_id", "qualified_name", "module_id", F.col("hops").cast("int").alias("hops"))
 
 
 @add("with live as (select e.* from edges e join nodes a on a.node_id = e.from_id join nodes b on b.node_id = e.to_id), h as (select node_id as id from nodes where label = 'Project' and name = (select max(name) from nodes where label = 'Project') union select e.to_id from h join live e on e.from_id = h.id and e.type in ('CONTAINS_PACKAGE','CONTAINS_FOLDER','CONTAINS_FILE','CONTAINS_MODULE')), p as (select node_id as id from nodes where label = 'Project' and name = (select max(name) from nodes where label = 'Project')), first as (select distinct e.to_id as id from h join live e on e.from_id = h.id and e.type in ('DEFINES','DEFINES_METHOD') where h.id not in (select id from p)), g as (select id from first union select e.to_id from g join live e on e.from_id = g.id and e.type in ('DEFINES','DEFINES_METHOD')), gone as (select id from h union select id from g) select count(*) as left_nodes, (select count(*) from edges where from_id not in (select id from gone) and to_id not in (select id from gone)) as left_edges from nodes where node_id not in (select id from gone)")
@@ -614,11 +635,11 @@ def delete_project_statement(spark: SparkSession, d: str) -> DataFrame:
     return left.nodes.agg(F.count("*").alias("left_nodes")).join(F.broadcast(left.edges.agg(F.count("*").alias("left_edges"))))
 
 
-@add("select snippet_id, array_to_string(string_split(rtrim(source_code, chr(10)), chr(10))[11:15], '|') as page from code_snippet where source_code is not null and not regexp_matches(source_code, '[\\r\\x0b\\x0c\\x{85}\\x{2028}\\x{2029}]') and len(string_split(rtrim(source_code, chr(10)), chr(10))) >= 15", graph=False)
+@add(f"with s as (select snippet_id, string_split_regex(source_code, '{_ENDS}') as l, source_code from code_snippet where source_code is not null), t as (select snippet_id, case when source_code = '' then [] when l[-1] = '' then l[:-2] else l end as l from s) select snippet_id, '11..' || least(len(l), 15) || ' of ' || len(l) as head, array_to_string(l[11:15], '|') as page from t", graph=False)
 def paginated_read(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "code_snippet").where("source_code is not null").where(~F.regexp_like("source_code", F.lit("[\r\x0b\x0c\x85  ]")))
-    rows = rows.where(F.size(F.split(F.regexp_replace("source_code", "\n+$", ""), "\n")) >= 15)
-    return rows.select("snippet_id", F.array_join(text.excerpt(F.col("source_code"), 10, 5), "|").alias("page"))
+    """Five lines from the eleventh of each snippet, with the header that says which."""
+    rows = table(spark, d, "code_snippet").where("source_code is not null").select("snippet_id", text.page(F.col("source_code"), 10, 5).alias("p"))
+    return rows.select("snippet_id", F.concat("p.first", F.lit(".."), "p.last", F.lit(" of "), "p.total").alias("head"), F.array_join("p.lines", "|").alias("page"))
 
 
 @add("select distinct name, array_to_string(list_transform(string_split(name, '_'), lambda x: upper(x[1]) || lower(x[2:])), '') as camel, split_part(regexp_replace(qualified_name, ':', '.', 'g'), '.', -1) as last from nodes where label = 'Function' and name is not null and qualified_name is not null")

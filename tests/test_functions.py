@@ -58,8 +58,9 @@ def test_scores_and_names(spark):
     assert score("user", "User") == 100 and score("my_user", "User") == 90 and score("user_service_x", "User") == 22 and score("a", "User") == 0
     assert one(spark, names.camel(F.lit("my_FOO_bar"))) == "MyFooBar"
     assert one(spark, names.last_part(F.lit("a::b"))) == "b" and one(spark, names.separator(F.lit("a:b"))) == ":"
-    assert one(spark, text.requirement(F.lit(" requests[security]>=2.28.0 "))).asDict() == {"name": "requests", "spec": ">=2.28.0"}
-    assert one(spark, text.requirement(F.lit(""))).asDict() == {"name": "", "spec": ""}
+    assert one(spark, text.requirement(F.lit(" requests[security]>=2.28.0 "))).asDict() == {"name": "requests", "extras": "security", "spec": ">=2.28.0", "marker": ""}
+    assert one(spark, text.requirement(F.lit("a.b-c @ https://x/y.zip ; python_version < '3'"))).asDict() == {"name": "a.b-c", "extras": "", "spec": "@ https://x/y.zip", "marker": "python_version < '3'"}
+    assert one(spark, text.requirement(F.lit(""))).asDict() == {"name": "", "extras": "", "spec": "", "marker": ""}
 
 
 def test_cosine(spark):

@@ -160,3 +160,17 @@ def test_find(golden, spark):
     assert [(r.node_id, r.path, r.module_id, r.hops) for r in got] == [(2, "mod.py", 4, 1)]
     text = "MATCH (n) WHERE n.qualified_name = $qn OPTIONAL MATCH (m:Module)-[*]-(n) RETURN n.name AS name, m.path AS path LIMIT 1"
     assert rows(golden.cypher(text, qn="mod.bar")) == [("bar", "mod.py")]
+
+
+def test_list_properties(spark):
+    nodes = spark.createDataFrame([(1, ["Function"], {"name": "a", "decorators": '["@Task", "@flow"]'}, "p"), (2, ["Method"], {"name": "b", "decorators": "[]"}, "p"), (3, ["Function"], {"name": "c", "decorators": "no list"}, "p"), (4, ["Function"], {"name": "d"}, "p")], schema.NODES)
+    g = Graph(nodes, spark.createDataFrame([], schema.EDGES))
+    assert [r.name for r in g.cypher("MATCH (n:Function|Method) WHERE ANY(d IN n.decorators WHERE toLower(d) IN ['@flow', '@task']) RETURN n.name AS name").collect()] == ["a"]
+    assert [r.name for r in g.cypher("MATCH (n:Function) WHERE '@Task' IN n.decorators RETURN n.name AS name").collect()] == ["a"]
+    assert g.cypher("MATCH (n:Function) WHERE 'Task' IN n.decorators RETURN n.name AS name").count() == 0
+
+
+def test_nearest_sources(spark):
+    steps = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 2), (9, 3), (3, 9), (5, 5), (None, 1)], "src bigint, dst bigint")
+    found = traverse.nearest_sources(spark.createDataFrame([(1,), (9,), (None,), (9,)], "id bigint"), steps)
+    assert {tuple(r) for r in found.select("id", "source", "hops").collect()} == {(1, 1, 0), (9, 9, 0), (2, 1, 1), (3, 9, 1)}

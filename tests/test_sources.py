@@ -77,6 +77,8 @@ def test_scan(spark, tmp_path):
         ("Cargo.toml", '[dependencies]\nserde={version="1.0"}\nx="2"\n[dev-dependencies]\ny={path="."}\n', [("serde", "1.0"), ("x", "2"), ("y", "")]),
         ("go.mod", "module m\nrequire a/b v1\nrequire (\n  c/d v2 // indirect\n  // e/f v3\n)\n", [("a/b", "v1"), ("c/d", "v2")]),
         ("Gemfile", "source 'x'\ngem 'rails', '~> 7'\ngem \"puma\"\n", [("rails", "~> 7"), ("puma", "")]),
+        ("Gemfile", "# gem 'x'\ngem('rack', \"1\", require: false)\n  gem 'pg', group: :db\ngems 'no'\n", [("rack", "1"), ("pg", "")]),
+        ("go.mod", "module m\nrequire(\n a/b v1 // indirect\n)\nreplace (\n c/d => e/f v2\n)\nexclude g/h v3\nrequire i/j v4\n", [("a/b", "v1"), ("i/j", "v4")]),
         ("composer.json", '{"require":{"php":"8","a/b":"1"},"require-dev":{"c":"2"}}', [("a/b", "1"), ("c", "2")]),
         ("x.csproj", '<Project><ItemGroup><PackageReference Include="N" Version="1"/><PackageReference Include="M"/></ItemGroup></Project>', [("N", "1"), ("M", "")]),
         ("package.json", "{broken", []),
