@@ -247,7 +247,7 @@ def beliefs(df: DataFrame) -> DataFrame:
     mean = F.array(*(F.coalesce(F.try_divide(F.sum(weight * F.col("seen")[i]), F.sum(weight)), F.max(F.col("seen")[i])) for i in n))
     whole = F.max_by("seen", F.when(F.col("part").isNull() & (F.col("weight") > 0), F.col("weight")))
     files = rows.groupBy("project", "file_path").agg(F.coalesce(whole, mean).alias("seen"), F.first("dirs").alias("dirs"), F.first("named").alias("named"))
-    files = cut(_contracted(files))
+    files = cut(_contracted(cut(files)))
     vectors = files.select("project", "file_path", F.col("dirs")[0].alias("dir"), *(F.col("seen")[i].alias(f"s{i}") for i in n))
     lift = _message(_columns("s"), TO_FILE)
     vectors = vectors.select("project", "file_path", "dir", *_columns("s"), *(m.alias(f"m{i}") for i, m in enumerate(lift)))
