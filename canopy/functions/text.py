@@ -62,3 +62,22 @@ def page(text: Column, offset: int, limit: int) -> Column:
     all_lines = lines(text)
     total = F.size(all_lines)
     return F.struct(F.lit(offset + 1).alias("first"), F.least(total, F.lit(offset + limit)).alias("last"), total.alias("total"), F.slice(all_lines, offset + 1, limit).alias("lines"))
+
+
+def json_row(rows: DataFrame) -> Column:
+    """A row as JSON text with a blank behind each comma and colon; nulls are written out."""
+    items = []
+    for c in rows.columns:
+        value = F.substring(F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"}), 6, 1 << 30)
+        items.append(F.concat(F.lit(f'"{c}": '), F.regexp_replace(value, r"\}$", "")))
+    return F.concat(F.lit("{"), F.concat_ws(", ", *items), F.lit("}"))
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    """All columns as text for a table: null is empty, a truth value a tick or a cross."""
+    return rows.select(*(F.coalesce(F.when(F.col(c), "\u2713").when(~F.col(c), "\u2717") if kind == "boolean" else F.col(c).cast("string"), F.lit("")).alias(c) for c, kind in rows.dtypes))
+
+
+def method_of_chain(call: Column) -> Column:
+    """The method at the end of a chain like `a.b().c`; empty if there is none."""
+    return F.regexp_extract(call, r"\.([^.()]+)$", 1)

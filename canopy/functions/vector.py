@@ -20,3 +20,13 @@ def top_k(vectors: DataFrame, key: str, vector: str, wanted: list[float], k: int
     query = F.array(*(F.lit(float(x)) for x in wanted))
     scored = vectors.where(F.size(vector) == len(wanted)).select(key, cosine(F.col(vector), query).alias("score"))
     return scored.where("score is not null and not isnan(score)").orderBy(F.desc("score"), F.asc(key)).limit(k)
+
+
+def mean_pool(vectors: DataFrame, keys: list[str], vector: str, used: str) -> DataFrame:
+    """(keys, `pooled`): mean of the vectors (arrays of equal length) of each group whose row is `used`; groups without any are left out.
+
+    Coordinates are summed apart, so a group of any size is added up in part before it is shuffled.
+    """
+    each = vectors.where(F.col(used) & F.col(vector).isNotNull()).select(*keys, F.posexplode(vector).alias("at", "x"))
+    means = each.groupBy(*keys, "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return means.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("pooled"))

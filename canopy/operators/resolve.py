@@ -6,10 +6,10 @@ facts of all files are there before anything is resolved, so no result depends o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopy.functions.names import last_part, nearest
+from canopy.functions.names import last_part, module_distance, nearest
 from canopy.operators.traverse import nearest_hits
 from canopy.session import cut
 
@@ -169,3 +169,41 @@ def definition_edges(f: Facts) -> DataFrame:
     """(`src`, `dst`, `type`) of modules and functions to what they define, and of classes to their methods."""
     rows = f.definitions.where("parent is not null")
     return rows.select(F.col("parent").alias("src"), F.col("qualified_name").alias("dst"), F.when(F.col("label") == "Method", "DEFINES_METHOD").otherwise("DEFINES").alias("type"))
+
+
+# Functions of JavaScript itself, and methods that every function has.
+SCRIPT_BUILTINS = (
+    "Object.create Object.keys Object.values Object.entries Object.assign Object.freeze Object.seal Object.defineProperty Object.getPrototypeOf Object.setPrototypeOf Array.from Array.of Array.isArray parseInt parseFloat isNaN isFinite encodeURIComponent decodeURIComponent "
+    "setTimeout clearTimeout setInterval clearInterval console.log console.error console.warn console.info console.debug JSON.parse JSON.stringify Math.random Math.floor Math.ceil Math.round Math.abs Math.max Math.min Date.now Date.parse"
+).split()
+FUNCTION_METHODS = ["bind", "call", "apply"]
+
+
+def builtin_target(call: Column) -> Column:
+    """The `builtin.` name that a JavaScript call without a definition means: a function of the language, or a function's own method."""
+    last = F.element_at(F.split(call, r"\."), -1)
+    own = call.contains(".") & last.isin(FUNCTION_METHODS)
+    return F.when(call.isin(SCRIPT_BUILTINS), F.concat(F.lit("builtin."), call)).when(own, F.concat(F.lit("builtin.Function.prototype."), last))
+
+
+def ranked_modules(candidates: DataFrame) -> DataFrame:
+    """(`class`, `module`, `candidate`, `place`) for (`class`, `module`, `candidate`, `path`, `ord`): in which order modules are tried.
+
+    First those whose dotted `path` is the class's name, then those with which it ends, then others; within these the
+    nearest to the `module` that asks, then in their own order.
+    """
+    wanted, path = F.col("class"), F.col("path")
+    penalty = F.when(path == wanted, 0).when((path != "") & wanted.endswith(path), 1).otherwise(2)
+    order = Window.partitionBy("class", "module").orderBy(penalty, module_distance(F.col("candidate"), F.col("module")), "ord")
+    return candidates.withColumn("place", F.row_number().over(order)).select("class", "module", "candidate", "place")
+
+
+def operator_targets(calls: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(`module`, `name`, `target`) of C++ operator calls (`module`, `name` like `operator_plus`): the shortest, then first definition.
+
+    Definitions of the module go before others.
+    """
+    defs = definitions.select("name", "qualified_name").where("name like 'operator%'").distinct()
+    hits = calls.select("module", "name").distinct().join(defs, "name")
+    away = ~F.col("qualified_name").startswith(F.col("module"))
+    return hits.groupBy("module", "name").agg(F.min(F.struct(away.alias("away"), F.length("qualified_name").alias("n"), "qualified_name")).alias("b")).select("module", "name", F.col("b.qualified_name").alias("target"))

@@ -674,3 +674,19 @@ def execute(graph, text: str, params: dict | None = None):  # noqa: ANN001, ANN2
             raise Unsupported("DELETE of nodes that have relationships")
         graph = mutate.detach(graph, ids)
     return graph, None
+
+
+def statement_in(answer: str) -> str:
+    """The statement in a model's answer: the first fenced block, or the text without bold headings and backquotes.
+
+    A leading word `cypher` goes, and the statement ends with a semicolon.
+    """
+    fenced = answer.split("```")
+    if len(fenced) > 2:
+        text = fenced[1]
+    elif len(fenced) == 2:
+        text = answer
+    else:
+        text = re.sub(r"\*\*.*?\*\*:?\s*", "", answer, flags=re.S).replace("`", "")
+    text = re.sub(r"^cypher\b\s*", "", text.strip(), flags=re.I) if len(fenced) != 2 else text.strip()
+    return text if text.endswith(";") else text + ";"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from canopy.functions import names, paths, text, vector
+from canopy.functions import modules, names, paths, text, vector
 from canopy.graph import Graph
 from canopy.operators import incremental, mutate, resolve, traverse, vectors
 from canopy.session import cut, table
@@ -646,3 +646,85 @@ def paginated_read(spark: SparkSession, d: str) -> DataFrame:
 def name_scalars(spark: SparkSession, d: str) -> DataFrame:
     rows = Graph.from_tables(spark, d).cypher("MATCH (f:Function) WHERE f.name IS NOT NULL AND f.qualified_name IS NOT NULL RETURN f.name AS name, f.qualified_name AS qn")
     return rows.select("name", names.camel(F.col("name")).alias("camel"), names.last_part(F.col("qn")).alias("last")).distinct()
+
+
+# Spelling, ranking and presentation.
+_LANGUAGES = ["javascript", "rust", "cpp", "go", "java", "lua", "python"]
+_SPELT = f"""spelt as (select distinct qualified_name as dotted, lang, replace(qualified_name, '.', case lang when 'go' then '/' when 'rust' then '::' when 'cpp' then '::' else '.' end) as full_name
+  from (select case when i = 1 then 'std.' || qualified_name else qualified_name end as qualified_name from nodes, (select unnest([0, 1]) as i) where qualified_name is not null), (select unnest({_LANGUAGES}) as lang))"""
+
+
+@add(
+    f"with {_SPELT}, x as (select full_name, lang, case lang when 'go' then '/' when 'rust' then '::' when 'cpp' then '::' else '.' end as mark from spelt), y as (select *, split_part(full_name, mark, -1) as last from x), z as (select *, regexp_matches(last, '^[A-Z]') as capital from y) select full_name, lang, case when contains(full_name, mark) and (case lang when 'javascript' then true when 'rust' then capital or (upper(last) = last and regexp_matches(last, '[A-Za-z]')) or (lower(last) = last and regexp_matches(last, '[a-z]') and not contains(last, '_')) when 'cpp' then starts_with(full_name, 'std::') and (capital or regexp_matches(last, '^(is_|has_)') or last in {tuple(modules.CPP_ENTITIES)}) when 'java' then capital or regexp_matches(last, '(Exception|Error|Interface|Builder)$') when 'lua' then capital or last in {tuple(modules.LUA_MODULES)} else capital end) then left(full_name, length(full_name) - length(last) - length(mark)) else full_name end as module from z"
+)
+def import_modules(spark: SparkSession, d: str) -> DataFrame:
+    """The module that each name, spelt as in each language, belongs to."""
+    g = Graph.from_tables(spark, d)
+    rows = g.cypher("MATCH (n) WHERE n.qualified_name IS NOT NULL RETURN DISTINCT n.qualified_name AS dotted")
+    rows = rows.select(F.explode(F.array("dotted", F.concat(F.lit("std."), "dotted"))).alias("dotted")).select("dotted", F.explode(F.array(*map(F.lit, _LANGUAGES))).alias("lang"))
+    mark = F.when(F.col("lang") == "go", "/").when(F.col("lang").isin("rust", "cpp"), "::").otherwise(".")
+    rows = rows.select("lang", F.replace("dotted", F.lit("."), mark).alias("full_name")).distinct()
+    return rows.select("full_name", "lang", modules.entity_module(F.col("full_name"), F.col("lang")).alias("module"))
+
+
+_RANKED = """m as (select qualified_name as candidate, array_to_string(string_split(qualified_name, '.')[2:], '.') as path, name from nodes where label = 'Module' and qualified_name is not null),
+k as (select distinct qualified_name as class, split_part(qualified_name, '.', -2) as n, regexp_replace(qualified_name, '\\.[^.]*$', '') as module from nodes where label = 'Class' and contains(qualified_name, '.')),
+c as (select distinct k.class, k.module, m.candidate, m.path from k join m on split_part(m.candidate, '.', -1) = k.n)"""
+
+
+@add(
+    f"with {_RANKED}, p as (select *, string_split(candidate, '.') as a, string_split(module, '.') as b from c), q as (select *, coalesce((select min(i) from range(1, least(len(a), len(b)) + 1) r(i) where a[i] <> b[i]), least(len(a), len(b)) + 1) - 1 as common from p), s as (select *, case when path = class then 0 when path <> '' and ends_with(class, path) then 1 else 2 end as penalty, greatest(greatest(len(a), len(b)) - common - case when len(b) > 1 and starts_with(candidate, regexp_replace(module, '\\.[^.]*$', '') || '.') then 1 else 0 end, 0) as distance from q) select class, module, candidate, row_number() over (partition by class, module order by penalty, distance, candidate)::int as place from s"
+)
+def module_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """The modules named like a class's own, in the order in which they are tried for it."""
+    g = Graph.from_tables(spark, d)
+    found = g.cypher("MATCH (m:Module) WHERE m.qualified_name IS NOT NULL RETURN DISTINCT m.qualified_name AS candidate")
+    parts = F.split("candidate", r"\.")
+    found = found.select("candidate", F.element_at(parts, -1).alias("n"), F.array_join(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), ".").alias("path"), F.col("candidate").alias("ord"))
+    classes = g.cypher("MATCH (c:Class) WHERE c.qualified_name CONTAINS '.' RETURN DISTINCT c.qualified_name AS class")
+    classes = classes.select("class", F.get(F.split("class", r"\."), F.size(F.split("class", r"\.")) - 2).alias("n"), names.owner(F.col("class")).alias("module"))
+    return resolve.ranked_modules(classes.join(found, "n")).select("class", "module", "candidate", F.col("place").cast("int").alias("place"))
+
+
+@add(f"with called as (select distinct name as call from nodes where label in ('Function', 'Method') and name is not null union select distinct name || '.' || m from nodes, (select unnest(['bind', 'call', 'apply', 'keys']) as m) where label = 'Class' and name is not null union select unnest({resolve.SCRIPT_BUILTINS})) select call, case when call in {tuple(resolve.SCRIPT_BUILTINS)} then 'builtin.' || call when contains(call, '.') and split_part(call, '.', -1) in ('bind', 'call', 'apply') then 'builtin.Function.prototype.' || split_part(call, '.', -1) end as target from called")
+def builtin_calls(spark: SparkSession, d: str) -> DataFrame:
+    """What calls without a definition mean in JavaScript."""
+    g = Graph.from_tables(spark, d)
+    plain = g.cypher("MATCH (n:Function|Method) WHERE n.name IS NOT NULL RETURN DISTINCT n.name AS name").withColumnRenamed("name", "call")
+    own = g.cypher("MATCH (n:Class) WHERE n.name IS NOT NULL RETURN DISTINCT n.name AS name").select(F.explode(F.transform(F.array(*map(F.lit, [*resolve.FUNCTION_METHODS, "keys"])), lambda m: F.concat_ws(".", F.col("name"), m))).alias("call"))
+    given = spark.createDataFrame([(x,) for x in resolve.SCRIPT_BUILTINS], "call string")
+    return plain.unionByName(own).unionByName(given).distinct().withColumn("target", resolve.builtin_target(F.col("call")))
+
+
+@add("select node_id, '{\"node_id\": ' || node_id || ', \"label\": ' || to_json(label)::varchar || ', \"path\": ' || coalesce(to_json(path)::varchar, 'null') || '}' as row from nodes where label is not null")
+def json_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Result rows as the text whose tokens are counted."""
+    rows = Graph.from_tables(spark, d).cypher("MATCH (n) RETURN id(n) AS node_id, labels(n)[0] AS label, n.path AS path").where("label is not null")
+    return rows.select("node_id", text.json_row(rows).alias("row"))
+
+
+@add("select coalesce(snippet_id::varchar, '') as snippet_id, coalesce(project, '') as project, case found when true then '✓' when false then '✗' else '' end as found, coalesce(line_start::varchar, '') as line_start from code_snippet", graph=False)
+def shown_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Result rows as they stand in a table for people."""
+    return text.shown(table(spark, d, "code_snippet").select("snippet_id", "project", "found", "line_start"))
+
+
+@add("select n.node_id, regexp_extract(n.qualified_name || '().' || n.name, '\\.([^.()]+)$', 1) as method, regexp_extract(n.qualified_name || '()', '\\.([^.()]+)$', 1) as none from nodes n where n.qualified_name is not null and n.name is not null")
+def chained_methods(spark: SparkSession, d: str) -> DataFrame:
+    rows = Graph.from_tables(spark, d).cypher("MATCH (n) WHERE n.qualified_name IS NOT NULL AND n.name IS NOT NULL RETURN id(n) AS node_id, n.qualified_name AS q, n.name AS name")
+    return rows.select("node_id", text.method_of_chain(F.concat("q", F.lit("()."), "name")).alias("method"), text.method_of_chain(F.concat("q", F.lit("()"))).alias("none"))
+
+
+@add("with v as (select project, unnest(embedding) as x, unnest(range(len(embedding))) as pos from embedding_cache where embedding is not null and len(embedding) = 768 and qualified_name is not null and project is not null), m as (select project, pos, avg(x::double) as x from v group by project, pos) select project, list(round(x, 6) order by pos) as pooled from m where project in (select project from m group by project having not bool_or(isnan(x))) group by project", graph=False)
+def pooled_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Mean of the named vectors of each project, as a model pools the tokens that are not padding."""
+    rows = table(spark, d, "embedding_cache").where("size(embedding) = 768 and project is not null")
+    pooled = vector.mean_pool(rows.withColumn("used", F.col("qualified_name").isNotNull()), ["project"], "embedding", "used")
+    return pooled.where(~F.exists("pooled", F.isnan)).select("project", F.transform("pooled", lambda x: F.round(x, 6)).alias("pooled"))
+
+
+@add("with e as (select distinct qualified_name from nodes where label in ('Function','Method') and qualified_name is not null), m as (select qualified_name from e where qualified_name not in (select qualified_name from embedding_cache where embedding is not null and qualified_name is not null)) select (select count(*) from e) as n_expected, (select count(*) from m) as n_missing, (select list(qualified_name order by qualified_name) from (select qualified_name from m order by qualified_name limit 10)) as sample")
+def embedding_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    """How many functions have no vector, and the first ten of them."""
+    expected = Graph.from_tables(spark, d).cypher("MATCH (n:Function|Method) WHERE n.qualified_name IS NOT NULL RETURN DISTINCT n.qualified_name AS qualified_name")
+    return incremental.reconcile(expected, table(spark, d, "embedding_cache").where("embedding is not null and qualified_name is not null"), "qualified_name")

@@ -1,8 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from canopy.functions import names, paths, text, vector
-from canopy.operators import incremental
+from canopy.functions import modules, names, paths, text, vector
+from canopy.operators import incremental, resolve
+from canopy.plans.cypher import statement_in
 
 
 def one(spark, column):
@@ -75,3 +76,25 @@ def test_changes(spark):
     assert {tuple(r) for r in incremental.changes(old, new, ["path"]).collect()} == {("a", "unchanged"), ("b", "changed"), ("c", "new"), ("d", "deleted")}
     assert {r.status for r in incremental.changes(old, new, ["path"], force=True).collect()} == {"new"}
     assert one(spark, incremental.content_hash(F.lit("x"))) == "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881"
+
+
+def test_imported_entities(spark):
+    of = lambda full, language, known=None: one(spark, modules.entity_module(F.lit(full), F.lit(language), None if known is None else F.lit(known)))
+    assert of("os.path.join", "python") == "os.path.join" and of("os.path.join", "python", True) == "os.path" and of("a.Thing", "python") == "a"
+    assert of("react.useState", "javascript") == "react" and of("react", "javascript") == "react"
+    assert of("std::fmt::Display", "rust") == "std::fmt" and of("std::io::read_to", "rust") == "std::io::read_to" and of("a::b", "rust") == "a"
+    assert of("std::vector", "cpp") == "std" and of("std::is_same", "cpp") == "std" and of("my::Thing", "cpp") == "my::Thing"
+    assert of("net/http/Client", "go") == "net/http" and of("net/http", "go") == "net/http"
+    assert of("java.io.readError", "java") == "java.io" and of("string.table", "lua") == "string" and of(None, "lua") is None
+
+
+def test_statement_in_answers():
+    assert statement_in("```cypher\nMATCH (n) RETURN n\n```") == "MATCH (n) RETURN n;"
+    assert statement_in("**Cypher Query:** `MATCH (n) RETURN n;`") == "MATCH (n) RETURN n;"
+    assert statement_in("cypher MATCH (n) RETURN n") == "MATCH (n) RETURN n;"
+
+
+def test_operator_targets(spark):
+    calls = spark.createDataFrame([("m.a", "operator_plus"), ("x", "operator_plus"), ("x", "operator_none"), ("x", "plus")], "module string, name string")
+    defs = spark.createDataFrame([("operator_plus", "m.a.LongName.operator_plus"), ("operator_plus", "z.C.operator_plus"), ("operator_plus", "b.C.operator_plus"), ("plus", "x.plus"), (None, None)], "name string, qualified_name string")
+    assert {tuple(r) for r in resolve.operator_targets(calls, defs).collect()} == {("m.a", "operator_plus", "m.a.LongName.operator_plus"), ("x", "operator_plus", "b.C.operator_plus")}

@@ -1,6 +1,8 @@
 import pytest
 
-from canopy.operators import resolve
+from pyspark.sql import functions as F
+
+from canopy.operators import incremental, resolve
 from canopy.sources import extract, manifests, repository
 
 FILES = {
@@ -92,3 +94,29 @@ def test_manifests(name, text, want):
 def test_dependencies(spark):
     files = spark.createDataFrame([("p", "requirements.txt", "Python>=3\nattrs\n"), ("p", "a.py", "x"), ("p", None, None)], "project string, path string, content string")
     assert [(r.name, r.spec) for r in manifests.dependencies(files).collect()] == [("attrs", "")]
+
+
+def test_dependency_graph(spark):
+    files = spark.createDataFrame([("p", "requirements.txt", "attrs>=1\nflask\n"), ("p", "sub/requirements.txt", "attrs>=2\n"), ("p", "pyproject.toml", '[project.optional-dependencies]\ndev=["pytest>=7"]\n'), ("p", "x.py", "attrs"), (None, None, None)], "project string, path string, content string")
+    nodes, edges = manifests.dependency_graph(files)
+    assert {(r.label, r.key, r.value) for r in nodes.collect()} == {("ExternalPackage", n, n) for n in ("attrs", "flask", "pytest")}
+    assert {(r.from_key, r.to_key, r.properties["version_spec"], r.properties.get("group"), r.seq) for r in edges.collect()} == {("p", "attrs", ">=1", None, 1), ("p", "attrs", ">=2", None, 2), ("p", "flask", "", None, 1), ("p", "pytest", "pytest>=7", "dev", 1)}
+
+
+def test_update_equals_rebuild(spark, tmp_path):
+    schema = "project string, path string, content string"
+    names = lambda df: df.select("project", "path", F.explode(F.split("content", " ")).alias("name"))
+    old = spark.createDataFrame([("p", "a.py", "x y"), ("p", "b.py", "z"), ("p", "c.py", "w")], schema)
+    new = spark.createDataFrame([("p", "a.py", "x y"), ("p", "b.py", "z2 q"), ("p", "d.py", "v")], schema)
+    none = names(old.limit(0)), incremental.load_state(spark, str(tmp_path / "none"))
+    facts, state, status = incremental.update(*none, old, names)
+    assert {r.status for r in status.collect()} == {"new"} and facts.count() == 4
+    incremental.save_state(state, str(tmp_path / "state"))
+    seen = []
+    facts, state, status = incremental.update(facts, incremental.load_state(spark, str(tmp_path / "state")), new, lambda df: seen.append(df) or names(df))
+    assert {(r.path, r.status) for r in status.collect()} == {("a.py", "unchanged"), ("b.py", "changed"), ("c.py", "deleted"), ("d.py", "new")}
+    assert {r.path for r in seen[0].collect()} == {"b.py", "d.py"}  # only these are parsed
+    assert {tuple(r) for r in facts.collect()} == {tuple(r) for r in names(new).collect()} and state.count() == 3
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "x.parquet").write_text("no table")
+    assert incremental.load_state(spark, str(tmp_path / "broken")).count() == 0
