@@ -105,7 +105,7 @@ def resolve_calls(f: Facts, up: DataFrame) -> DataFrame:
     """(`caller`, `name`, `line`, `target`, `tier`): the definition of each call; `target` is null if none is found.
 
     Tiers: 0 super, 1 import, 2 method of a variable's type, 3 attribute of an import or of the module, 4 the class's own or
-    an inherited method, 5 wildcard import, 6 same module, 7 the nearest definition of that name. A super call is answered
+    an inherited method, 5 wildcard import, 6 same module, 7 a function of JavaScript itself, 8 the nearest definition of that name. A super call is answered
     by tier 0 or not at all.
     """
     calls = f.calls.withColumns({"parts": F.split("name", r"\."), "last": last_part(F.col("name"))})
@@ -139,6 +139,9 @@ def resolve_calls(f: Facts, up: DataFrame) -> DataFrame:
     wild = imports.where("local like '*%'")
     out.append(tier(plain.where("n = 1").join(wild, "module"), F.concat_ws(".", "base", "name"), 5, F.col("at")))
     out.append(tier(plain.where("n = 1"), F.concat_ws(".", "module", "name"), 6))
+    scripts = f.definitions.where("label = 'Module'").where(F.col("path").rlike(r"(?i)\.(jsx?|tsx?|[mc][jt]s)$")).select(F.col("qualified_name").alias("module")).distinct()
+    builtin = plain.withColumn("target", builtin_target(F.col("name"))).where("target is not null").join(scripts, "module", "left_semi")
+    out.append(builtin.select(*keys, F.lit(7).alias("tier"), F.lit(0).alias("ord"), "target"))
     rows = out[0]
     for more in out[1:]:
         rows = rows.unionByName(more)
@@ -148,7 +151,7 @@ def resolve_calls(f: Facts, up: DataFrame) -> DataFrame:
     rest = named(plain).join(best, keys, "left_anti")
     names = known.where("label <> 'Class'").select(F.col("simple").alias("name"), F.col("target").alias("qualified_name"))
     near = nearest(rest.select(F.col("module").alias("caller"), F.col("last").alias("name")), names).select(F.col("caller").alias("module"), F.col("name").alias("last"), F.col("candidate").alias("target"))
-    far = rest.join(near, ["module", "last"]).select(*keys, F.lit(7).alias("tier"), "target")
+    far = rest.join(near, ["module", "last"]).select(*keys, F.lit(8).alias("tier"), "target")
     all_ = named(calls.select(*keys))
     return all_.join(best.unionByName(far), keys, "left").select("caller", "name", "line", "target", "tier").distinct()
 

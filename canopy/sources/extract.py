@@ -1,14 +1,15 @@
 """Facts from source files: definitions, imports, base classes, variable types and calls.
 
 Every file is parsed for itself in one pass over Arrow batches and gives rows of one table; what needs other files is
-left to joins in `operators.resolve`. Python goes through the standard library's parser. For other languages declarations
-are found by patterns and braces, with functions, classes, methods and imports, but without variable types and calls.
+left to joins in `operators.resolve`. Python goes through the standard library's parser. For other languages declarations,
+imports, calls and the types that variables are bound or declared with are found by patterns and braces.
 """
 
 from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -256,6 +257,7 @@ def _braced(out: _Facts, text: str, language: str) -> None:
             found.append([m.start(), _end(blank, m.end() - 1, language), "Function", m[1], None])
     found.sort(key=lambda x: (x[0], -x[1]))
     stack: list[tuple[int, str, str]] = []
+    defined: list[tuple[int, int, str, str, int]] = []
     for start, end, label, name, owner in found:
         while stack and stack[-1][0] <= start:
             stack.pop()
@@ -269,6 +271,10 @@ def _braced(out: _Facts, text: str, language: str) -> None:
         qn = ".".join([scope, *[p for p in parts if p]])
         if label == "Function" and (kind in ("Class", "Interface", "Enum") or (language == "cpp" and len(parts) > 1)):
             label = "Method"
+        opener = blank.find("(", blank.find(parts[-1], start))
+        defined.append((start, end, qn, label, opener if label in ("Function", "Method") else -1))
+        if owner and (m := re.match(rf"\s*func\s*\(\s*({_NAME})\s", blank[start:])):
+            out.put("variable", parent=qn, name=m[1], target=owner, start_line=text.count("\n", 0, start) + 1)
         line = text.count("\n", 0, start + len(text[start:]) - len(text[start:].lstrip())) + 1
         out.put("definition", name=parts[-1], qualified_name=qn, label=label, parent=scope, parent_label=kind, start_line=line, end_line=text.count("\n", 0, end) + 1, decorators=[], is_exported=bool(re.match(r"\s*export\b", blank[start : start + 40])))
         if label in ("Class", "Interface"):
@@ -278,6 +284,72 @@ def _braced(out: _Facts, text: str, language: str) -> None:
                 if b:
                     out.put("inherits", qualified_name=qn, name=re.sub(r"^(?:public|private|protected|virtual)\s+", "", b), ord=k)
         stack.append((end, qn, label))
+    _uses(out, blank, language, defined)
+
+
+_CALL = re.compile(rf"(?<![\w$.:>])((?:{_NAME}\s*(?:\?\.|\.|::|->|:))*{_NAME})\s*(?:<[\w$<>, .\[\]]*>\s*)?\(")
+_NO_CALL = _KEYWORDS | {"func", "fn", "def", "elseif", "and", "or", "not", "in", "of", "typeof", "await", "yield", "throw", "super", "defer", "go", "select", "range", "require", "sizeof", "assert", "this", "self"}
+#: Groups: variable, type. What a variable is bound or declared with, by language.
+_TYPED = {
+    "javascript": [rf"(?:const|let|var)\s+({_NAME})\s*=\s*new\s+((?:{_NAME}\.)*{_NAME})", rf"(this\.{_NAME})\s*=\s*new\s+((?:{_NAME}\.)*{_NAME})"],
+    "java": [rf"\b({_NAME})\s+({_NAME})\s*=\s*new\s+{_NAME}", rf"\b([A-Z][\w.]*)(?:<[^;(){{}}=]*>)?\s+({_NAME})\s*(?=[=;,)])"],
+    "go": [rf"\b({_NAME})\s*:=\s*&?((?:{_NAME}\.)?[A-Z]\w*)\{{", rf"\bvar\s+({_NAME})\s+\*?((?:{_NAME}\.)?[A-Z]\w*)", rf"[(,]\s*({_NAME})\s+\*?((?:{_NAME}\.)?[A-Z]\w*)\s*(?=[,)])"],
+    "lua": [rf"(?:local\s+)?({_NAME})\s*=\s*((?:{_NAME}\.)*{_NAME})[.:]new\s*\("],
+}
+_TYPED["typescript"] = [*_TYPED["javascript"], rf"(?:const|let|var)\s+({_NAME})\s*:\s*((?:{_NAME}\.)*[A-Z]\w*)", rf"[(,]\s*(?:(?:public|private|protected|readonly)\s+)*({_NAME})\??\s*:\s*((?:{_NAME}\.)*[A-Z]\w*)", rf"^\s*(?:(?:public|private|protected|readonly|static)\s+)*({_NAME})[?!]?\s*:\s*((?:{_NAME}\.)*[A-Z]\w*)\s*[;=]"]
+_TYPED["c_sharp"] = _TYPED["scala"] = _TYPED["java"]
+
+
+def _uses(out: _Facts, text: str, language: str, spans: list[tuple[int, int, str, str, int]]) -> None:
+    """Calls and the types of variables in a text without strings and comments.
+
+    `spans` are the definitions in order of their start: start, end, name, label, and where the name's list of parameters
+    begins. A call belongs to every function around it and to the module; a variable to the innermost function, or to the
+    class if it is a field.
+    """
+    heads = {s[4] for s in spans}
+    starts, up, open_ = [s[0] for s in spans], [], []
+    for i, s in enumerate(spans):
+        while open_ and spans[open_[-1]][1] <= s[0]:
+            open_.pop()
+        up.append(open_[-1] if open_ else -1)
+        open_.append(i)
+    breaks = [m.start() for m in re.finditer("\n", text)]
+
+    def around(at: int) -> list[tuple[int, int, str, str, int]]:
+        """The definitions around a place, outermost first."""
+        i, holders = bisect_right(starts, at) - 1, []
+        while i >= 0:
+            if at < spans[i][1]:
+                holders.append(spans[i])
+            i = up[i]
+        return holders[::-1]
+
+    for m in _CALL.finditer(text):
+        name = re.sub(r"\s+", "", m[1])
+        parts = re.split(r"\?\.|\.|::|->|:", name)
+        if parts[0] in _NO_CALL and not (len(parts) > 1 and parts[0] in ("this", "self", "super")) or m.end() - 1 in heads:
+            continue
+        if parts[0] == "super":
+            parts[0] = "super()"
+        holders = around(m.start())
+        classes = [s[2] for s in holders if s[3] in ("Class", "Interface", "Enum")]
+        line = bisect_left(breaks, m.start(1)) + 1
+        for caller in [out.module, *(s[2] for s in holders if s[3] in ("Function", "Method"))]:
+            out.put("call", parent=caller, name=".".join(parts), target=classes[-1] if classes else None, start_line=line)
+    for pattern in _TYPED.get(language, []):
+        for m in re.finditer(pattern, text, re.M):
+            a, b = (m[2], m[1]) if pattern in _TYPED["java"] else (m[1], m[2])
+            if b in _KEYWORDS or a in _KEYWORDS or b in ("return", "new", "else", "package", "import"):
+                continue
+            holders = around(m.start(1))
+            inner = holders[-1] if holders else None
+            field = inner is not None and inner[3] in ("Class", "Interface", "Enum")
+            classes = [s[2] for s in holders if s[3] in ("Class", "Interface", "Enum")]
+            scope = classes[-1] if a.startswith("this.") and classes else inner[2] if inner else out.module
+            line = bisect_left(breaks, m.start(1)) + 1
+            for name in (a, f"this.{a}") if field and not a.startswith("this.") else (a,):
+                out.put("variable", parent=scope, name=name, target=b, start_line=line)
 
 
 def _end(text: str, at: int, language: str) -> int:

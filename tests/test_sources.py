@@ -45,7 +45,7 @@ def test_calls(facts):
     assert got[("p.app.main.start", "Main")] == ("p.app.main.Main", 6)
     assert got[("p.app.main.start", "m.run")] == ("p.app.base.Base.run", 2)
     assert got[("p.app.main.start", "t.helper")] == ("p.app.tools.helper", 3)
-    assert got[("p.app.main.start", "far")] == ("p.lib.far.far", 7)
+    assert got[("p.app.main.start", "far")] == ("p.lib.far.far", 8)
     assert got[("p.app.main.start", "missing")] == (None, None)
     assert got[("p.app.base.Base.run", "self.step")] == ("p.app.base.Base.step", 4)
     assert {tuple(r) for r in resolve.overrides(facts, up).collect()} == {("p.app.main.Main.step", "p.app.base.Base.step")}
@@ -120,3 +120,36 @@ def test_update_equals_rebuild(spark, tmp_path):
     (tmp_path / "broken").mkdir()
     (tmp_path / "broken" / "x.parquet").write_text("no table")
     assert incremental.load_state(spark, str(tmp_path / "broken")).count() == 0
+
+
+#: Small repositories in other languages: each call as caller, name and target.
+CALLS = {
+    "javascript": (
+        {
+            "src/store.js": "export class Store {\n  constructor() { this.log = new Log(); }\n  get(k) { return this.find(k); }\n  find(k) { this.log.write(k); return JSON.parse(k); }\n}\nexport class Log {\n  write(x) { console.log(x); }\n}\nexport class Deep extends Store {\n  get(k) { return super.get(k); }\n}\n",
+            "src/app.js": "import { Store } from './store';\nfunction run() {\n  const s = new Store();\n  s.get('a(');\n  helper(); // skipped()\n}\nfunction helper() { run.call(null); }\n",
+        },
+        {("src.store.Store.get", "this.find", "src.store.Store.find"), ("src.store.Store.find", "this.log.write", "src.store.Log.write"), ("src.store.Store.find", "JSON.parse", "builtin.JSON.parse"), ("src.store.Log.write", "console.log", "builtin.console.log"), ("src.store.Deep.get", "super().get", "src.store.Store.get"), ("src.app.run", "Store", "src.store.Store"), ("src.app.run", "s.get", "src.store.Store.get"), ("src.app.run", "helper", "src.app.helper"), ("src.app.helper", "run.call", "builtin.Function.prototype.call")},
+    ),
+    "java": (
+        {"a/Base.java": "package a;\npublic class Base {\n  int size() { return 1; }\n}\n", "a/Main.java": "package a;\nimport a.Base;\nclass Main extends Base {\n  private Base other;\n  int all(Base b) {\n    Base c = new Base();\n    return this.size() + b.size() + c.size() + this.other.size() + twice(2);\n  }\n  int twice(int x) { return x * 2; }\n}\n"},
+        {("a.Main.Main.all", "this.size", "a.Base.Base.size"), ("a.Main.Main.all", "b.size", "a.Base.Base.size"), ("a.Main.Main.all", "c.size", "a.Base.Base.size"), ("a.Main.Main.all", "this.other.size", "a.Base.Base.size"), ("a.Main.Main.all", "twice", "a.Main.Main.twice")},
+    ),
+    "go": (
+        {"m/a.go": "package m\n\ntype Tree struct{}\n\nfunc (t *Tree) Walk() { t.step() }\n\nfunc (t *Tree) step() {}\n\nfunc Run() {\n\tx := &Tree{}\n\tx.Walk()\n\thelp()\n}\n\nfunc help() {}\n"},
+        {("m.a.Tree.Walk", "t.step", "m.a.Tree.step"), ("m.a.Run", "x.Walk", "m.a.Tree.Walk"), ("m.a.Run", "help", "m.a.help")},
+    ),
+    "lua": (
+        {"w/queue.lua": "local Queue = {}\nfunction Queue.new() return {} end\nfunction Queue:push(x) end\nreturn Queue\n", "w/main.lua": "local Queue = require('w.queue')\nlocal function run()\n  local q = Queue.new()\n  q:push(1)\nend\nrun()\n"},
+        {("w.main.run", "q.push", "w.queue.Queue.push"), ("w.main.run", "Queue.new", "w.queue.Queue.new"), ("w.main", "run", "w.main.run")},
+    ),
+}
+
+
+@pytest.mark.parametrize("language", list(CALLS))
+def test_calls_of_other_languages(spark, language):
+    files, want = CALLS[language]
+    f = resolve.Facts(extract.facts(spark.createDataFrame([("p", p, t) for p, t in files.items()], "project string, path string, content string")))
+    found = {(r.caller.removeprefix("p."), r.name, (r.target or "").removeprefix("p.")) for r in resolve.resolve_calls(f, resolve.parents(f)).collect()}
+    assert want <= found, sorted(want - found) + sorted(found)
+    assert not any("skipped" in n for _, n, _ in found)
