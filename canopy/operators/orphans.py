@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.operators.hierarchy import edge_type, hierarchy_edges
-from canopy.session import cut, small
+from canopy.session import cut, cut_counted, small
 
 
 def lifetimes(records: DataFrame) -> DataFrame:
@@ -39,10 +39,29 @@ def direct_orphans(references: DataFrame, records: DataFrame) -> DataFrame:
     """The `references` (`key` and `at`, with any other columns) that no row of `records` (`id`, `created_at`, `deleted_at`) answers.
 
     Adds `reason`: `missing` if no record has the id, `late` if all of them were created after `at`, else `deleted`.
-    Rows with a null `at` are answered by no record; they are `deleted` if the id exists.
+    Rows with a null `at` are answered by no record; they are `deleted` if the id exists. Ids with very many references
+    don't meet theirs in one task.
     """
-    lives = lifetimes(records).withColumn("known", F.lit(True))
-    joined = references.where("key is not null").join(lives, references["key"] == lives["id"], "left")
+    references = references.where("key is not null")
+    hot = hot_keys(references)
+    if hot is None:
+        return _unanswered(references, lifetimes(records))
+    # Few ids, so their lives are broadcast and their references stay where they are.
+    ids = F.broadcast(hot)
+    apart = lambda how: references.join(ids, "key", how).select(*references.columns)
+    lives = lifetimes(records.join(ids.withColumnRenamed("key", "id"), "id", "left_semi"))
+    return _unanswered(apart("left_anti"), lifetimes(records)).unionByName(_unanswered(apart("left_semi"), F.broadcast(lives)))
+
+
+def hot_keys(references: DataFrame, share: int = 1000, least: int = 10_000) -> DataFrame | None:
+    """(`key`) of those that more than one in `share` rows and more than `least` have, fewer than `share` in all; None if there are none."""
+    bar = max(least, references.count() // share)
+    hot, n = cut_counted(references.groupBy("key").count().where(f"count > {bar}").select("key"))
+    return hot if n else None
+
+
+def _unanswered(references: DataFrame, lives: DataFrame) -> DataFrame:
+    joined = references.join(lives.withColumn("known", F.lit(True)), references["key"] == lives["id"], "left")
     alive = F.exists("spans", lambda s: (s["start"] <= F.col("at")) & (F.col("at") < s["stop"]))
     reason = F.when(F.col("known").isNull(), "missing").when(F.col("first") > F.col("at"), "late").otherwise("deleted")
     return joined.where(F.col("known").isNull() | ~F.coalesce(alive, F.lit(False))).withColumn("reason", reason).select(*references.columns, "reason")

@@ -16,6 +16,15 @@ def test_reasons(spark):
     assert got == {2: "late", 4: "deleted", 5: "deleted", 7: "late", 8: "deleted", 9: "missing", 11: "deleted", 13: "deleted"}
 
 
+def test_hot_ids(spark, monkeypatch):
+    records = spark.createDataFrame([(1, DAY(2), DAY(5)), (2, DAY(2), None)], RECORD)
+    refs = spark.createDataFrame([(i, 1 + (i % 4 == 0), DAY(1 + i % 8)) for i in range(40)] + [(99, 3, DAY(1))], "rel_id bigint, key bigint, at timestamp")
+    want = {tuple(r) for r in O.direct_orphans(refs, records).collect()}
+    assert O.hot_keys(refs) is None and [r.key for r in O.hot_keys(refs, 2, 5).collect()] == [1]
+    monkeypatch.setattr(O, "hot_keys", lambda r: r.where("key = 1").select("key").distinct())
+    assert {tuple(r) for r in O.direct_orphans(refs, records).collect()} == want
+
+
 def test_empty(spark):
     refs = spark.createDataFrame([(1, 1, DAY(1))], "rel_id bigint, key bigint, at timestamp")
     none = spark.createDataFrame([], RECORD)
