@@ -27,9 +27,12 @@ from pyspark.sql import functions as F
 from canopy.llm.arrow import Hashes, map_rows, words
 from canopy.session import cut, cut_counted, small
 
-#: Units that share 0.8 of their shingles differ in 10 of 64 bits on average and hardly ever in more than 16. Two nodes meet
-#: in a table if they agree in all of its PART bits; at 10 differing bits TABLES tables find 97 % of the pairs, at 5 all but one in 40,000.
-HAMMING, SIMILARITY, SHINGLE, TABLES, PART = 16, 0.8, 5, 28, 11
+#: Units that share 0.8 of their shingles differ in 10 of 64 bits on average, and one pair in twenty in more than 14. Two
+#: nodes meet in a table if they agree in all of its PART bits; at 10 differing bits TABLES tables find 97 % of the pairs, at
+#: 5 all but one in 40,000.
+HAMMING, SIMILARITY, SHINGLE, TABLES, PART = 14, 0.8, 5, 28, 11
+#: With fewer words a unit has fewer than 4 shingles, so it shares less than SIMILARITY of them with any other unit.
+LEAST_WORDS = 8
 
 # Words of the customary filler text.
 LOREM = set("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split())
@@ -96,8 +99,8 @@ _LEAD = re.compile(r"^(?:\W|_)+")
 _OPENERS = re.compile(r"^(?:warning|note|notice|error|hinweis|achtung|attention|nota|aviso|info)\s*[:!-]\s*", re.I)
 
 
-def units(text: str) -> tuple[int, int, list[tuple[int, str]]]:
-    """Residue and own content that is no unit, and the units: weight as residue, or -1 for own content, and text."""
+def units(text: str) -> tuple[int, int, list[tuple[int, str, list[str] | None]]]:
+    """Residue and own content that is no unit, and the units: weight as residue, or -1 for own content, text, and its words if known."""
     text = _UNSEEN.sub("", unicodedata.normalize("NFKC", text))
     if text.lstrip().startswith("{") and len(text) < 600 and _COMPILED[1].match(text.lstrip()):
         return 1, 0, []
@@ -106,7 +109,7 @@ def units(text: str) -> tuple[int, int, list[tuple[int, str]]]:
         text = _FENCE.sub("\n", text)
     if "<" in text:
         text = _TAG.sub("\n", _NOSCRIPT.sub("\n<noscript>", _COMMENT.sub(r"(\1)", text)))
-    out: list[tuple[int, str]] = []
+    out: list[tuple[int, str, list[str] | None]] = []
     titled = False
     for unit in _SENTENCE.split(text):
         unit = unit.strip()
@@ -116,37 +119,38 @@ def units(text: str) -> tuple[int, int, list[tuple[int, str]]]:
         bare = _SPAN.sub(" ", body) if not body.startswith("<noscript") else body
         marks = PLACEHOLDER.findall(bare) if _HINT.search(bare) else ()
         found = words(bare)
-        n = len(found) if bare is body or bare == body else len(words(body))
+        whole = found if bare == body else words(body)
+        n = len(whole)
         low = _OPENERS.sub("", _LEAD.sub("", bare) if not bare.startswith(("{", "<noscript")) else bare)
         if marks and len(words(PLACEHOLDER.sub(" ", bare))) <= max(4, 7 * len(marks)) and not (len(marks) == 1 and bare is not body and "`" in body):
-            out.append((1, body))
+            out.append((1, body, whole))
         elif any(p.match(low) for p in _COMPILED):
-            out.append((1, body))
+            out.append((1, body, whole))
         elif n >= 3 and sum(w in LOREM for w in found) >= 0.7 * len(found) > 0:
-            out.append((1 + n // 30, body))
+            out.append((1 + n // 30, body, whole))
         elif 0 < n <= 9 and _PROMPT.match(unit):
-            out.append((1, body))
+            out.append((1, body, whole))
         elif unit.startswith("#") or NEUTRAL.match(body) or n <= 2 or (n <= 6 and body.endswith(":")):
             # Neutral, unless what it looks like elsewhere is residue: a masked word or two may be all of it.
             if _HINT.search(body) and _MASKED.search(body):
-                out.append((0, body))
+                out.append((0, body, whole))
         elif not titled and not out and not fenced and n <= 9 and not re.search(r"[.!?。！？:]\s*$", body):
             titled = True
         else:
-            out.append((-1, body))
+            out.append((-1, body, whole))
     return 0, 2 * fenced, out
 
 
 def judge(text: str) -> tuple[int, int]:
     """Residue and own content in `text` by the seeds alone."""
     residue, own, found = units(text)
-    return residue + sum(w for w, _ in found if w > 0), own + sum(w < 0 for w, _ in found)
+    return residue + sum(w for w, *_ in found if w > 0), own + sum(w < 0 for w, *_ in found)
 
 
-def plain_words(unit: str) -> list[str]:
-    """Words of a unit, with placeholders masked by one letter and words with digits by `0`."""
-    found = words(_MASKED.sub(" \u01c2 ", unit) if _HINT.search(unit) else unit)
-    return ["0" if _NUMBERED.search(w) else w for w in found] or [unit]
+def plain_words(unit: str, known: list[str] | None = None) -> list[str]:
+    """Words of a unit (`known`, if they are), with placeholders masked by one letter and words with digits by `0`."""
+    found = words(_MASKED.sub(" \u01c2 ", unit)) if known is None or _HINT.search(unit) else known
+    return [w if w.isalpha() else "0" if _NUMBERED.search(w) else w for w in found] or [unit]
 
 
 def is_seed(residue: int, own: int) -> bool:
@@ -186,22 +190,31 @@ def simhashes(texts: list[list[str]], memo: Hashes) -> np.ndarray:
 
 
 def fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(`id`, `residue`, `own`, `node`, `weight`, `sim`) of each text that is not blank: counts, and its units as arrays."""
+    """(`id`, `residue`, `own`, `node`, `weight`, `sim`) of each text that is not blank: counts, and its units as arrays.
+
+    Units of fewer than LEAST_WORDS words have no SimHash.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         memo = run.__dict__.setdefault("memo", Hashes())
-        residue, own, sizes, weight, node, forms = [], [], [0], [], [], []
+        residue, own, sizes, weight, node, forms, long = [], [], [0], [], [], [], []
         for t in batch.column(1).to_pylist():
             r, o, found = units(t)
             residue.append(r)
             own.append(o)
-            for w, u in found:
-                form = plain_words(u)
+            for w, u, known in found:
+                form = plain_words(u, known)
                 weight.append(w)
                 node.append(xxhash.xxh64_intdigest(" ".join(form)) - (1 << 63))
-                forms.append(form)
+                long.append(len(form) >= LEAST_WORDS)
+                if long[-1]:
+                    forms.append(form)
             sizes.append(len(node))
-        lists = [pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(x, k)) for x, k in ((node, pa.int64()), (weight, pa.int32()), (simhashes(forms, memo), pa.int64()))]
+        sims = np.zeros(len(node), np.int64)
+        sims[np.array(long, bool)] = simhashes(forms, memo)
+        sims = pa.array(sims, pa.int64(), mask=~np.array(long, bool))
+        lists = [pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(x, k)) for x, k in ((node, pa.int64()), (weight, pa.int32()))]
+        lists.append(pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), sims))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(residue, pa.int32()), pa.array(own, pa.int32()), *lists], ["id", "residue", "own", "node", "weight", "sim"])
 
     texts = df.select(key, text).where(f"`{key}` is not null and length(trim(`{text}`)) > 0")
@@ -247,7 +260,7 @@ def forms_of(df: DataFrame, key: str, text: str, nodes: DataFrame, n: int) -> Da
     """(`node`, `form`) of the nodes (`node`, `id` of a text that has it; counted: `n`): only those texts are read again."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = {" ".join(plain_words(u)) for t in batch.column(1).to_pylist() for _, u in units(t)[2]}
+        out = {" ".join(plain_words(u)) for t in batch.column(1).to_pylist() for _, u, _ in units(t)[2]}
         return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(x) - (1 << 63) for x in out], pa.int64()), pa.array(list(out), pa.string())], ["node", "form"])
 
     where = small(nodes.select(F.col("id").alias(key)).distinct(), n)
@@ -276,8 +289,8 @@ def labels(df: DataFrame, prints: DataFrame, key: str, text: str) -> DataFrame:
     each = prints.select("id", F.explode(F.arrays_zip("node", "weight", "sim")).alias("u")).select("id", "u.node", "u.weight", "u.sim")
     nodes = each.groupBy("node").agg(F.first("sim").alias("sim"), F.min("id").alias("id"), F.max(F.col("weight") > 0).alias("trusted"), F.min("weight").alias("least"))
     nodes = cut(nodes)
-    frontier, n = cut_counted(nodes.where("trusted").select("node", "sim"))
-    others, links = nodes.where("not trusted").select("node", "sim"), None
+    frontier, n = cut_counted(nodes.where("trusted and sim is not null").select("node", "sim"))
+    others, links = nodes.where("not trusted and sim is not null").select("node", "sim"), None
     while n:
         close, m = cut_counted(near_links(frontier, others, n))
         if not m:
