@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +15,30 @@ from canopy.sources.languages import BY_EXTENSION, PACKAGE_FILES
 
 
 def scan(spark: SparkSession, root: str, project: str, exclude: tuple[str, ...] = (), unignore: tuple[str, ...] = ()) -> DataFrame:
-    """(`project`, `path`, `content`, `size`) of the files below a root that aren't skipped."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    clean = F.regexp_replace("path", r"^[a-z]+:/+", "/")
-    rows = rows.withColumn("path", F.substr(clean, F.lit(len(root.rstrip("/")) + 2)))
-    return rows.where(~paths.should_skip(F.col("path"), True, exclude, unignore)).select(F.lit(project).alias("project"), "path", F.col("content"), F.col("length").alias("size"))
+    """(`project`, `path`, `content`, `size`) of the files below a root that aren't skipped.
+
+    Spark's own file sources pass over empty files and names that begin with `_` or `.`, so the tree is listed here, and
+    each task opens its files. The root is a folder or a URI that every executor can read.
+    """
+    files, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+    base = base.rstrip("/")
+    listed = [(f.path[len(base) + 1 :], f.size or 0) for f in files.get_file_info(fs.FileSelector(base, recursive=True)) if f.type == fs.FileType.File]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = fs.FileSystem.from_uri(root)[0] if "://" in root else fs.LocalFileSystem()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                content = []
+                for path in part.column(0).to_pylist():
+                    with store.open_input_stream(f"{base}/{path}") as f:
+                        content.append(f.read())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(content, pa.binary()), part.column(1)], ["path", "content", "size"])
+
+    rows = spark.createDataFrame(listed, "path string, size bigint").where(~paths.should_skip(F.col("path"), True, exclude, unignore))
+    # Neighbours in the listing are as large as they are; dealt out at random, tasks read about the same.
+    found = rows.repartition(max(1, min(len(listed) // 64, 10_000)), F.xxhash64("path")).mapInArrow(read, "path string, content binary, size bigint")
+    return found.select(F.lit(project).alias("project"), "path", "content", "size")
 
 
 def language(path: Column) -> Column:
@@ -79,6 +102,13 @@ def load_graph(spark: SparkSession, path: str) -> Graph:
     return Graph(nodes, edges)
 
 
+def load_tables(spark: SparkSession, path: str) -> Graph:
+    """The graph that `save_tables` wrote in two tables."""
+    nodes = spark.read.parquet(f"{path}/nodes").select("node_id", "labels", "properties", "project")
+    edges = spark.read.parquet(f"{path}/relationships").select(F.xxhash64("from_id", "to_id", "type").alias("rel_id"), "from_id", "to_id", "type", "properties")
+    return Graph(nodes, edges)
+
+
 def save_graph(graph: Graph, path: str) -> None:
     """Writes nodes and relationships as JSON lines below `path`, and the counts beside them."""
     graph.nodes.select("node_id", "labels", "properties").write.mode("overwrite").json(f"{path}/nodes")
