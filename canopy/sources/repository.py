@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from canopy.functions import paths
 from canopy.graph import Graph
+from canopy.session import cut
 from canopy.sources.languages import BY_EXTENSION, PACKAGE_FILES
 
 
@@ -128,6 +129,27 @@ def export_document(graph: Graph) -> DataFrame:
     return both.select(F.to_json(F.struct("nodes", "relationships", metadata.alias("metadata"))).alias("document"))
 
 
+def document_lines(graph: Graph) -> DataFrame:
+    """(`section`, `key`, `line`): the export as the lines of one JSON document, in order, for graphs of any size.
+
+    Each node (by `node_id`, section 1) and each relationship (by `rel_id`, section 3) is a line of its own, with the comma
+    before it; the lines between hold brackets, the last one the counts. No row holds more than one node or relationship.
+    """
+
+    def listed(section: int, rows: DataFrame, key: str, *fields: str) -> tuple[DataFrame, int]:
+        seen = Observation()
+        lines = rows.select(F.lit(section).alias("section"), F.col(key).alias("key"), F.to_json(F.struct(*fields)).alias("line"))
+        lines = cut(lines.observe(seen, F.count(F.lit(1)).alias("n"), F.min("key").alias("first")))
+        line = F.when(F.col("key") == F.lit(seen.get["first"]), F.col("line")).otherwise(F.concat(F.lit(","), F.col("line")))
+        return lines.withColumn("line", line), seen.get["n"]
+
+    nodes, n = listed(1, graph.nodes, "node_id", "node_id", "labels", "properties")
+    edges, m = listed(3, graph.edges, "rel_id", "from_id", "to_id", "type", "properties")
+    rest = [(0, None, '{"nodes":['), (2, None, '],"relationships":['), (4, None, f'],"metadata":{{"total_nodes":{n},"total_relationships":{m}}}}}')]
+    brackets = graph.nodes.sparkSession.createDataFrame(rest, "section int, key bigint, line string")
+    return brackets.unionByName(nodes).unionByName(edges).orderBy("section", "key")
+
+
 def save_tables(graph: Graph, path: str, split: bool = True) -> None:
     """The file sink: the first row of each node and one edge for each pair of ends and type, as Parquet.
 

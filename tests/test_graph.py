@@ -1,9 +1,11 @@
+import json
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from canopy import schema
+from canopy import queries_graph, schema
 from canopy.graph import Graph
 from canopy.operators import mutate, traverse
 from canopy.plans.cypher import Unsupported, read_only
@@ -61,6 +63,19 @@ def test_summary_and_lookups(golden, spark):
     assert sorted(rows(golden.relationships(one).select("rel_id", "direction"))) == [(1, "incoming"), (4, "outgoing")]
 
 
+def test_json_document_of_lines(golden, spark, monkeypatch):
+    """The document doesn't pass through one row, and is the same."""
+    whole = json.loads(repository.export_document(golden).first()[0])
+    lines = [r.line for r in repository.document_lines(golden).collect()]
+    assert json.loads("\n".join(lines)) == whole and sum("node_id" in x for x in lines) == len(whole["nodes"])
+    assert max(x.count("from_id") + x.count("node_id") for x in lines) == 1
+    none = [r.line for r in repository.document_lines(Graph(golden.nodes.limit(0), golden.edges.limit(0))).collect()]
+    assert json.loads("".join(none)) == {"nodes": [], "relationships": [], "metadata": {"total_nodes": 0, "total_relationships": 0}}
+    monkeypatch.delattr(repository, "export_document")
+    monkeypatch.setattr(Graph, "from_tables", lambda spark, d: golden)
+    assert rows(queries_graph.json_export_counts(spark, "")) == [(4, 4, 4)]
+
+
 def test_json_round_trip(golden, spark, tmp_path):
     path = tmp_path / "graph.json"
     path.write_text(repository.export_document(golden).first()[0])
