@@ -117,10 +117,13 @@ def nearest(wanted: DataFrame, definitions: DataFrame) -> DataFrame:
     all of them. Names travel as their place in the sorted order.
     """
     parts = F.split("qualified_name", r"\.")
-    # Ids of a sorted table are in its order, whatever the number of partitions.
+    wanted = wanted.select("caller", "name").where("name is not null and caller is not null").distinct()
     defined = definitions.select("name", "qualified_name").where("name is not null and qualified_name is not null").distinct()
+    # Names that nobody defines, the most by far, have no answer; names that nobody wants give none.
+    asked = cut(wanted.join(defined.select("name").distinct(), "name", "left_semi").withColumn("ask", F.monotonically_increasing_id()))
+    # Ids of a sorted table are in its order, whatever the number of partitions.
+    defined = defined.join(asked.select("name").distinct(), "name", "left_semi")
     defined = cut(defined.orderBy("qualified_name").withColumn("rank", F.monotonically_increasing_id()))
-    asked = cut(wanted.select("caller", "name").where("name is not null and caller is not null").distinct().withColumn("ask", F.monotonically_increasing_id()))
     below = defined.select("name", "rank", F.size(parts).alias("n"), F.explode(prefix_keys(parts)).alias("key"))
     below = below.groupBy("name", "key", "n").agg(F.min("rank").alias("rank"))
     caller = F.split("caller", r"\.")

@@ -24,7 +24,7 @@ class Facts:
         self.imports = local_imports(of("import").groupBy("module", "name").agg(F.max_by("target", "ord").alias("target"), F.min("ord").alias("ord")), of("definition").where("label = 'Module'").select("module"))
         self.inherits = of("inherits").select("module", F.col("qualified_name").alias("class"), "name", "ord").distinct()
         self.variables = of("variable").groupBy("module", F.col("parent").alias("scope"), "name").agg(F.max_by("target", "start_line").alias("target"))
-        self.calls = of("call").select("module", F.col("parent").alias("caller"), "name", F.col("target").alias("class"), F.col("start_line").alias("line")).distinct()
+        self.calls = of("call").select("module", F.col("parent").alias("caller"), "name", F.col("target").alias("class"), F.col("start_line").alias("line"))
 
 
 def local_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
@@ -72,13 +72,12 @@ def class_names(f: Facts, wanted: DataFrame) -> DataFrame:
     parts = F.split("module", r"\.")
     outer = wanted.withColumn("n", F.explode(F.sequence(F.size(parts), F.lit(1), F.lit(-1))))
     tiers.append(outer.select("module", "name", F.concat_ws(".", F.array_join(F.slice(F.split("module", r"\."), 1, F.col("n")), "."), "name").alias("target"), F.when(F.col("n") == F.size(F.split("module", r"\.")), 1).otherwise(2).alias("tier"), (-F.col("n")).alias("ord")))
-    there = [t.join(known.select("target"), "target", "left_semi").select("module", "name", "target", "tier", "ord") for t in tiers]
+    found = tiers[0].unionByName(tiers[1]).join(known.select("target", F.lit(True).alias("there")), "target", "left")
     # Imports of what no file defines stay as they are, as the name of an external class.
-    outside = tiers[0].join(known.select("target"), "target", "left_anti").select("module", "name", "target", F.lit(3).alias("tier"), "ord")
+    found = found.where("there or tier = 0").withColumn("tier", F.when(F.col("there"), F.col("tier")).otherwise(3)).drop("there")
     classes = known.where("label in ('Class', 'Interface', 'Enum', 'Union', 'Type')").groupBy("simple").agg(F.min("target").alias("target"))
     any_ = wanted.withColumn("simple", last_part(F.col("name"))).join(classes, "simple").select("module", "name", "target", F.lit(4).alias("tier"), F.lit(0).alias("ord"))
-    rows = there[0].unionByName(there[1]).unionByName(outside).unionByName(any_)
-    return _best(rows, ["module", "name"]).select("module", "name", "target")
+    return _best(found.unionByName(any_), ["module", "name"]).select("module", "name", "target")
 
 
 def parents(f: Facts) -> DataFrame:
@@ -108,52 +107,59 @@ def resolve_calls(f: Facts, up: DataFrame) -> DataFrame:
     an inherited method, 5 wildcard import, 6 same module, 7 a function of JavaScript itself, 8 the nearest definition of that name. A super call is answered
     by tier 0 or not at all.
     """
-    calls = f.calls.withColumns({"parts": F.split("name", r"\."), "last": last_part(F.col("name"))})
-    calls = cut(calls.withColumns({"head": F.array_join(F.slice("parts", 1, F.size("parts") - 1), "."), "n": F.size("parts"), "is_super": F.col("name").startswith("super()")}))
-    keys = ["module", "caller", "name", "class", "line"]
-    known = cut(f.definitions.where("label <> 'Module'").select(F.col("qualified_name").alias("target"), F.col("name").alias("simple"), "label"))
-    exists = lambda rows: rows.join(known.select("target"), "target", "left_semi").select(*keys, "tier", "ord", "target")
+    parts, last = F.split("name", r"\."), last_part(F.col("name"))
+    n, head = F.size(parts), F.array_join(F.slice(parts, 1, F.size(parts) - 1), ".")
+    is_super, class_ = F.col("name").startswith("super()"), F.coalesce("class", F.lit("")).alias("class")
+    known = f.definitions.where("label <> 'Module'").select(F.col("qualified_name").alias("target"), F.col("name").alias("simple"), "label")
 
-    def tier(rows: DataFrame, target: Column, number: int, order: Column | int = 0) -> DataFrame:
-        return exists(rows.select(*keys, target.alias("target"), F.lit(number).alias("tier"), (order if isinstance(order, Column) else F.lit(order)).cast("int").alias("ord")))
+    # Most tiers depend on the module and the name alone. All candidates of a name meet the definitions in one join.
+    def option(when: Column, target: Column, tier: int, order: int | Column = 0) -> Column:
+        value = F.struct(target.alias("target"), F.lit(tier).alias("tier"), (order if isinstance(order, Column) else F.lit(order)).cast("int").alias("ord"))
+        return F.when(when, value)
 
-    plain = calls.where("not is_super")
     imports = f.imports.select("module", F.col("name").alias("local"), F.col("target").alias("base"), F.col("ord").alias("at"))
-    direct = plain.where("n = 1").join(imports.withColumn("name", F.col("local")), ["module", "name"])
-    out = [tier(direct, F.col("base"), 1)]
+    wild = imports.where("local like '*%'").groupBy("module").agg(F.collect_list(F.struct("base", "at")).alias("wild"))
+    scripts = f.definitions.where("label = 'Module'").where(F.col("path").rlike(r"(?i)\.(jsx?|tsx?|[mc][jt]s)$")).select(F.col("qualified_name").alias("module"), F.lit(True).alias("script"))
+    asks = f.calls.where(~is_super).select("module", "name").distinct().withColumn("local", F.when(n == 1, F.col("name")).when(n == 2, head))
+    asks = asks.join(imports.where("local not like '*%'").drop("at"), ["module", "local"], "left").join(wild, "module", "left").join(scripts, "module", "left")
+    own, is_import = F.concat_ws(".", "module", "name"), F.col("base").isNotNull()
+    options = F.array(
+        option((n == 1) & is_import, F.col("base"), 1),
+        option((n == 2) & is_import, F.concat_ws(".", F.col("base"), last), 3, 0),
+        option(n == 2, own, 3, 1),
+        option(n == 1, own, 6),
+        option(F.col("script") & builtin_target(F.col("name")).isNotNull(), builtin_target(F.col("name")), 7),
+    )
+    of_wild = F.when(n == 1, F.transform("wild", lambda w: option(F.lit(True), F.concat_ws(".", w["base"], F.col("name")), 5, w["at"])))
+    options = F.filter(F.concat(options, F.coalesce(of_wild, F.array().cast("array<struct<target:string,tier:int,ord:int>>"))), lambda x: x.isNotNull())
+    asks = asks.select("module", "name", F.explode_outer(options).alias("o")).select("module", "name", "o.*")
+    there = F.when(F.col("there") | (F.col("tier") == 7), F.struct("tier", "ord", "target"))
+    flat = asks.join(known.select("target", F.lit(True).alias("there")), "target", "left").groupBy("module", "name").agg(F.min(there).alias("b"))
+    flat = cut(flat.withColumn("last", last))
     # Methods: on a variable's type, on self, or on the parent of a class; a class stands for its own and inherited methods.
-    typed = _typed(f)
-    scopes = F.explode(F.filter(F.array(F.struct(F.col("caller").alias("scope"), F.lit(0).alias("ord")), F.struct(F.col("class").alias("scope"), F.lit(1).alias("ord")), F.struct(F.col("module").alias("scope"), F.lit(2).alias("ord"))), lambda x: x["scope"].isNotNull()))
-    scoped = plain.where("n >= 2").select(*keys, "last", F.col("head").alias("variable"), scopes.alias("s")).select(*keys, "last", "variable", "s.scope", "s.ord")
-    on_type = scoped.join(typed, ["scope", "variable"]).select(*keys, "last", F.col("of").alias("owner"), F.lit(2).alias("tier"), "ord")
-    on_self = plain.where("n = 2 and head in ('self', 'cls', 'this') and class is not null").select(*keys, "last", F.col("class").alias("owner"), F.lit(4).alias("tier"), F.lit(0).alias("ord"))
-    on_super = calls.where("is_super and n >= 2 and class is not null").join(up.select(F.col("src").alias("class"), F.col("dst").alias("owner"), F.col("ord").alias("o")), "class").select(*keys, "last", "owner", F.lit(0).alias("tier"), F.col("o").cast("int").alias("ord"))
+    keys = ["module", "caller", "name", "class"]
+    dotted = f.calls.where(n >= 2).select(*keys).distinct()
+    places = [F.struct(F.col(c).alias("scope"), F.lit(i).alias("ord")) for i, c in enumerate(("caller", "class", "module"))]
+    scopes = f.calls.select("module", F.explode(F.array("caller", "class", "module")).alias("scope")).distinct()
+    typed = scopes.join(_typed(f), "scope").groupBy("module", "variable").agg(F.collect_set(F.struct("scope", "of")).alias("typed"))
+    fits = F.flatten(F.transform(F.array(*places), lambda p: F.transform(F.filter("typed", lambda t: t["scope"] == p["scope"]), lambda t: F.struct(t["of"].alias("owner"), p["ord"].alias("ord")))))
+    on_type = dotted.where(~is_super).withColumn("variable", head).join(typed, ["module", "variable"]).select("module", "caller", "name", "class", F.explode(fits).alias("o"))
+    on_type = on_type.select("module", "caller", "name", class_, last.alias("last"), "o.owner", F.lit(2).alias("tier"), "o.ord")
+    inner = dotted.where("class is not null")
+    on_self = inner.where((n == 2) & head.isin("self", "cls", "this")).select(*keys, last.alias("last"), F.col("class").alias("owner"), F.lit(4).alias("tier"), F.lit(0).alias("ord"))
+    on_super = inner.where(is_super).join(up.select(F.col("src").alias("class"), F.col("dst").alias("owner"), F.col("ord").alias("o")), "class").select(*keys, last.alias("last"), "owner", F.lit(0).alias("tier"), F.col("o").cast("int").alias("ord"))
     of_class = cut(on_type.unionByName(on_self).unionByName(on_super))
     methods = f.definitions.where("label in ('Method', 'Function')").select(F.col("parent").alias("id"), "name", F.col("qualified_name").alias("target"))
     found = nearest_hits(of_class.select(F.col("owner").alias("start"), F.col("last").alias("name")), up.select("src", "dst", "ord"), methods.select("id", "name"), own=True)
     held = found.join(methods, ["id", "name"]).select(F.col("start").alias("owner"), F.col("name").alias("last"), "target")
-    out.append(of_class.join(held, ["owner", "last"]).select(*keys, "tier", "ord", "target"))
-    attribute = plain.where("n = 2").join(imports.withColumn("head", F.col("local")), ["module", "head"])
-    out.append(tier(attribute, F.concat_ws(".", "base", "last"), 3, 0))
-    out.append(tier(plain.where("n = 2"), F.concat_ws(".", "module", "name"), 3, 1))
-    wild = imports.where("local like '*%'")
-    out.append(tier(plain.where("n = 1").join(wild, "module"), F.concat_ws(".", "base", "name"), 5, F.col("at")))
-    out.append(tier(plain.where("n = 1"), F.concat_ws(".", "module", "name"), 6))
-    scripts = f.definitions.where("label = 'Module'").where(F.col("path").rlike(r"(?i)\.(jsx?|tsx?|[mc][jt]s)$")).select(F.col("qualified_name").alias("module")).distinct()
-    builtin = plain.withColumn("target", builtin_target(F.col("name"))).where("target is not null").join(scripts, "module", "left_semi")
-    out.append(builtin.select(*keys, F.lit(7).alias("tier"), F.lit(0).alias("ord"), "target"))
-    rows = out[0]
-    for more in out[1:]:
-        rows = rows.unionByName(more)
-    named = lambda df: df.withColumn("class", F.coalesce("class", F.lit("")))
-    best = cut(named(rows).groupBy(*keys).agg(F.min(F.struct("tier", "ord", "target")).alias("b")).select(*keys, "b.tier", "b.target"))
-    # Only calls that no tier answers look for the nearest definition.
-    rest = named(plain).join(best, keys, "left_anti")
+    deep = of_class.join(held, ["owner", "last"]).groupBy(*keys).agg(F.min(F.struct("tier", "ord", "target")).alias("d"))
+    # Only names that no tier answers look for the nearest definition.
     names = known.where("label <> 'Class'").select(F.col("simple").alias("name"), F.col("target").alias("qualified_name"))
-    near = nearest(rest.select(F.col("module").alias("caller"), F.col("last").alias("name")), names).select(F.col("caller").alias("module"), F.col("name").alias("last"), F.col("candidate").alias("target"))
-    far = rest.join(near, ["module", "last"]).select(*keys, F.lit(8).alias("tier"), "target")
-    all_ = named(calls.select(*keys))
-    return all_.join(best.unionByName(far), keys, "left").select("caller", "name", "line", "target", "tier").distinct()
+    near = nearest(flat.where("b is null").select(F.col("module").alias("caller"), F.col("last").alias("name")), names).select(F.col("caller").alias("module"), F.col("name").alias("last"), F.col("candidate").alias("near"))
+    far = F.when(F.col("near").isNotNull(), F.struct(F.lit(8).alias("tier"), F.lit(0).alias("ord"), F.col("near").alias("target")))
+    flat = flat.join(near, ["module", "last"], "left").select("module", "name", F.coalesce("b", far).alias("b")).where("b is not null")
+    all_ = f.calls.select("module", "caller", "name", class_, "line").join(flat, ["module", "name"], "left").join(deep, keys, "left")
+    return all_.withColumn("b", F.least("b", "d")).select("caller", "name", "line", "b.target", "b.tier").distinct()
 
 
 def _typed(f: Facts) -> DataFrame:

@@ -2,6 +2,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from canopy.functions import names
 from canopy.operators import incremental, resolve
 from canopy.sources import extract, manifests, repository
 
@@ -51,6 +52,18 @@ def test_calls(facts):
     assert {tuple(r) for r in resolve.overrides(facts, up).collect()} == {("p.app.main.Main.step", "p.app.base.Base.step")}
 
 
+def test_calls_are_resolved_once_a_name(spark, monkeypatch):
+    """What is kept on the way follows the names, not the lines that call them or the names that nobody defines."""
+    kept = []
+    for module in (resolve, names):
+        monkeypatch.setattr(module, "cut", lambda df, cut=module.cut: kept.append(cut(df)) or kept[-1])
+    text = "def f():\n" + "    far()\n" * 60 + "    x.nobody()\n" * 60
+    f = resolve.Facts(extract.facts(spark.createDataFrame([("p", "a.py", text), ("p", "b.py", "def far():\n    pass\n")], "project string, path string, content string")))
+    got = resolve.resolve_calls(f, resolve.parents(f)).collect()
+    assert {(r.caller, r.name, r.target, r.tier) for r in got} == {(c, *x) for c in ("p.a", "p.a.f") for x in (("far", "p.b.far", 8), ("x.nobody", None, None))}
+    assert len(got) == 240 and max(df.count() for df in kept[1:]) <= 2 and kept[-1].count() == 1
+
+
 def test_structure(spark):
     files = spark.createDataFrame([("p", k) for k in FILES] + [("p", "app/__init__.py")], "project string, path string")
     got = {(r.label, r.key): (r.parent_label, r.parent_key, r.type) for r in repository.structure(files).collect()}
