@@ -114,6 +114,24 @@ def test_neighbours(spark):
     assert neighbours.nearest_pairs(df.limit(0), dim=32).count() == 0
 
 
+def test_no_pair_is_left_out(spark, monkeypatch):
+    """More rows than a bucket of the hashing takes, without clear groups: every pair is found, and ties go to the smaller key."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([c + 0.75 * rng.normal(size=(12, 64)) for c in rng.normal(size=(280, 64))]).astype(np.float32)
+    x[-4:] = 0  # two and two with equal cosines to a third
+    x[-5], x[-4, :2], x[-3, :2], x[-2, :2], x[-1, :2] = 0, (4, 3), (4, -3), (3, 4), (5, 0)
+    x[-5, 0], x = 1, np.concatenate([x, [[9.0] * 64]]).astype(np.float32)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    s = np.round(unit @ unit.T, 12)
+    np.fill_diagonal(s, -2)
+    truth = {(i, int(j)) for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), -s[i]))[:3] if s[i, j] >= 0.6}
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], VEC).repartition(3)
+    found = lambda: {(r.a, r.b) for r in neighbours.nearest(df, dim=64, k=3, least=0.6).collect()}
+    assert len(truth) > 3000 and found() == truth
+    monkeypatch.setattr(neighbours, "axes", lambda x, least: np.eye(64, dtype=np.float32)[:, :8])  # hardly any bound
+    assert found() == truth
+
+
 def test_copies(spark):
     rows = [(i, [1.0, float(i // 20)] + [0.0] * 30, "x") for i in range(60)] + [(100 + i, [1.0, 0.1 * (i // 2), 0.05] + [0.0] * 29, "x") for i in range(6)]
     got = {tuple(r) for r in neighbours.nearest(spark.createDataFrame(rows, VEC), dim=32).select("a", "b").collect()}
